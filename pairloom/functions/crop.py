@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pairloom.functions.draws import TWO_31, digest, slot, unit, word_marks
+from pairloom.functions.draws import TWO_31, digest, let, slot, unit, word_marks
 
 # Fixed values of the cropping method.
 RATIO_MIN, RATIO_MAX = 0.1, 0.5
@@ -26,18 +26,25 @@ def crop_span(n_words: Column, hex_digest: Column) -> tuple[Column, Column]:
 
 def delete_words(words: Column, start_mark: Column, p: float = DELETE_PROBABILITY) -> Column:
     """Words joined by spaces, each dropped independently with probability ``p``."""
-    marks = word_marks(start_mark, F.size(words))
     bar = int(p * TWO_31)
-    kept = F.zip_with(words, marks, lambda w, m: F.when(m > F.lit(bar), w))
-    return F.array_join(kept, " ")  # skips the NULL entries
+
+    def keep(w: Column) -> Column:
+        marks = word_marks(start_mark, F.size(w))
+        return F.array_join(F.zip_with(w, marks, lambda x, m: F.when(m > F.lit(bar), x)), " ")
+
+    return let(words, keep)  # the join skips the NULL entries
 
 
 def crop_text(text: Column, seed: int, side: str, key: Column) -> Column:
     """split -> crop -> delete words -> join -> lower, for one side of a pair."""
-    hex_digest = digest(seed, "crop", side, key)
-    words = words_of(text)
-    start, length = crop_span(F.size(words), hex_digest)
-    return F.lower(delete_words(F.slice(words, start + 1, length), slot(hex_digest, 2)))
+
+    def crop(row: Column) -> Column:
+        words, hex_digest = row["words"], row["digest"]
+        start, length = crop_span(F.size(words), hex_digest)
+        return F.lower(delete_words(F.slice(words, start + 1, length), slot(hex_digest, 2)))
+
+    drawn = digest(seed, "crop", side, key)
+    return let(F.struct(words_of(text).alias("words"), drawn.alias("digest")), crop)
 
 
 def crop_pair(df, seed: int, key: str = "pos", text: str = "text"):

@@ -33,17 +33,24 @@ def unit(hex_digest: Column, index: int = 0) -> Column:
     return slot(hex_digest, index) / F.lit(float(TWO_32))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside array functions Spark evaluates an expression every time it is mentioned, per element
+    if it stands in a lambda; a one-element transform binds it.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def word_marks(start: Column, count: Column) -> Column:
     """``count`` integers in [0, 2^31), one per word position, mixed from ``start``.
 
-    The three stages are separate transforms so that each value is computed once per word.
+    Each stage is a transform of its own, so a value is computed once per word.
     """
-    first = F.transform(
-        F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda i: (start + i.cast("long") * F.lit(STEP)) % F.lit(TWO_31),
-    )
+    last = start + (count - 1).cast("long") * F.lit(STEP)
+    steps = F.when(count > 0, F.sequence(start, last, F.lit(STEP).cast("long"))).otherwise(
+        F.array().cast("array<bigint>"))
+    first = F.transform(steps, lambda x: x % F.lit(TWO_31))
     second = F.transform(
         first, lambda x: x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIX_A) % F.lit(TWO_31)
     )
