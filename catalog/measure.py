@@ -11,6 +11,7 @@ from pairloom.functions.vectors import SCORE_EXPRESSIONS
 from pairloom.operators import metrics as met, pairs as prs, report
 from pairloom.operators.encode import encode, hashed_words
 from pairloom.operators.search import SCORE_FNS, topk_search
+from pairloom.session import materialize
 
 FNS = sorted(SCORE_FNS)
 KS = [1, 3, 5, 10, 100]
@@ -34,20 +35,13 @@ def win_rank(spark, d):
 @entry("score_cos", v.with_(v.REPLY_RUN_SQL, select=f"""
 SELECT {RUN_COLUMNS} FROM run WHERE score_fn = 'cos_sim'"""))
 def score_cos(spark, d):
-    return _reply_run_with(spark, d, {"cos_sim": SCORE_FNS["cos_sim"]})
+    return v.reply_run(spark, d, score_fns={"cos_sim": SCORE_FNS["cos_sim"]})
 
 
 @entry("score_dot", v.with_(v.REPLY_RUN_SQL, select=f"""
 SELECT {RUN_COLUMNS} FROM run WHERE score_fn = 'dot_score'"""))
 def score_dot(spark, d):
-    return _reply_run_with(spark, d, {"dot_score": SCORE_FNS["dot_score"]})
-
-
-def _reply_run_with(spark, d, score_fns):
-    from pairloom.plans.evaluate import search_texts
-
-    return search_texts(v.questions(spark, d), v.replies(spark, d),
-                        hashed_words(v.DIM, normalize=False), k=v.TOP, score_fns=score_fns)
+    return v.reply_run(spark, d, score_fns={"dot_score": SCORE_FNS["dot_score"]})
 
 
 def negative_distance(queries, docs):
@@ -89,8 +83,8 @@ FROM (SELECT _id, CASE WHEN n = 0 THEN vec ELSE list_transform(vec, lambda x: x
       FROM (SELECT _id, vec, sqrt(list_dot_product(vec, vec)) AS n FROM encoded))"""))
 def udf_encode(spark, d):
     """Queries and passages through their own encoder hooks (here two of the same kind)."""
-    asked = encode(v.questions(spark, d).select("_id", "text"), hashed_words(v.DIM))
-    docs = v.replies(spark, d).select("_id", passage_for_encoder(
+    asked = encode(v.questions(spark, d, heavy=True).select("_id", "text"), hashed_words(v.DIM))
+    docs = v.replies(spark, d, heavy=True).select("_id", passage_for_encoder(
         F.col("title"), F.col("text"), SEPARATOR).alias("text"))
     docs = encode(docs, hashed_words(v.DIM))
     every = asked.select("_id", "vec").unionByName(docs.select("_id", "vec"))
@@ -236,8 +230,8 @@ per_query AS (SELECT dataset, score_fn, query_id, {columns or '1 AS one'}
 def _graded(name: str, metrics: list[str]):
     @entry(name, graded_sql(metrics))
     def query(spark, d):
-        found = met.evaluate_graded(v.reply_run(spark, d), v.reply_qrels(spark, d), KS)
-        return found.filter(F.col("metric").isin(metrics))
+        run = materialize(v.reply_run(spark, d), "run")
+        return met.evaluate_graded(run, v.reply_qrels(spark, d), KS, metrics)
 
 
 _graded("met_trec", ["NDCG", "MAP", "Recall", "P"])
@@ -380,12 +374,12 @@ def agg_sizes(spark, d):
 
 
 @entry("agg_gen_time", v.with_(v.FACTS_SQL, select="""
-SELECT model_name, split, round(sum(time_in_minutes) / 60 / 24, 9) AS days,
-  round(sum(time_in_minutes) / 60 / 24 / 8, 9) AS days_parallel FROM facts GROUP BY ALL"""))
+SELECT model_name, split, round(sum(time_in_minutes) / 60 / 24, 12) AS days,
+  round(sum(time_in_minutes) / 60 / 24 / 8, 12) AS days_parallel FROM facts GROUP BY ALL"""))
 def agg_gen_time(spark, d):
     days = report.generation_time(v.facts(spark, d))
-    return days.withColumn("days", F.round("days", 9)).withColumn(
-        "days_parallel", F.round("days_parallel", 9))
+    return days.withColumn("days", F.round("days", 12)).withColumn(
+        "days_parallel", F.round("days_parallel", 12))
 
 
 @entry("flt_failed", v.with_(v.FACTS_SQL, select="""

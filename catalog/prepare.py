@@ -9,7 +9,7 @@ from catalog.registry import entry
 from pairloom.functions import crop, text as txt
 from pairloom.functions.draws import digest, slot
 from pairloom.operators import pairs as prs, postprocess as post, report, sampling
-from pairloom.session import scratch_dir
+from pairloom.session import scratch_dir, spread
 from pairloom.sources import files
 
 C = v.CORPUS_SQL
@@ -139,7 +139,7 @@ TRIPLET_SQL = f"""triplets AS (
 
 def _triplets(spark, d):
     """First line, text, and the text of the next document as the negative."""
-    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(v.table(spark, d, "documents").select("doc_id", "text"))
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     rows = docs.join(after, "doc_id").withColumn("line", txt.answer_extract(F.col("text"), F.lit("")))
     return prs.load_triplets(rows, "line", "text", "other", pos="doc_id")
@@ -250,13 +250,13 @@ def crop_span(spark, d):
   lambda x, i: {v.mark_sql('h', '(i - 1)')} > {v.BAR}), ' ') AS out FROM marked"""))
 def delete_words(spark, d):
     mark = slot(digest(v.SEED, "words", F.col("pos")), 0)
-    return v.corpus(spark, d).select(
+    return v.corpus(spark, d, heavy=True).select(
         "_id", crop.delete_words(crop.words_of(F.col("text")), mark).alias("out"))
 
 
 @entry("crop_text", v.with_(C, v.crop_ctes("corpus", "cropped", "q"), select="SELECT _id, crop AS out FROM cropped"))
 def crop_text(spark, d):
-    return v.corpus(spark, d).select(
+    return v.corpus(spark, d, heavy=True).select(
         "_id", crop.crop_text(F.col("text"), v.SEED, "q", F.col("pos")).alias("out"))
 
 
@@ -267,7 +267,7 @@ FROM left_crop l JOIN right_crop r USING (pos)"""
 
 @entry("crop_pair", v.with_(*PAIR_SQL, select=PAIR_ROWS.format(key="pos")))
 def crop_pair(spark, d):
-    return crop.crop_pair(v.corpus(spark, d).select("pos", "text"), v.SEED)
+    return crop.crop_pair(v.corpus(spark, d, heavy=True).select("pos", "text"), v.SEED)
 
 
 # -- cleaning of generated pairs -----------------------------------------------------------

@@ -29,7 +29,7 @@ SELECT _id, {longest_sql("words || ['Relevant', 'Query:']")} AS query, 0 AS erro
 
 
 def _documents(spark, d):
-    return gen.prepare_documents(v.corpus(spark, d).select("_id", "pos", "text"))
+    return gen.prepare_documents(v.corpus(spark, d, heavy=True).select("_id", "pos", "text"))
 
 
 @entry("udf_generate", ONE_STEP)

@@ -14,6 +14,7 @@ from pairloom.operators.pairs import Collection
 from pairloom.operators.sampling import replicate_k
 from pairloom.operators.search import topk_search
 from pairloom.plans.evaluate import search_texts
+from pairloom.session import materialize, spread
 
 SEED = 7
 DIM = 64
@@ -38,9 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- documents -----------------------------------------------------------------------------
 
 
-def corpus(spark, d) -> DataFrame:
-    """Every document as a corpus row; ``pos`` is the document number."""
-    return table(spark, d, "documents").select(
+def corpus(spark, d, heavy: bool = False) -> DataFrame:
+    """Every document as a corpus row; ``pos`` is the document number.
+
+    ``heavy`` spreads a small table over all cores.
+    """
+    docs = table(spark, d, "documents")
+    return (spread(docs) if heavy else docs).select(
         F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("title"), "text",
         F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), F.col("doc_id").alias("pos"))
 
@@ -60,12 +65,16 @@ GOOD_CORPUS_SQL = """good_corpus AS (
 
 
 def generated(spark, d) -> DataFrame:
-    """Two generated queries per document: its first line, then a random crop."""
-    copies = replicate_k(corpus(spark, d).select("pos", "text"), 2)
+    """Two generated queries per document: its first line, then a random crop.
+
+    They are written down, as generated pairs are before they are cleaned.
+    """
+    copies = replicate_k(corpus(spark, d).select("pos", "text"), 2, seed=SEED)
     line = answer_extract(F.col("text"), F.lit(""))
     crop = crop_text(F.col("text"), SEED, "q", F.col("pos"))
-    return copies.select("pos", "copy", F.when(F.col("copy") == 0, line).otherwise(crop).alias("query"),
-                         F.col("text").alias("document"))
+    query = F.when(F.col("copy") == 0, line).otherwise(crop).alias("query")
+    return materialize(
+        copies.select("pos", "copy", query, F.col("text").alias("document")), "generated")
 
 
 def strip_sql(x: str) -> str:
@@ -108,7 +117,8 @@ def crop_ctes(source: str, name: str, side: str, key: str = "pos", text: str = "
 
 
 GENERATED_SQL = f"""copies AS (
-  SELECT pos + c.copy * (SELECT count(*) FROM corpus) AS pos, c.copy, text
+  SELECT row_number() OVER (PARTITION BY c.copy ORDER BY md5('{SEED}|order|' || pos), pos) - 1
+         + c.copy * (SELECT count(*) FROM corpus) AS pos, c.copy, text
   FROM corpus, (SELECT unnest([0, 1]) AS copy) c),
 {crop_ctes('copies', 'cropped', 'q')},
 generated AS (
@@ -162,7 +172,7 @@ def vector_qrels(spark, d) -> DataFrame:
 
 def vector_run(spark, d, k: int = TOP) -> DataFrame:
     v = vectors(spark, d)
-    return topk_search(v, v, k, dataset="dataset", skip_self=True)
+    return topk_search(v, v, k, dataset="dataset", skip_self=True, dim=DIM)
 
 
 VECTORS_SQL = """vectors AS (
@@ -193,8 +203,9 @@ VECTOR_QRELS_SQL = """qrels AS (
 # -- conversations -------------------------------------------------------------------------
 
 
-def _turns(spark, d, role: str, shift: int) -> DataFrame:
-    t = table(spark, d, "conversations").filter(F.col("role") == role)
+def _turns(spark, d, role: str, shift: int, heavy: bool) -> DataFrame:
+    t = table(spark, d, "conversations")
+    t = (spread(t) if heavy else t).filter(F.col("role") == role)
     return t.select(
         F.concat(F.lit("turn"), (F.col("turn") - shift).cast("string")).alias("dataset"),
         F.concat_ws("-", F.lit(role[0]), "conv_id", "turn").alias("_id"),
@@ -202,14 +213,14 @@ def _turns(spark, d, role: str, shift: int) -> DataFrame:
         (F.col("conv_id") * 1024 + F.col("turn")).alias("pos"))
 
 
-def questions(spark, d) -> DataFrame:
+def questions(spark, d, heavy: bool = False) -> DataFrame:
     """Every user turn as a query. The collection is the depth of the question."""
-    return _turns(spark, d, "user", 0)
+    return _turns(spark, d, "user", 0, heavy)
 
 
-def replies(spark, d) -> DataFrame:
+def replies(spark, d, heavy: bool = False) -> DataFrame:
     """Every assistant turn as a passage of the collection of the question before it."""
-    return _turns(spark, d, "assistant", 1)
+    return _turns(spark, d, "assistant", 1, heavy)
 
 
 def reply_qrels(spark, d) -> DataFrame:
@@ -233,9 +244,9 @@ def conversation_collection(spark, d) -> Collection:
                       reply_qrels(spark, d).drop("dataset"))
 
 
-def reply_run(spark, d, k: int = TOP) -> DataFrame:
+def reply_run(spark, d, k: int = TOP, score_fns=None) -> DataFrame:
     return search_texts(questions(spark, d), replies(spark, d),
-                        hashed_words(DIM, normalize=False), k=k)
+                        hashed_words(DIM, normalize=False), k=k, score_fns=score_fns, dim=DIM)
 
 
 TURNS_SQL = """questions AS (

@@ -139,44 +139,44 @@ def ideal_dcg(qrels: DataFrame, ks: list[int]) -> DataFrame:
     return spans.groupBy(*QUERY).agg(n_rel, *ideals)
 
 
-def _graded_hits(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    grades = qrels.select(*QUERY, "corpus_id", F.col("score").alias("grade"))
-    found = run.join(grades, [*QUERY, "corpus_id"])
-    order = Window.partitionBy(*QUERY, "score_fn").orderBy("rank").rowsBetween(
-        Window.unboundedPreceding, 0)
-    is_rel = (F.col("grade") >= 1).cast("int")
-    return found.withColumn("hit_no", F.sum(is_rel).over(order))
-
-
-def graded_per_query(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
-    """Per query and score function: NDCG, MAP, Recall, P, MRR and R_cap at each cut-off.
+def graded_columns(ks: list[int], metrics: list[str]) -> list[Column]:
+    """Aggregates over a query's judged hits (rank, grade, hit_no), with its ideals and n_rel."""
+    rel = F.col("grade") >= 1
+    n_rel = F.first("n_rel")
+    share = lambda a, b: F.coalesce(F.try_divide(a, b.cast("double")), F.lit(0.0))
+    total = lambda k, value, when: F.coalesce(
+        F.sum(F.when((F.col("rank") <= k) & when, value)), F.lit(0.0))
+    found = lambda k: total(k, F.lit(1.0), rel)
+    value = {
+        "NDCG": lambda k: share(
+            total(k, F.col("grade") * _discount(F.col("rank")), F.col("grade") > 0),
+            F.first(f"ideal@{k}")),
+        "MAP": lambda k: share(total(k, F.col("hit_no") / F.col("rank"), rel), n_rel),
+        "Recall": lambda k: share(found(k), n_rel),
+        "P": lambda k: found(k) / k,
+        "MRR": lambda k: F.coalesce(
+            F.lit(1.0) / F.min(F.when((F.col("rank") <= k) & rel, F.col("rank"))), F.lit(0.0)),
+        "R_cap": lambda k: share(found(k), F.least(n_rel, F.lit(k))),
+    }
+    return [value[m](k).alias(f"{m}@{k}") for m in metrics for k in ks]
+
+
+def graded_per_query(run: DataFrame, qrels: DataFrame, ks: list[int],
+                     metrics: list[str]) -> DataFrame:
+    """Per query and score function the graded metrics at each cut-off.
 
     Queries are those in both the run and the judgements. A query without relevant documents
     scores 0 throughout.
     """
-    ideals = ideal_dcg(qrels, ks)
-    searched = run.select(*QUERY, "score_fn").distinct().join(ideals, QUERY)
-    hits = _graded_hits(run, qrels).select(*QUERY, "score_fn", "rank", "grade", "hit_no")
+    searched = run.select(*QUERY, "score_fn").distinct().join(ideal_dcg(qrels, ks), QUERY)
+    grades = qrels.select(*QUERY, "corpus_id", F.col("score").alias("grade"))
+    order = Window.partitionBy(*QUERY, "score_fn").orderBy("rank").rowsBetween(
+        Window.unboundedPreceding, 0)  # at most k rows
+    hits = run.select(*QUERY, "score_fn", "corpus_id", "rank").join(
+        grades, [*QUERY, "corpus_id"]).drop("corpus_id").withColumn(
+        "hit_no", F.sum((F.col("grade") >= 1).cast("int")).over(order))
     joined = searched.join(hits, [*QUERY, "score_fn"], "left")
-    rel = F.col("grade") >= 1
-    n_rel = F.first("n_rel")
-    safe = lambda a, b: F.coalesce(F.try_divide(a, b.cast("double")), F.lit(0.0))
-    total = lambda k, v, when: F.coalesce(
-        F.sum(F.when((F.col("rank") <= k) & when, v)), F.lit(0.0))
-    columns = []
-    for k in ks:
-        gain = total(k, F.col("grade") * _discount(F.col("rank")), F.col("grade") > 0)
-        found = total(k, F.lit(1.0), rel)
-        columns += [
-            safe(gain, F.first(f"ideal@{k}")).alias(f"NDCG@{k}"),
-            safe(total(k, F.col("hit_no") / F.col("rank"), rel), n_rel).alias(f"MAP@{k}"),
-            safe(found, n_rel).alias(f"Recall@{k}"),
-            (found / k).alias(f"P@{k}"),
-            F.coalesce(F.lit(1.0) / F.min(F.when((F.col("rank") <= k) & rel, F.col("rank"))),
-                       F.lit(0.0)).alias(f"MRR@{k}"),
-            safe(found, F.least(n_rel, F.lit(k))).alias(f"R_cap@{k}"),
-        ]
-    return joined.groupBy(*QUERY, "score_fn").agg(*columns)
+    return joined.groupBy(*QUERY, "score_fn").agg(*graded_columns(ks, metrics))
 
 
 def hole(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
@@ -199,26 +199,37 @@ def hole(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
                   for k in ks])
 
 
+MEAN_METRICS = ["NDCG", "MAP", "Recall", "P"]
+LISTED_METRICS = ["MRR", "R_cap"]
+GRADED_METRICS = [*MEAN_METRICS, *LISTED_METRICS, "Hole"]
+
+
 def evaluate_graded(run: DataFrame, qrels: DataFrame, ks: list[int] | None = None,
+                    metrics: list[str] | None = None,
                     digits: int | None = GRADED_DIGITS) -> DataFrame:
     """metrics(dataset, score_fn, metric, k, value) of the graded family.
 
     NDCG, MAP, Recall and P are means over the searched and judged queries; MRR, R_cap and Hole
-    divide by all queries of the judgements.
+    divide by all queries of the judgements. The run is read two or three times: pass a written
+    one (:func:`pairloom.session.materialize`), else the search runs again each time.
     """
-    ks = ks or GRADED_AT
-    rows = graded_per_query(run, qrels, ks)
-    listed = qrels.groupBy("dataset").agg(F.count_distinct("query_id").alias("n_queries"))
-    means = [F.avg(F.col(f"`{m}@{k}`")).alias(f"{m}@{k}")
-             for m in ("NDCG", "MAP", "Recall", "P") for k in ks]
-    sums = [F.sum(F.col(f"`{m}@{k}`")).alias(f"{m}@{k}") for m in ("MRR", "R_cap") for k in ks]
-    wide = rows.groupBy(*GROUP).agg(*means, *sums).join(listed, "dataset")
-    for m in ("MRR", "R_cap"):
-        for k in ks:
-            wide = wide.withColumn(f"{m}@{k}", F.col(f"`{m}@{k}`") / F.col("n_queries"))
-    wide = wide.join(hole(run, qrels, ks), GROUP)
-    names = [f"{m}@{k}" for m in ("NDCG", "MAP", "Recall", "P", "MRR", "R_cap", "Hole") for k in ks]
-    long = to_long(wide, GROUP, names)
+    ks, metrics = ks or GRADED_AT, metrics or GRADED_METRICS
+    parts = []
+    chosen = [m for m in metrics if m != "Hole"]
+    if chosen:
+        listed = qrels.groupBy("dataset").agg(F.count_distinct("query_id").alias("n_queries"))
+        rows = graded_per_query(run, qrels, ks, chosen)
+        sums = rows.groupBy(*GROUP).agg(
+            F.count(F.lit(1)).alias("n_searched"),
+            *[F.sum(F.col(f"`{m}@{k}`")).alias(f"{m}@{k}") for m in chosen for k in ks])
+        over = lambda m: F.col("n_searched" if m in MEAN_METRICS else "n_queries")
+        names = [f"{m}@{k}" for m in chosen for k in ks]
+        wide = sums.join(listed, "dataset").select(
+            *GROUP, *[(F.col(f"`{n}`") / over(n.split("@")[0])).alias(n) for n in names])
+        parts.append(to_long(wide, GROUP, names))
+    if "Hole" in metrics:
+        parts.append(to_long(hole(run, qrels, ks), GROUP, [f"Hole@{k}" for k in ks]))
+    long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return long if digits is None else long.withColumn("value", F.round("value", digits))
 
 

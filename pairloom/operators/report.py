@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.text import first_word, sim_of_name
+from pairloom.session import materialize
 
 # The collections and metrics of the report.
 COLLECTIONS = [
@@ -23,7 +24,7 @@ def word_counts(df: DataFrame, question: str = "question", pos: str = "pos") ->
     """Count and share (percent of all rows) of each first word, with its first position."""
     counts = df.groupBy(first_word(F.col(question)).alias("word")).agg(
         F.count(F.lit(1)).alias("n"), F.min(pos).alias("first_pos"))
-    # The total is the sum of the counts: one number from already aggregated rows.
+    counts = materialize(counts, "words")  # read twice: for the total and for the shares
     total = counts.agg(F.sum("n")).first()[0] or 1
     return counts.withColumn("pct", F.col("n") / F.lit(float(total)) * 100)
 

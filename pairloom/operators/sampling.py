@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.draws import digest
+from pairloom.functions.text import norm_query
 from pairloom.operators.numbering import HASH_DIGITS, number_by_hash, number_rows
+from pairloom.session import materialize
 
 
 def sample_exact(df: DataFrame, ratio: float | None = None, n: int | None = None, seed: int = 0,
@@ -132,14 +134,17 @@ def nodup_batches(triplets: DataFrame, batch_size: int, columns: list[str],
     Each row gets the occurrence number of its text, one column after the other and within the
     numbers so far; rows with equal numbers cannot repeat a text and are cut into batches.
     Contract: no repeat within a column, every row in exactly one batch; the order differs from
-    a greedy loader. Texts are compared by digest.
+    a greedy loader. Texts are compared by digest. The numbering works on digests and positions
+    only, and each round is written down because the next one reads it twice.
     """
-    from pairloom.functions.text import norm_query
-
-    out, rounds = triplets, []
-    for i, column in enumerate(columns, 1):
-        out = out.withColumn("_key", F.sha2(norm_query(F.col(column)), 256))
-        out = number_rows(out, pos, keys=[*rounds, "_key"], name=f"r{i}").drop("_key")
+    digests = [F.sha2(norm_query(F.col(c)), 256).alias(f"_t{i}") for i, c in enumerate(columns, 1)]
+    keys = materialize(triplets.select(F.col(pos).alias("_pos"), *digests), "texts")
+    rounds: list[str] = []
+    for i in range(1, len(columns) + 1):
+        keys = number_rows(keys, "_pos", keys=[*rounds, f"_t{i}"], name=f"r{i}").drop(f"_t{i}")
+        keys = materialize(keys, f"round{i}")
         rounds.append(f"r{i}")
-    out = number_rows(out, pos, keys=rounds, name="_place")
-    return out.withColumn("batch_id", F.floor(F.col("_place") / F.lit(batch_size))).drop("_place")
+    placed = number_rows(keys, "_pos", keys=rounds, name="_place")
+    batches = placed.select("_pos", *rounds, F.floor(
+        F.col("_place") / F.lit(batch_size)).alias("batch_id"))
+    return triplets.join(batches, F.col(pos) == F.col("_pos")).drop("_pos")

@@ -159,24 +159,28 @@ def _prepare(df: DataFrame, id_col: str, vec_col: str, dataset: str | None) -> D
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int,
                 score_fns: dict[str, ScoreFn] | None = None, dataset: str | None = None,
                 query_id: str = "_id", corpus_id: str = "_id", vec: str = "vec",
-                skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
+                skip_self: bool = False, dim: int | None = None,
+                broadcast_bytes: int = BROADCAST_BYTES,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The exact ``k`` best documents per query, score function and collection.
 
     ``skip_self`` drops hits whose document id equals the query id. ``score_fns`` maps names to
-    functions of two matrices. Ids are unique within a collection.
+    functions of two matrices. ``dim`` is the vector width, read off one query if not given.
+    Ids are unique within a collection.
     """
     score_fns = score_fns or SCORE_FNS
     asked = _prepare(queries, query_id, vec, dataset)
     docs = _prepare(corpus, corpus_id, vec, dataset)
 
-    size = asked.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vec")).alias("dim")).first()
-    dim = size["dim"] or 1
+    rows = asked.count()  # needs no vectors, so none are encoded for it
+    if dim is None:
+        one = asked.select(F.size("vec").alias("dim")).first()
+        dim = one["dim"] if one else 1
     query_bytes = 8 * (dim + k * len(score_fns)) + 64  # vector, running best scores, id
-    if size["rows"] * query_bytes <= broadcast_bytes:
+    if rows * query_bytes <= broadcast_bytes:
         hits = _broadcast_hits(asked, docs, k, score_fns, skip_self)
     else:
-        blocks = math.ceil(size["rows"] * query_bytes / block_bytes)
+        blocks = math.ceil(rows * query_bytes / block_bytes)
         slots = math.ceil(docs.count() * (8 * dim + 64) / block_bytes)
         hits = _cogrouped_hits(asked, docs, k, score_fns, skip_self, blocks, max(1, slots))
     return rank_hits(hits, k)

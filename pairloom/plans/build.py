@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.functions.crop import crop_pair
 from pairloom.operators import generate as gen, postprocess as post, sampling
+from pairloom.session import materialize
 from pairloom.sources import files, outputs
 from pairloom.sources.collections import write_qrels
 
@@ -47,21 +48,16 @@ def generate_missing(spark: SparkSession, corpus: DataFrame, root: str, dataset:
     todo = outputs.read_shards(spark, shards, "pos BIGINT, _id STRING, text STRING")
     done_path = f"{target}/{split}/pairs"
     missing = sampling.shard_missing(todo, finished_shards(spark, done_path))
-    work = todo.join(F.broadcast(missing), "shard_id", "left_semi")
+    work = todo.join(missing, "shard_id", "left_semi")
     made = gen.prompt_steps(gen.prepare_documents(work, "text"), steps, factory, **batching)
     made = made.select("pos", "query", "document", "document_processed", "shard_id", "errors",
                        "seconds_total", "batch_size")
 
-    # The model runs once: its output is a table, all else reads that table.
-    raw = f"{target}/{split}/attempt"
-    made.write.mode("overwrite").partitionBy("shard_id").parquet(raw)
-    made = outputs.read_shards(spark, raw, "pos BIGINT, query STRING, document STRING, "
-                               "document_processed STRING, errors INT, seconds_total DOUBLE, "
-                               "batch_size INT")
+    made = materialize(made, "attempt")  # the model runs once, all else reads its output
     facts = gen.run_facts(made, dataset, split, model, prompt)
     outputs.append_facts(facts, f"{target}/{split}/metadata")
     clean = facts.filter("errors = 0").select("shard_id")
-    finished = made.join(F.broadcast(clean), "shard_id", "left_semi")
+    finished = made.join(clean, "shard_id", "left_semi")
     outputs.write_generated(
         finished.select("pos", "query", "document", "document_processed", "shard_id"), done_path)
 
@@ -77,8 +73,12 @@ def finished_shards(spark: SparkSession, path: str) -> DataFrame:
 
 def export_split(pairs: DataFrame, corpus: DataFrame, document: str, exclude: list[str] | None,
                  path: str, split: str, query_offset: int = 0) -> None:
-    """Queries and judgements of the valid pairs, and the loss counts of the split."""
-    numbered = post.query_ids(post.valid_pairs(pairs, corpus, document, exclude), query_offset)
+    """Queries and judgements of the valid pairs, and the loss counts of the split.
+
+    ``pairs`` is a written table, it is read several times.
+    """
+    valid = materialize(post.valid_pairs(pairs, corpus, document, exclude), "valid")
+    numbered = materialize(post.query_ids(valid, query_offset), "numbered")
     files.write_json(post.export_queries(numbered), f"{path}/queries.jsonl/split={split}")
     write_qrels(post.export_qrels(numbered), f"{path}/qrels/{split}.tsv")
     status = post.post_status(pairs, corpus, document, exclude)

@@ -8,22 +8,28 @@ from pairloom.functions.text import SEPARATOR, passage_for_encoder
 from pairloom.operators import metrics as met
 from pairloom.operators.encode import EncoderFactory, encode
 from pairloom.operators.search import SCORE_FNS, ScoreFn, topk_search
+from pairloom.session import materialize
 
 
 def search_texts(queries: DataFrame, corpus: DataFrame, query_encoder: EncoderFactory,
                  doc_encoder: EncoderFactory | None = None, k: int = 100,
                  score_fns: dict[str, ScoreFn] | None = None, sep: str = SEPARATOR,
-                 skip_self: bool = True) -> DataFrame:
+                 skip_self: bool = True, dim: int | None = None) -> DataFrame:
     """Top-k run of texts. The two sides may have different encoders.
 
     ``queries`` has dataset, _id, text; ``corpus`` has dataset, _id, title, text.
+    ``dim`` is the encoder's vector width; if it is not given, one query is encoded to see it.
     """
     asked = encode(queries.select("dataset", "_id", "text"), query_encoder)
     passages = corpus.select("dataset", "_id", passage_for_encoder(
         F.col("title"), F.col("text"), sep).alias("text"))
     docs = encode(passages, doc_encoder or query_encoder)
-    return topk_search(asked, docs, k, score_fns, dataset="dataset", skip_self=skip_self)
+    return topk_search(asked, docs, k, score_fns, dataset="dataset", skip_self=skip_self, dim=dim)
 
 
-def measure(run: DataFrame, qrels: DataFrame, score_fns: list[str] | None = None) -> DataFrame:
-    return met.evaluate_binary(run, qrels, score_fns or list(SCORE_FNS))
+def measure(run: DataFrame, qrels: DataFrame, score_fns: list[str] | None = None,
+            k_values: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Binary and graded metrics of one run, which is written down once for both."""
+    found = materialize(run, "run")
+    return (met.evaluate_binary(found, qrels, score_fns or list(SCORE_FNS)),
+            met.evaluate_graded(found, qrels, k_values))
