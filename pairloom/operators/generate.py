@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.text import answer_extract, ascii_strip, doc_truncate, prompt_build
 
@@ -58,29 +58,32 @@ def complete_batches(prompts: list[str], model: Generator, batch_size: int = BAT
     return done, errors, batch_size
 
 
+_TOLD = "completion STRING, error INT, used_batch_size INT, seconds DOUBLE"
+
+
 def complete(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
              batch_size: int = BATCH_SIZE, step: int = BATCH_SIZE_STEP,
              tries: int = TRIES) -> DataFrame:
     """Adds ``completion``, ``error``, ``used_batch_size`` and ``seconds`` per row.
 
-    ``seconds`` is the row's share of the model time, so sums are true run times.
+    Only the prompts travel to Python. ``seconds`` is the row's share of the model time, so sums
+    are true run times.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("completion", T.StringType()),
-                           T.StructField("error", T.IntegerType()),
-                           T.StructField("used_batch_size", T.IntegerType()),
-                           T.StructField("seconds", T.DoubleType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(_TOLD)
+    def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
-        for frame in frames:
+        for prompts in batches:
             begin = time.perf_counter()
             texts, errors, size = complete_batches(
-                frame[prompt].tolist(), model, batch_size, step, tries)
-            share = (time.perf_counter() - begin) / max(1, len(frame))
-            yield frame.assign(completion=texts, error=errors, used_batch_size=size,
-                               seconds=share)
-
-    return df.mapInPandas(run, schema)
+                prompts.tolist(), model, batch_size, step, tries)
+            share = (time.perf_counter() - begin) / max(1, len(prompts))
+            yield pd.DataFrame({"completion": texts, "error": errors, "used_batch_size": size,
+                                "seconds": share})
+
+    # A model may sample, so its call must not be copied or repeated by the optimizer.
+    told = df.withColumn("_told", tell.asNondeterministic()(F.col(prompt)))
+    return told.select(*df.columns, "_told.*")
 
 
 def prepare_documents(df: DataFrame, text: str = "text") -> DataFrame:

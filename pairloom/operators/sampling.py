@@ -71,7 +71,11 @@ def shard_of(place: Column, rows: Column, shard_size: int) -> Column:
     return F.least(F.floor(place / length), shards - 1).cast("int")
 
 
-def shard_assign(df: DataFrame, shard_size: int, pos: str = "pos") -> DataFrame:
+def shard_assign(df: DataFrame, shard_size: int, pos: str = "pos",
+                 rows: int | None = None) -> DataFrame:
+    """Adds ``shard_id``. If ``pos`` already counts 0..rows-1, give ``rows``: nothing moves then."""
+    if rows is not None:
+        return df.withColumn("shard_id", shard_of(F.col(pos), F.lit(rows), shard_size))
     placed = number_rows(df, pos, name="_place", total="_rows")
     return placed.withColumn(
         "shard_id", shard_of(F.col("_place"), F.col("_rows"), shard_size)).drop("_place", "_rows")

@@ -16,7 +16,6 @@ depend on its blocking; equal scores go by ascending ``corpus_id``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -24,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pairloom.operators.joins import join_unique
+
 SCORE_DIGITS = 9
 BROADCAST_BYTES = 64 << 20  # query side that is broadcast
 BLOCK_BYTES = 128 << 20  # query block or corpus slot of the cogrouped way
@@ -180,9 +181,9 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int,
     if rows * query_bytes <= broadcast_bytes:
         hits = _broadcast_hits(asked, docs, k, score_fns, skip_self)
     else:
-        blocks = math.ceil(rows * query_bytes / block_bytes)
-        slots = math.ceil(docs.count() * (8 * dim + 64) / block_bytes)
-        hits = _cogrouped_hits(asked, docs, k, score_fns, skip_self, blocks, max(1, slots))
+        hits = _cogrouped_hits(asked, docs, k, score_fns, skip_self,
+                               max(1, block_bytes // query_bytes),
+                               max(1, block_bytes // (8 * dim + 64)))
     return rank_hits(hits, k)
 
 
@@ -202,14 +203,24 @@ def _broadcast_hits(asked, docs, k, score_fns, skip_self) -> DataFrame:
     return docs.mapInArrow(run, _HITS)
 
 
-def _cogrouped_hits(asked, docs, k, score_fns, skip_self, blocks: int, slots: int) -> DataFrame:
-    """Every (query block, corpus slot) is one group of bounded size."""
-    block_no = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    slot_no = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("block_no", block_no).withColumn("slot_no", each(slots))
-    right = docs.withColumn("slot_no", slot_no).withColumn("block_no", each(blocks))
+def _cogrouped_hits(asked, docs, k, score_fns, skip_self, block_rows: int,
+                    slot_rows: int) -> DataFrame:
+    """Every (query block, corpus slot) of a collection is one group of bounded size.
+
+    Each collection is cut into as many blocks and slots as its own row counts ask for; the
+    counts are one row per collection and are joined with its rows split over salts.
+    """
+    parts = lambda df, rows, name: df.groupBy("dataset").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name))
+    cuts = parts(asked, block_rows, "blocks").join(parts(docs, slot_rows, "slots"), "dataset")
+    number = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = join_unique(asked, cuts, ["dataset"], "id", "inner")
+    left = left.withColumn("block_no", number("blocks")).withColumn("slot_no", each("slots"))
+    right = join_unique(docs, cuts, ["dataset"], "id", "inner")
+    right = right.withColumn("slot_no", number("slots")).withColumn("block_no", each("blocks"))
     keys = ["dataset", "block_no", "slot_no"]
+    left, right = left.drop("blocks", "slots"), right.drop("blocks", "slots")
 
     def run(queries: pa.Table, chunk: pa.Table) -> pa.Table:
         scorer = _Scorer(k, score_fns, skip_self)

@@ -43,7 +43,8 @@ def generate_missing(spark: SparkSession, corpus: DataFrame, root: str, dataset:
     sampled = corpus if ratio == 1.0 else sampling.sample_exact(corpus, ratio=ratio, seed=seed)
     copies = sampling.replicate_k(
         sampled.select("pos", "_id", "text"), questions_per_document, seed=seed)
-    outputs.write_shards(sampling.shard_assign(copies, shard_size), shards)
+    rows = sampled.count() * questions_per_document
+    outputs.write_shards(sampling.shard_assign(copies, shard_size, rows=rows), shards)
 
     todo = outputs.read_shards(spark, shards, "pos BIGINT, _id STRING, text STRING")
     done_path = f"{target}/{split}/pairs"

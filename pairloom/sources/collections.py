@@ -19,7 +19,7 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = (spark.read.schema(schemas.QRELS).option("sep", "\t").option("header", True)
            .option("enforceSchema", True).option("mode", "FAILFAST").csv(path))
-    return last_qrel(with_file_order(raw))
+    return last_qrel(with_file_order(raw, path))
 
 
 def write_qrels(qrels: DataFrame, path: str) -> None:

@@ -31,7 +31,7 @@ def test_file_order_over_files_and_splits(spark, tmp_path):
         write(tmp_path / "q" / f"{name}.jsonl", "\n".join(lines) + "\n")
         n += rows
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.openCostInBytes", "3000")
     try:
         rows = files.read_queries(spark, str(tmp_path / "q")).collect()
     finally:
