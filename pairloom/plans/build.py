@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions.crop import crop_pair
 from pairloom.operators import generate as gen, postprocess as post, sampling
@@ -29,14 +29,19 @@ def crop_splits(corpus: DataFrame, seed: int, ratio: float = 1.0, dev_ratio: flo
     return splits
 
 
+SHARDS_PER_WAVE = 256
+
+
 def generate_missing(spark: SparkSession, corpus: DataFrame, root: str, dataset: str, model: str,
                      steps: list[gen.Step], factory: gen.GeneratorFactory, shard_size: int,
                      prompt: str = "standard", split: str = "train", seed: int = 0,
-                     ratio: float = 1.0, questions_per_document: int = 1, **batching) -> None:
+                     ratio: float = 1.0, questions_per_document: int = 1,
+                     shards_per_wave: int = SHARDS_PER_WAVE, **batching) -> None:
     """Shard the corpus, generate for the shards without output, write output and run facts.
 
     Run it again after an interruption: finished shards are left alone, shards with an error have
-    no output and are generated again.
+    no output and are generated again. Shards are worked off in waves, each written when done, so
+    an interruption costs one wave. The driver holds shard numbers only.
     """
     target = outputs.generated_path(root, dataset, "LLM", model)
     shards = outputs.shards_path(target, split)
@@ -46,21 +51,23 @@ def generate_missing(spark: SparkSession, corpus: DataFrame, root: str, dataset:
     rows = sampled.count() * questions_per_document
     outputs.write_shards(sampling.shard_assign(copies, shard_size, rows=rows), shards)
 
-    todo = outputs.read_shards(spark, shards, "pos BIGINT, _id STRING, text STRING")
     done_path = f"{target}/{split}/pairs"
+    todo = outputs.read_shards(spark, shards, "pos BIGINT, _id STRING, text STRING")
     missing = sampling.shard_missing(todo, finished_shards(spark, done_path))
-    work = todo.join(missing, "shard_id", "left_semi")
-    made = gen.prompt_steps(gen.prepare_documents(work, "text"), steps, factory, **batching)
-    made = made.select("pos", "query", "document", "document_processed", "shard_id", "errors",
-                       "seconds_total", "batch_size")
-
-    made = materialize(made, "attempt")  # the model runs once, all else reads its output
-    facts = gen.run_facts(made, dataset, split, model, prompt)
-    outputs.append_facts(facts, f"{target}/{split}/metadata")
-    clean = facts.filter("errors = 0").select("shard_id")
-    finished = made.join(clean, "shard_id", "left_semi")
-    outputs.write_generated(
-        finished.select("pos", "query", "document", "document_processed", "shard_id"), done_path)
+    ids = sorted(row["shard_id"] for row in missing.collect())
+    for start in range(0, len(ids), shards_per_wave):
+        wave = todo.filter(F.col("shard_id").isin(ids[start:start + shards_per_wave]))
+        made = gen.prompt_steps(gen.prepare_documents(wave, "text"), steps, factory, **batching)
+        made = materialize(made.select(  # the model runs once, all else reads its output
+            "pos", "query", "document", "document_processed", "shard_id", "errors",
+            "seconds_total", "batch_size"), "wave")
+        facts = gen.run_facts(made, dataset, split, model, prompt)
+        clean = facts.filter("errors = 0").select("shard_id")
+        finished = made.join(clean, "shard_id", "left_semi")
+        outputs.write_generated(
+            finished.select("pos", "query", "document", "document_processed", "shard_id"),
+            done_path)
+        outputs.append_facts(facts, f"{target}/{split}/metadata")
 
 
 def finished_shards(spark: SparkSession, path: str) -> DataFrame:

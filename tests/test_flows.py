@@ -44,7 +44,8 @@ class FailsOnSeven(gen.LongestWord):
 def test_generate_and_resume(spark, tmp_path):
     root, steps = str(tmp_path / "out"), builtin_prompts()["standard"]
     run = lambda model: build.generate_missing(
-        spark, documents(spark, 40), root, "set", "org/m", steps, model, shard_size=10, batch_size=1)
+        spark, documents(spark, 40), root, "set", "org/m", steps, model, shard_size=10, batch_size=1,
+        shards_per_wave=3)
     run(FailsOnSeven)
     done = f"{root}/set/LLM_org_m/train/pairs"
     schema = "pos BIGINT, query STRING, document STRING, document_processed STRING"
