@@ -9,11 +9,16 @@ SEPARATOR = " "
 DUAL_SEPARATOR = " [SEP] "
 NON_ASCII = r"[^\x00-\x7F]"
 PROMPT_CHARACTERS = 2000
+# Fixed value: the characters that count as white space when a text is stripped.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def norm_query(text: Column) -> Column:

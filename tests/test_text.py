@@ -33,6 +33,15 @@ def test_surplus_value_is_ignored(spark):
     assert one(spark, txt.prompt_build("{}!", [F.col("a"), F.col("b")]), a="x", b="y") == "x!"
 
 
+def test_white_space_is_that_of_python():
+    assert [ord(c) for c in txt.WHITE_SPACE] == [i for i in range(0x110000) if chr(i).isspace()]
+
+
+@pytest.mark.parametrize("text", ["", " \u3000", "\xa0 a\u2003b \x1f", "x", "\u200bx\u200b"])
+def test_strip_equals_python(spark, text):
+    assert one(spark, txt.strip(F.col("a")), a=text) == text.strip()
+
+
 def test_strip_and_ascii(spark):
     assert one(spark, txt.strip(F.col("a")), a="  \t a b \n") == "a b"
     assert one(spark, txt.ascii_strip(F.col("a")), a="naïve ½ cup") == "nave  cup"
