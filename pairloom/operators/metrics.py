@@ -263,8 +263,11 @@ def macro(metrics: DataFrame, keys: list[str], expected: int | None = None) -> D
 
 
 def readable(metrics: DataFrame) -> DataFrame:
-    """``text``: percentages with 2 decimals for accuracy, precision and recall, else 4 decimals."""
+    """``text``: percentages with 2 decimals for accuracy, precision and recall, else 4 decimals.
+
+    Halves go to the even digit.
+    """
     share = F.col("metric").isin("accuracy", "precision", "recall")
-    return metrics.withColumn("text", F.when(
-        share, F.format_string("%.2f%%", F.col("value") * 100)).otherwise(
-        F.format_string("%.4f", F.col("value"))))
+    percent = F.format_string("%.2f%%", F.bround(F.col("value") * 100, 2))
+    return metrics.withColumn("text", F.when(share, percent).otherwise(
+        F.format_string("%.4f", F.bround("value", 4))))

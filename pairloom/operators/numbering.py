@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pairloom.functions.draws import digest
 
 BUCKET_BITS = 17  # buckets of up to 131,072 positions
-HASH_DIGITS = 4  # 65,536 even buckets
+HASH_DIGITS = 5  # 1,048,576 even buckets
 
 
 def _number(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str,

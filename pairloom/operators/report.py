@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.text import first_word, sim_of_name
+from pairloom.operators.metrics import macro
 from pairloom.session import materialize
 
 # The collections and metrics of the report.
@@ -18,6 +19,7 @@ SUB_FORUMS = [
     "tex", "unix", "webmasters", "wordpress",
 ]
 REPORT_METRICS = ["NDCG@10", "Recall@100", "MRR@10"]
+GROUPED = {"cqadupstack": 12}  # collections made of sub-collections, and how many
 
 
 def word_counts(df: DataFrame, question: str = "question", pos: str = "pos") -> DataFrame:
@@ -57,6 +59,21 @@ def without_failed(outputs: DataFrame, facts: DataFrame) -> DataFrame:
     return outputs.join(failed, "shard_id", "left_anti")
 
 
+def result_table(metrics: DataFrame, model: str, grouped: dict[str, int] | None = None) -> DataFrame:
+    """Result rows (model, dataset, metric, k, value in percent) of one model and score function.
+
+    A sub-collection is named ``group/part``. Every collection gets its own rows; a group also
+    gets the mean over its parts, and must be complete.
+    """
+    rows = metrics.select("dataset", "metric", "k", "value")
+    single = rows.withColumn("value", F.col("value") * 100)
+    for name, parts in (GROUPED if grouped is None else grouped).items():
+        group = rows.filter(F.col("dataset").startswith(f"{name}/")).withColumn("dataset", F.lit(name))
+        mean = macro(group, ["dataset"], expected=parts)
+        single = single.unionByName(mean.drop("collections"))
+    return single.select(F.lit(model).alias("model"), "dataset", "metric", "k", "value")
+
+
 def score_sheet(results: DataFrame, metric: str, collections: list[str]) -> DataFrame:
     """Model x collection table of one metric; blanks where a result is missing.
 

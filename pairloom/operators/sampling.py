@@ -22,7 +22,7 @@ def sample_exact(df: DataFrame, ratio: float | None = None, n: int | None = None
     keyed = df.select(F.col(pos).alias("_pos"), digest(seed, salt, F.col(pos)).alias("_hash"))
     bucket = F.substring("_hash", 1, HASH_DIGITS).alias("_bucket")
     counts = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_rows"))
-    order = Window.partitionBy().orderBy("_bucket")  # at most 65,536 rows
+    order = Window.partitionBy().orderBy("_bucket")  # at most 16^HASH_DIGITS rows
     upto = counts.withColumn("_upto", F.sum("_rows").over(order)).withColumn(
         "_all", F.sum("_rows").over(Window.partitionBy()))
     wanted = F.lit(n).cast("long") if ratio is None else F.floor(F.col("_all") * F.lit(ratio))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from pairloom.operators import metrics as met
+from pairloom.operators import metrics as met, report
 
 RUN = "dataset STRING, score_fn STRING, query_id STRING, corpus_id STRING, score DOUBLE, rank INT"
 QRELS = "dataset STRING, query_id STRING, corpus_id STRING, score INT"
@@ -140,3 +140,17 @@ def test_macro_counts_collections(spark):
 def test_readable(spark):
     df = spark.createDataFrame([("s", "a", "recall", 1, 0.12344), ("s", "a", "mrr", 1, 0.12344)], METRICS)
     assert {r["metric"]: r["text"] for r in met.readable(df).collect()} == {"recall": "12.34%", "mrr": "0.1234"}
+
+
+def test_halves_go_to_even(spark):
+    df = spark.createDataFrame([("s", "a", "recall", 1, 0.03125)], METRICS)
+    assert met.readable(df).first()["text"] == f"{3.125:.2f}%"
+
+
+def test_result_table_adds_the_mean_of_a_group(spark):
+    rows = [(f"g/{i}", "a", "NDCG", 10, i / 10) for i in range(3)] + [("nq", "a", "NDCG", 10, 0.5)]
+    df = spark.createDataFrame(rows, METRICS)
+    got = {r["dataset"]: r["value"] for r in report.result_table(df, "m", {"g": 3}).collect()}
+    assert got == pytest.approx({"g/0": 0, "g/1": 10, "g/2": 20, "g": 10, "nq": 50})
+    with pytest.raises(met.WrongCollectionCount):
+        report.result_table(df, "m", {"g": 4})
