@@ -83,16 +83,23 @@ def _blocks(table: pa.Table | pa.RecordBatch) -> list[Block]:
     return out
 
 
-def best_k(scores: np.ndarray, k: int, floor: np.ndarray):
-    """(row, column, score) of each row's k best entries that reach the row's ``floor``.
+def best_k(raw: np.ndarray, k: int, floor: np.ndarray):
+    """(row, column, rounded score) of each row's k best entries that reach the row's ``floor``.
 
-    Ties go to the lower column. Entries of -inf are never returned.
+    Ties after rounding go to the lower column. Entries of -inf are never returned. The matrix is
+    pruned with a margin before anything is rounded, so most of it is only compared once.
     """
-    if scores.shape[1] > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        floor = np.maximum(floor, kth)
-    rows, cols = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-    values = scores[rows, cols]
+    margin = lambda bound: bound - (2 * 10.0 ** -SCORE_DIGITS + 1e-15 * np.abs(bound))
+    candidate = raw >= margin(floor)[:, None]
+    crowded = np.flatnonzero(np.count_nonzero(candidate, axis=1) > k)
+    if len(crowded):  # rare once the floors have risen
+        some = raw[crowded]
+        kth = -np.partition(-some, k - 1, axis=1)[:, k - 1]
+        candidate[crowded] &= some >= margin(kth)[:, None]
+    rows, cols = np.nonzero(candidate)
+    values = np.round(raw[rows, cols], SCORE_DIGITS) + 0.0  # no negative zero
+    reach = (values >= floor[rows]) & (values > -np.inf)
+    rows, cols, values = rows[reach], cols[reach], values[reach]
     order = np.lexsort((cols, -values, rows))
     rows, cols, values = rows[order], cols[order], values[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -135,8 +142,7 @@ class _Scorer:
                 (block.dataset, name), _Running(len(block.ids), self.k))
             for start in range(0, len(block.ids), tile):
                 asked = block.ids[start:start + tile]
-                raw = score_fn(block.matrix[start:start + tile], chunk.matrix)
-                scores = np.round(raw, SCORE_DIGITS) + 0.0  # no negative zero
+                scores = score_fn(block.matrix[start:start + tile], chunk.matrix)
                 for i, qid in enumerate(asked if places else ()):
                     if qid in places:
                         scores[i, places[qid]] = -np.inf
