@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions.crop import crop_pair
 from pairloom.operators import generate as gen, postprocess as post, sampling
+from pairloom.operators.pairs import Collection, join_sup, sup_info
 from pairloom.session import materialize
 from pairloom.sources import files, outputs
 from pairloom.sources.collections import write_qrels
@@ -80,10 +81,10 @@ def finished_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_split(pairs: DataFrame, corpus: DataFrame, document: str, exclude: list[str] | None,
-                 path: str, split: str, query_offset: int = 0) -> None:
+                 path: str, split: str, query_offset: int = 0) -> int:
     """Queries and judgements of the valid pairs, and the loss counts of the split.
 
-    ``pairs`` is a written table, it is read several times.
+    ``pairs`` is a written table, it is read several times. Returns the number of queries.
     """
     valid = materialize(post.valid_pairs(pairs, corpus, document, exclude), "valid")
     numbered = materialize(post.query_ids(valid, query_offset), "numbered")
@@ -91,3 +92,36 @@ def export_split(pairs: DataFrame, corpus: DataFrame, document: str, exclude: li
     write_qrels(post.export_qrels(numbered), f"{path}/qrels/{split}.tsv")
     status = post.post_status(pairs, corpus, document, exclude)
     files.write_json(post.agg_loss(status, corpus), f"{path}/qrels/{split}_info.json")
+    return numbered.count()
+
+
+def export_generated(splits: dict[str, DataFrame], corpus: DataFrame, path: str, dataset: str,
+                     method: str, model: str = "", nested: bool = True,
+                     exclude: list[str] | None = None) -> None:
+    """Clean and export generated splits.
+
+    ``nested`` writes pair records per split; else queries, judgements and the corpus, with query
+    numbers that run on over the splits. Cropped pairs link by their original document and have
+    no leaked answers; generated ones link by their document.
+    """
+    cropped = method == "cropping"
+    document = "original_document" if cropped else "document"
+    excluded = None if cropped else (post.FEW_SHOT_ANSWERS if exclude is None else exclude)
+    offset = 0
+    for split, pairs in splits.items():
+        if nested:
+            valid = post.valid_pairs(pairs, corpus, document, excluded)
+            records = post.export_pairs(valid, dataset, method, model).drop("pos")
+            files.write_json(records, f"{path}/dpr/{split}_dpr.json")
+            status = post.post_status(pairs, corpus, document, excluded)
+            files.write_json(post.agg_loss(status, corpus), f"{path}/dpr/{split}_dpr_info.json")
+        else:
+            offset += export_split(pairs, corpus, document, excluded, f"{path}/beir", split, offset)
+    if not nested:
+        files.write_json(corpus.drop("pos"), f"{path}/beir/corpus.jsonl")
+
+
+def export_supervised(data: Collection, path: str, dataset: str, split: str) -> None:
+    """Pair records of a judged collection and their counts."""
+    files.write_json(join_sup(data, dataset).drop("query_id"), f"{path}/dpr/{split}_dpr.json")
+    files.write_json(sup_info(data.qrels), f"{path}/dpr/{split}_dpr_info.json")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.functions.text import SEPARATOR, passage_for_encoder
+from pairloom.functions.text import DUAL_SEPARATOR, SEPARATOR, passage_for_encoder
 from pairloom.operators import metrics as met
 from pairloom.operators.encode import EncoderFactory, encode
+from pairloom.operators.report import result_table
 from pairloom.operators.search import SCORE_FNS, ScoreFn, topk_search
 from pairloom.session import materialize
 
@@ -33,3 +34,20 @@ def measure(run: DataFrame, qrels: DataFrame, score_fns: list[str] | None = None
     found = materialize(run, "run")
     return (met.evaluate_binary(found, qrels, score_fns or list(SCORE_FNS)),
             met.evaluate_graded(found, qrels, k_values))
+
+
+def evaluate_model(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, model: str,
+                   encoder: EncoderFactory, similarity: str, doc_encoder: EncoderFactory | None = None,
+                   dual: bool = False, k_values: list[int] | None = None,
+                   dim: int | None = None) -> DataFrame:
+    """Result rows (model, dataset, metric, k, percent) of one model on all collections at once.
+
+    Graded metrics of one similarity. All frames have a ``dataset`` column; parts of a grouped
+    collection are named ``group/part``.
+    """
+    ks = k_values or met.GRADED_AT
+    run = search_texts(queries, corpus, encoder, doc_encoder, max(ks),
+                       {similarity: SCORE_FNS[similarity]}, DUAL_SEPARATOR if dual else SEPARATOR,
+                       dim=dim)
+    graded = met.evaluate_graded(materialize(run, "run"), qrels, ks)
+    return result_table(materialize(graded, "metrics"), model)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import generate as gen
 from pairloom.operators.encode import hashed_words
-from pairloom.plans import build, evaluate
+from pairloom.operators.pairs import Collection
+from pairloom.operators.report import score_sheet
+from pairloom.plans import build, evaluate, train
 from pairloom.sources import files, outputs
 from pairloom.sources.prompts import builtin_prompts
 from pairloom.streaming.resume import corpus_stream, crop_stream
@@ -103,3 +105,56 @@ def test_search_texts_finds_the_same_text(spark):
     binary, graded = evaluate.measure(run, qrels, k_values=[1, 3])
     value = lambda df, m, k: df.filter(f"metric = '{m}' AND k = {k} AND score_fn = 'cos_sim'").first()["value"]
     assert value(binary, "accuracy", 3) == pytest.approx(value(graded, "Recall", 3), abs=1e-5)
+
+
+@pytest.fixture
+def talk(spark):
+    """Ten documents, five queries; query i is about document i, query 4 only has a grade 0."""
+    corpus = documents(spark, 10).withColumn("title", F.lit("t"))
+    queries = documents(spark, 5).withColumn("_id", F.concat(F.lit("q"), "_id"))
+    grade = F.when(F.col("pos") == 4, 0).otherwise(1)
+    qrels = queries.select(F.col("_id").alias("query_id"), F.col("pos").cast("string").alias("corpus_id"),
+                           grade.alias("score"), "pos")
+    return Collection(corpus, queries, qrels)
+
+
+def test_training_batches_and_development_set(spark, talk):
+    rows = train.training_batches(talk, 2, dual=True).collect()
+    assert len(rows) == 4 and sorted(r["batch_id"] for r in rows) == [0, 0, 1, 1]
+    assert all(r["doc"]["doc"] == "t [SEP] " + r["query"]["query"] for r in rows)
+    dev = train.development_set(talk, max_corpus_size=6)
+    assert dev.queries.count() == 4 and dev.corpus.count() == 6 and dev.qrels.count() == 4
+    with pytest.raises(ValueError):
+        train.development_set(talk._replace(queries=talk.queries.limit(0)))
+
+
+def test_evaluate_model_to_sheet(spark, talk):
+    names = [f"cqadupstack/{i}" for i in range(12)] + ["nq"]
+    each = lambda df: df.withColumn("dataset", F.explode(F.array(*[F.lit(n) for n in names])))
+    rows = evaluate.evaluate_model(each(talk.queries), each(talk.corpus), each(talk.qrels), "cos_sim_m",
+                                   hashed_words(512), "cos_sim", k_values=[1, 10], dim=512)
+    rows = rows.withColumn("metric", F.concat_ws("@", "metric", "k"))
+    sheet = score_sheet(rows, "Recall@1", ["cqadupstack", "nq", "fiqa"]).collect()
+    assert [tuple(r) for r in sheet] == [("cos_sim_m", "cos_sim", 80.0, 80.0, 80.0, None)]
+
+
+@pytest.mark.parametrize("nested", [True, False])
+def test_export_generated(spark, tmp_path, nested):
+    corpus = documents(spark, 6).withColumn("title", F.lit("t"))
+    pairs = corpus.select("pos", F.lit("What fruit is native to Australia?").alias("query"), F.col("text").alias("document"))
+    good = pairs.withColumn("query", F.lit("ask")).filter("pos < 4")
+    build.export_generated({"train": good, "dev": good, "rest": pairs}, corpus, str(tmp_path), "set", "LLM", "org/m", nested)
+    if nested:
+        rows = spark.read.json(str(tmp_path / "dpr" / "dev_dpr.json"))
+        assert rows.count() == 4 and rows.first()["dataset"] == "set_unsupervised_LLM_org_m"
+        info = json.loads(next((tmp_path / "dpr" / "rest_dpr_info.json").glob("part-*.json")).read_text())
+        assert info["lost_same_prompt_answer"] == 6
+    else:
+        queries = files.read_queries(spark, str(tmp_path / "beir" / "queries.jsonl"), ordered=False)
+        assert sorted(int(r["_id"]) for r in queries.collect()) == list(range(8))
+        assert files.read_corpus(spark, str(tmp_path / "beir" / "corpus.jsonl")).count() == 6
+
+
+def test_export_supervised(spark, tmp_path, talk):
+    build.export_supervised(talk, str(tmp_path), "set", "train")
+    assert spark.read.json(str(tmp_path / "dpr" / "train_dpr.json")).count() == 5
