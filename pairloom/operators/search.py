@@ -195,7 +195,8 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int,
 
 def _broadcast_hits(asked, docs, k, score_fns, skip_self) -> DataFrame:
     """Query blocks of checked size go to every executor; the corpus is not shuffled."""
-    blocks = {b.dataset: b for b in _blocks(asked.toArrow())}
+    # Plain tuples: a broadcast value must not need this package on the executors.
+    blocks = {b.dataset: tuple(b) for b in _blocks(asked.toArrow())}
     shared = asked.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +205,7 @@ def _broadcast_hits(asked, docs, k, score_fns, skip_self) -> DataFrame:
             for start in range(0, batch.num_rows, CHUNK_ROWS):
                 for chunk in _blocks(batch.slice(start, CHUNK_ROWS)):
                     if chunk.dataset in shared.value:
-                        yield from scorer.hits(shared.value[chunk.dataset], chunk)
+                        yield from scorer.hits(Block(*shared.value[chunk.dataset]), chunk)
 
     return docs.mapInArrow(run, _HITS)
 
