@@ -71,6 +71,8 @@ def _blocks(table: pa.Table | pa.RecordBatch) -> list[Block]:
     names = np.array(table.column("dataset").to_pylist(), dtype=object)
     ids = np.array(table.column("id").to_pylist(), dtype=object)
     vectors = table.column("vec")
+    if vectors.null_count:
+        raise ValueError("every query and document needs a vector, found NULL")
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
@@ -148,6 +150,8 @@ class _Scorer:
                         scores[i, places[qid]] = -np.inf
                 rows, cols, values = best_k(scores, self.k, state.floor(start, start + len(asked)))
                 state.add(start, rows, values)
+                if not len(rows):
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block.dataset] * len(rows), pa.string()),
                      pa.array([name] * len(rows), pa.string()),

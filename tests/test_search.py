@@ -91,3 +91,10 @@ def test_plan_has_group_limit_and_no_product(spark):
     plan = topk_search(rows, rows, 3, dataset="dataset")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_missing_vector_is_an_error(spark):
+    good = spark.createDataFrame([("q", [1.0, 0.0])], "_id STRING, vec ARRAY<DOUBLE>")
+    bad = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "_id STRING, vec ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="needs a vector"):
+        topk_search(good, bad, 1).collect()
