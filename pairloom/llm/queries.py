@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.llm import language
+from pairloom.llm import language, neardup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,8 @@ def table(spark, sf_dir: str, name: str):
 @entry("op8_language_id")
 def op8_language_id(spark, sf_dir):
     return language.language_of_documents(table(spark, sf_dir, "documents"))
+
+
+@entry("op6_minhash")
+def op6_minhash(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
