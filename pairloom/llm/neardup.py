@@ -124,6 +124,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * same >= percent * union).select("a", "b")
 
 
+def across(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts that may be similar enough; ``sets``: cid, part, shingles.
+
+    Exact prefix and position filters. With shingles in ascending order of how many sets have them,
+    two sets that share enough also share one among the first few of either (fewer still on the side
+    of the smaller set), and what is left after the first shared one must be enough. Shingles of one
+    set alone only count as places. A group of copies with many edits each thus gives hardly a pair.
+    """
+    rows = sets.select("cid", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    held = rows.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    own = Window.partitionBy("cid")
+    placed = rows.join(held, "t").withColumn("pos", (
+        F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "t")) - 1))
+    need = f"cast(ceil({percent} * ({{}}) / {100 + percent}) AS int)"
+    probe = placed.filter(f"pos <= n - cast(ceil({percent} * n / 100) AS int)")
+    probe = materialize(probe.select("t", "cid", "part", "n", "pos"), "neardup-prefixes")
+    index = probe.filter(f"pos <= n - {need.format('2 * n')}").select(
+        "t", *[F.col(c).alias(f"{c}_x") for c in ("cid", "part", "n", "pos")])
+    near = index.join(probe, "t").filter(
+        "part_x != part AND (n_x < n OR (n_x = n AND cid_x < cid))"
+        f" AND 100 * n_x >= {percent} * n AND least(n_x - pos_x, n - pos) >= {need.format('n_x + n')}")
+    return near.select(F.least("cid_x", "cid").alias("a"), F.greatest("cid_x", "cid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     halves: int = HALVES, per_half: int = PER_HALF) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
@@ -165,10 +189,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         "part", F.coalesce("component", "cid"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter(
         "lo < hi").select("key")
-    rest = materialize(placed.join(mixed, "key").select("key", "cid", "n", "part"), "neardup-rest")
-    other = rest.select("key", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("part").alias("p"))
-    more = rest.join(other, "key").filter("a < cid AND part != p").filter(sized).select(
-        "a", F.col("cid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = materialize(placed.join(mixed, "key").select("cid", "part").distinct(), "neardup-rest")
+    more = across(sets.join(rest, "cid"), percent).join(first, ["a", "b"], "left_anti")
     links = links.union(verified(materialize(more, "neardup-pairs"), sets, percent))
 
     joined = classes.select("s1", "s2", "cid").join(
