@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.llm import language, neardup
+from pairloom.llm import decontamination, fingerprints, language, licenses, neardup, packing, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,33 @@ def op8_language_id(spark, sf_dir):
 @entry("op6_minhash")
 def op6_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@entry("op5_packing")
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@entry("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@entry("op3_licenses")
+def op3_licenses(spark, sf_dir):
+    return licenses.licenses_of_documents(table(spark, sf_dir, "documents"))
+
+
+@entry("op4_fingerprint")
+def op4_fingerprint(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@entry("op9_warc")
+def op9_warc(spark, sf_dir):
+    return warc.digest_rows(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
+@entry("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
