@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.llm import decontamination, fingerprints, language, licenses, neardup, packing, toxicity, warc
+from pairloom.llm import decontamination, fingerprints, language, licenses, neardup, packing, suffixes, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op9_warc(spark, sf_dir):
 @entry("op10_toxicity")
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@entry("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    return suffixes.removed(table(spark, sf_dir, "documents"))
