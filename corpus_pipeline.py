@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pairloom.llm import language
+from pairloom.llm import decontamination, language, neardup, packing, suffixes
 from pairloom.session import materialize
 
 STAGES = [
     ("language_id", language.stage),
+    ("near_duplicates", neardup.stage),
+    ("repeated_strings", suffixes.stage),
+    ("decontamination", decontamination.stage),
+    ("packing", packing.stage),
 ]
 
+# SQL can neither train the language model nor pack; the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
