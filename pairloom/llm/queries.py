@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.llm import decontamination, fingerprints, language, licenses, neardup, packing, suffixes, toxicity, warc
+from pairloom.llm import decontamination, fingerprints, language, licenses, lm, neardup, packing, suffixes, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op10_toxicity(spark, sf_dir):
 @entry("op1_suffix_dedup")
 def op1_suffix_dedup(spark, sf_dir):
     return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
+@entry("op7_lm_score")
+def op7_lm_score(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
