@@ -39,7 +39,7 @@ TARGETS, CONTEXT = 32, 32
 WIDTH = 16  # of embeddings
 OWN_ROWS, ROWS = 4096, 5120
 MAX_PAIRS = 1 << 20
-TOP_WORDS = 200_000
+TOP_WORDS = 400_000
 EVERY = 16  # one window of so many is trained on
 BATCH = 128  # windows
 RATE = 0.1
@@ -99,9 +99,15 @@ def _counter(keys_of):
     return run
 
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    at = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy()[at[0]:at[-1]].astype(np.int64), at - at[0]
+def _lists(column, limit: int = 1 << 18):
+    """(first row, last row + 1, ids, offsets) of consecutive rows of about ``limit`` ids."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy()
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
+        yield i, j, values[ends[i]:ends[j]].astype(np.int64), ends[i:j + 1] - ends[i]
+        i = j
 
 
 def _before(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -113,8 +119,8 @@ def _before(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def pair_counts(train: DataFrame) -> DataFrame:
     def keys_of(batch, _):
-        ids, at = _lists(batch.column(0))
-        yield _before(ids, at) * VOCABULARY + ids
+        for _, _, ids, at in _lists(batch.column(0), 1 << 20):
+            yield _before(ids, at) * VOCABULARY + ids
 
     found = train.select("ids").mapInArrow(_counter(keys_of), "key long, n long")
     return found.groupBy("key").agg(F.sum("n").alias("n"))
@@ -193,16 +199,17 @@ def forward(p: dict, ids, before, rows, bigram, first, begin, end):
     r_key = rows[before[place]]
     r_ask = r_key[:, CONTEXT:]
     ask, key = p["ask"][r_ask], p["key"][r_key]
-    logit = np.matmul(ask, key.transpose(0, 2, 1)) + p["far"][np.clip(DISTANCE, 0, None)]
-    seen = (DISTANCE > 0)[None] & inside[:, None, :]
-    logit = np.where(seen, logit, np.float32(-1e9))
-    weight = np.exp(logit - logit.max(axis=2, keepdims=True))
-    weight *= seen
+    weight = np.matmul(ask, key.transpose(0, 2, 1))
+    weight += np.where(DISTANCE > 0, p["far"][np.clip(DISTANCE, 0, None)], np.float32(-1e9))  # causal
+    weight += np.where(inside, np.float32(0), np.float32(-1e9))[:, None, :]
+    np.minimum(weight, np.float32(60), out=weight)  # far above any trained weight, below overflow
+    np.exp(weight, out=weight)
     total = weight.sum(axis=2)
     some = total > 0
     weight /= np.where(some, total, 1)[:, :, None]
-    same = ids[place][:, None, :] == ids[target][:, :, None]
-    copied = (weight * same).sum(axis=2)
+    there = ids[place].astype(np.int32)
+    same = there[:, None, :] == there[:, CONTEXT:, None]
+    copied = np.einsum("btk,btk->bt", weight, same.astype(np.float32))
     gate = np.where(some, 1 / (1 + np.exp(-p["gate"][r_ask])), 0)
     likely = bigram[target]
     return gate * copied + (1 - gate) * likely, live, target, (
@@ -238,18 +245,16 @@ def fit(train: DataFrame, shared) -> dict:
         grams, p = Bigrams(s), start()
         memory, n = {k: np.zeros(v.shape) for k, v in p.items()}, 0
         for batch in batches:
-            ids, at = _lists(batch.column(0))
-            if not len(ids):
-                continue
-            before = _before(ids, at)
-            bigram = grams.of(before, ids)
-            name = (mix(batch.column(1).to_numpy().view(U64)) >> U64(8)).astype(np.int64)
-            first, begin, end = windows(at, lambda r, t, k: t % EVERY == name[r] % np.minimum(k, EVERY))
-            for i in range(0, len(first), BATCH):
-                prob, live, _, held = forward(p, ids, before, s["rows"], bigram, first[i:i + BATCH],
-                                              begin[i:i + BATCH], end[i:i + BATCH])
-                backward(p, memory, prob, live, held)
-                n += len(first[i:i + BATCH])
+            names = (mix(batch.column(1).to_numpy().view(U64)) >> U64(8)).astype(np.int64)
+            for low, high, ids, at in _lists(batch.column(0)):
+                before, name = _before(ids, at), names[low:high]
+                bigram = grams.of(before, ids)
+                first, begin, end = windows(at, lambda r, t, k: t % EVERY == name[r] % np.minimum(k, EVERY))  # noqa: B023
+                for i in range(0, len(first), BATCH):
+                    prob, live, _, held = forward(p, ids, before, s["rows"], bigram, first[i:i + BATCH],
+                                                  begin[i:i + BATCH], end[i:i + BATCH])
+                    backward(p, memory, prob, live, held)
+                    n += len(first[i:i + BATCH])
         if n:
             yield _model([(n, p)])
 
@@ -285,9 +290,8 @@ def scored(ids: DataFrame, shared) -> DataFrame:
         s, p = shared.value
         grams = Bigrams(s)
         for batch in batches:
-            own, at = _lists(batch.column(5))
             out = np.zeros(batch.num_rows)
-            if len(own):
+            for low, high, own, at in _lists(batch.column(5)):
                 before = _before(own, at)
                 bigram = grams.of(before, own)
                 logs = np.zeros(len(own))
@@ -296,7 +300,7 @@ def scored(ids: DataFrame, shared) -> DataFrame:
                     prob, live, target, _ = forward(p, own, before, s["rows"], bigram, first[i:i + BATCH],
                                                     begin[i:i + BATCH], end[i:i + BATCH])
                     logs[target[live]] = np.log10(prob[live])
-                out = np.add.reduceat(logs, at[:-1])
+                out[low:high] = np.add.reduceat(logs, at[:-1])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(out)],
                                              names=[*KEY, "doc_id", "held_out", "score"])
 
