@@ -55,7 +55,7 @@ def ids_of(docs: DataFrame, tokenizer: str) -> DataFrame:
         coder = Subwords(tokenizer)
         for batch in batches:
             data, offsets = flat(batch.column(5))
-            for i, j, part, at in slices(data, offsets, 1 << 22):
+            for i, j, part, at in slices(data, offsets, 1 << 20):
                 ids, first = coder.ids(part, at)
                 ids = np.insert(ids, first[1:], END).astype(np.int32)
                 cuts = pa.array((first + np.arange(len(first))).astype(np.int32))
