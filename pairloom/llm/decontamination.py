@@ -18,6 +18,8 @@ one: repeated rows are reported alike, of repeated items each. Empty tables give
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -128,9 +130,13 @@ def _judge(index, item, doc_places, item_places, slots, values):
     if found < SIMILARITY * kinds:
         return None
     own, pairs = int(index["first"][item]), set()
-    for at, place in zip(doc_places[low:high + 1], item_places[low:high + 1]):
+    # Values are compared along the most frequent shift, as a window can stand in an item repeatedly.
+    hits = list(zip(doc_places[low:high + 1], item_places[low:high + 1]))
+    shifts = Counter(at - place for at, place in hits)
+    shift = min(shifts, key=lambda x: (-shifts[x], x))
+    for at, place in hits:
         for k in range(min(WINDOW, size)):
-            if slots[at + k]:
+            if at - place == shift and slots[at + k]:
                 pairs.add((int(at + k), int(index["values"][own + place + k]), int(values[at + k])))
     forth, back = {}, {}
     for _, a, b in pairs:
@@ -222,5 +228,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
     for shared in portions(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        docs = docs.withColumn("_hits", items_held(shared, F.col("text"))).filter("size(_hits) = 0").drop("_hits")
+        docs = docs.select(F.struct("*").alias("row"), items_held(shared, F.col("text")).alias("hits")).filter(
+            "size(hits) = 0").select("row.*")
     return docs

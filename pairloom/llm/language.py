@@ -204,4 +204,5 @@ def language_of_documents(docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language can be told; the rest goes."""
     found = predict(train_on_documents(docs), F.col("text"), spark)
-    return docs.withColumn("_found", found).filter(F.col("_found.lang_pred") != UNKNOWN).drop("_found")
+    return docs.select(F.struct("*").alias("row"), found.alias("found")).filter(
+        F.col("found.lang_pred") != UNKNOWN).select("row.*")

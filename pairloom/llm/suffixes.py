@@ -483,15 +483,15 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated strings; a character that is cut through goes whole."""
-    rows = keyed(docs)
-    found = marks(rows).select(*[F.col(k).alias(f"_{k}") for k in KEY], "spans")
+    found = marks(keyed(docs))
     text = F.coalesce("text", F.lit(""))
-    same = ((F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("_k0"))
-            & (F.xxhash64(text) == F.col("_k1")) & (F.xxhash64(F.lit(7), text) == F.col("_k2")))
-    joined = docs.join(found.withColumnRenamed("spans", "_spans"), same, "left")
-    whole = F.arrow_udf(_decoded, "string")(_cut(True)("text", "_spans")["kept"])
-    changed = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(whole))
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k0"),
+                      F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), F.struct("*").alias("row"))
+    whole = F.arrow_udf(_decoded, "string")(_cut(True)("row.text", "spans")["kept"])
+    changed = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(whole)
+    rows = own.join(found, KEY, "left").select("row", changed.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _decoded(raw: pa.Array) -> pa.Array:
