@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 21  # texts handled at once; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # texts handled at once; a longer text is a slice of its own
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -86,7 +86,7 @@ class SpanHash:
     def prefix(self, data: np.ndarray) -> np.ndarray:
         n = len(data)
         if len(self.power) <= n:
-            size = max(2 * len(self.power), n + 1)
+            size = max(SLICE_BYTES, n)
             self.power, self.inverse = (
                 np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size, b, U64)]))
                 for b in (BASE, INVERSE))

@@ -55,7 +55,7 @@ def ids_of(docs: DataFrame, tokenizer: str) -> DataFrame:
         coder = Subwords(tokenizer)
         for batch in batches:
             data, offsets = flat(batch.column(5))
-            for i, j, part, at in slices(data, offsets, 1 << 20):
+            for i, j, part, at in slices(data, offsets, 1 << 19):
                 ids, first = coder.ids(part, at)
                 ids = np.insert(ids, first[1:], END).astype(np.int32)
                 cuts = pa.array((first + np.arange(len(first))).astype(np.int32))
@@ -88,7 +88,7 @@ def _counter(keys_of):
         for batch in batches:
             for keys in keys_of(batch, state):
                 held.append(np.unique(keys, return_counts=True))
-                if len(held) > 16:
+                if len(held) > 8:
                     held = [_counted(held)]
         keys, n = _counted(held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for i in range(0, len(keys), 100_000):

@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         for batch in batches:
             owners = batch.column(0)
             data, offsets = flat(batch.column(1))
-            for i, j, part, at in slices(data, offsets, 1 << 20):
+            for i, j, part, at in slices(data, offsets, 1 << 19):
                 ids, first = coder.ids(part, at)
                 ids, ends = np.insert(ids, first[1:], end_id), first[1:] + np.arange(1, j - i + 1)
                 begins = np.concatenate([[0], ends[:-1]])

@@ -18,7 +18,7 @@ import numpy as np
 
 from pairloom.llm.columns import NO_BLANKS, SpanHash
 
-CACHED_WORDS = 600_000  # pieces whose ids a task remembers
+CACHED_WORDS = 250_000  # pieces whose ids a task remembers
 
 
 def default_path() -> str:
