@@ -14,7 +14,7 @@ from pairloom.operators.pairs import Collection
 from pairloom.operators.sampling import replicate_k
 from pairloom.operators.search import topk_search
 from pairloom.plans.evaluate import search_texts
-from pairloom.session import materialize, spread
+from pairloom.session import materialize
 
 SEED = 7
 DIM = 64
@@ -39,13 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- documents -----------------------------------------------------------------------------
 
 
-def corpus(spark, d, heavy: bool = False) -> DataFrame:
-    """Every document as a corpus row; ``pos`` is the document number.
-
-    ``heavy`` spreads a small table over all cores.
-    """
+def corpus(spark, d) -> DataFrame:
+    """Every document as a corpus row; ``pos`` is the document number."""
     docs = table(spark, d, "documents")
-    return (spread(docs) if heavy else docs).select(
+    return docs.select(
         F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("title"), "text",
         F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), F.col("doc_id").alias("pos"))
 
@@ -203,9 +200,9 @@ VECTOR_QRELS_SQL = """qrels AS (
 # -- conversations -------------------------------------------------------------------------
 
 
-def _turns(spark, d, role: str, shift: int, heavy: bool) -> DataFrame:
+def _turns(spark, d, role: str, shift: int) -> DataFrame:
     t = table(spark, d, "conversations")
-    t = (spread(t) if heavy else t).filter(F.col("role") == role)
+    t = t.filter(F.col("role") == role)
     return t.select(
         F.concat(F.lit("turn"), (F.col("turn") - shift).cast("string")).alias("dataset"),
         F.concat_ws("-", F.lit(role[0]), "conv_id", "turn").alias("_id"),
@@ -213,14 +210,14 @@ def _turns(spark, d, role: str, shift: int, heavy: bool) -> DataFrame:
         (F.col("conv_id") * 1024 + F.col("turn")).alias("pos"))
 
 
-def questions(spark, d, heavy: bool = False) -> DataFrame:
+def questions(spark, d) -> DataFrame:
     """Every user turn as a query. The collection is the depth of the question."""
-    return _turns(spark, d, "user", 0, heavy)
+    return _turns(spark, d, "user", 0)
 
 
-def replies(spark, d, heavy: bool = False) -> DataFrame:
+def replies(spark, d) -> DataFrame:
     """Every assistant turn as a passage of the collection of the question before it."""
-    return _turns(spark, d, "assistant", 1, heavy)
+    return _turns(spark, d, "assistant", 1)
 
 
 def reply_qrels(spark, d) -> DataFrame:

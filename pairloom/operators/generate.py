@@ -22,8 +22,6 @@ GeneratorFactory = Callable[[], Generator]
 BATCH_SIZE = 64
 BATCH_SIZE_STEP = 16
 TRIES = 3
-MAX_NEW_TOKENS = 32
-TOP_P = 0.9
 
 
 class Step(NamedTuple):
@@ -44,7 +42,10 @@ def complete_batches(prompts: list[str], model: Generator, batch_size: int = BAT
     while len(done) < len(prompts):
         part = prompts[len(done):len(done) + batch_size]
         try:
-            done += model(part)
+            answers = list(model(part))
+            if len(answers) != len(part):
+                raise ValueError(f"{len(answers)} completions for {len(part)} prompts")
+            done += answers
             errors += [0] * len(part)
             failures = 0
         except Exception:  # the model is foreign code: any failure counts as one try
@@ -72,11 +73,11 @@ def complete(df: DataFrame, factory: GeneratorFactory, prompt: str = "prompt",
 
     @F.pandas_udf(_TOLD)
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model, size = factory(), batch_size
         for prompts in batches:
             begin = time.perf_counter()
             texts, errors, size = complete_batches(
-                prompts.tolist(), model, batch_size, step, tries)
+                prompts.tolist(), model, size, step, tries)
             share = (time.perf_counter() - begin) / max(1, len(prompts))
             yield pd.DataFrame({"completion": texts, "error": errors, "used_batch_size": size,
                                 "seconds": share})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
+NULL_SALTS = 4096
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], spread: str,
@@ -14,14 +15,20 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], spread: str,
     Keys with more than ``hot_rows`` rows are cut into ``ceil(rows / hot_rows)`` salts by a hash
     of ``spread`` (a column of ``left`` that is unique, so a retried task salts alike); only
     their one row on the right is copied per salt. At most rows / hot_rows keys can be hot, which
-    bounds both the broadcast list and the copies.
+    bounds both the broadcast list and the copies. Rows with a NULL key match nothing; they are
+    spread over negative salts, which the right side doesn't have.
     """
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     hot = counts.select(*on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
     hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(F.col(spread)), F.col("_salts")).cast("int")
+    hashed = F.xxhash64(F.col(spread))
+    salt = F.pmod(hashed, F.col("_salts")).cast("int")
+    unmatched = F.lit(False)
+    for key in on:
+        unmatched = unmatched | F.col(key).isNull()
     salted_left = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(salt)).drop("_salts")
+        "_salt", F.when(unmatched, -1 - F.pmod(hashed, F.lit(NULL_SALTS)).cast("int"))
+        .when(F.col("_salts").isNull(), 0).otherwise(salt)).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     salted_right = right.join(hot, on, "left").withColumn("_salt", copies).drop("_salts")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")

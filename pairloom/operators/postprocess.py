@@ -51,7 +51,7 @@ def _judged(pairs: DataFrame, document: str, exclude: list[str] | None) -> DataF
         excluded = sorted({answer.lower().strip() for answer in exclude})
         leaked = F.coalesce(norm_query(F.col("query")).isin(excluded), F.lit(False))
     return (pairs.withColumn("_key", text_key(document))
-            .withColumn("_empty", F.length("query") == 0)
+            .withColumn("_empty", F.coalesce(F.length("query") == 0, F.lit(True)))
             .withColumn("_leaked", leaked))
 
 

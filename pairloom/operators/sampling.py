@@ -108,9 +108,9 @@ def require_complete(shards: DataFrame, done: DataFrame) -> None:
 
 def corpus_cap(corpus: DataFrame, qrels: DataFrame, max_corpus_size: int, seed: int = 0,
                pos: str = "pos") -> DataFrame:
-    """Keep every relevant document and fill up to the cap with a random remainder."""
+    """Keep every relevant document of the corpus and fill up to the cap with a random remainder."""
     relevant = qrels.filter("score >= 1").select(F.col("corpus_id").alias("_id")).distinct()
-    needed = relevant.count()
+    needed = corpus.select("_id").join(relevant, "_id", "left_semi").count()
     if needed > max_corpus_size:
         raise ValueError(f"the cap {max_corpus_size} is below the {needed} relevant documents")
     kept = corpus.join(relevant, "_id", "left_semi")

@@ -46,7 +46,8 @@ def generate_missing(spark: SparkSession, corpus: DataFrame, root: str, dataset:
     """
     target = outputs.generated_path(root, dataset, "LLM", model)
     shards = outputs.shards_path(target, split)
-    sampled = corpus if ratio == 1.0 else sampling.sample_exact(corpus, ratio=ratio, seed=seed)
+    sampled = corpus if ratio == 1.0 else sampling.sample_exact(
+        corpus, ratio=ratio, seed=seed, salt=f"sample-{split}")
     copies = sampling.replicate_k(
         sampled.select("pos", "_id", "text"), questions_per_document, seed=seed)
     rows = sampled.count() * questions_per_document

@@ -3,18 +3,11 @@
 CORPUS = "_id STRING, title STRING, text STRING, metadata MAP<STRING,STRING>"
 QUERIES = "_id STRING, text STRING"
 QRELS = "query_id STRING, corpus_id STRING, score INT"
-CROPPED = "query STRING, document STRING, original_document STRING"
-GENERATED = "query STRING, document STRING, document_processed STRING"
 RUN_FACTS = (
     "dataset_name STRING, shard_id INT, save_path STRING, this_file_path STRING, split STRING, "
     "model_name STRING, time_start STRING, time_end STRING, time_in_minutes DOUBLE, errors INT, "
     "optimization BOOLEAN, do_sample BOOLEAN, p DOUBLE, batch_size INT, prompt_name STRING"
 )
-PASSAGE = "STRUCT<title STRING, text STRING, score INT, title_score INT, passage_id STRING>"
-PAIR_RECORD = (
-    f"dataset STRING, question STRING, answers STRING, positive_ctxs ARRAY<{PASSAGE}>, "
-    f"negative_ctxs ARRAY<{PASSAGE}>, hard_negative_ctxs ARRAY<{PASSAGE}>"
-)
 SCORE_CARD = (
     "`model name` STRING, algorithm STRING, `trained on` STRING, "
     "metrics MAP<STRING, MAP<STRING, STRING>>"

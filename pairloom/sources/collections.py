@@ -25,7 +25,8 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 def write_qrels(qrels: DataFrame, path: str) -> None:
     columns = [F.col(c).alias(h) for c, h in zip(("query_id", "corpus_id", "score"), QREL_HEADER)]
     qrels.select(*columns).write.mode("overwrite").option("sep", "\t").option(
-        "header", True).csv(path)
+        "header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)  # blanks in ids stay
 
 
 def evaluation_split(dataset: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom import schemas
@@ -37,8 +38,18 @@ def layout_columns(df: DataFrame) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """One folder per shard; nothing happens if shards are there already."""
-    df.write.mode("ignore").partitionBy("shard_id").parquet(path)
+    """One folder per shard; nothing happens if all shards are there already.
+
+    A marker table beside the folder is written last, so shards of a broken-off write are replaced.
+    """
+    spark, marker = df.sparkSession, f"{path.rstrip('/')}.done"
+    try:
+        spark.read.schema("id BIGINT").parquet(marker)
+        return
+    except AnalysisException:  # the marker isn't there
+        pass
+    df.hint("rebalance", "shard_id").write.mode("overwrite").partitionBy("shard_id").parquet(path)
+    spark.range(1).write.mode("overwrite").parquet(marker)
 
 
 def write_generated(df: DataFrame, path: str) -> None:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairloom.operators.generate import Step
 from pairloom.operators.postprocess import FEW_SHOT_ANSWERS
 
-MAX_STEPS = 10
 
 # The few-shot examples and the texts of the built-in prompts.
 DOCUMENTS = [
@@ -67,13 +66,12 @@ def parse_prompts(files: DataFrame) -> DataFrame:
     """
     named = files.select(F.explode(F.from_json("value", "MAP<STRING, STRING>")).alias("name", "body"))
     step = "STRUCT<prompt: STRING, next_step: STRING>"
-    numbered = ", ".join(f"`{i}`: {step}" for i in range(MAX_STEPS))
-    schema = f"STRUCT<is_external: BOOLEAN, info: STRING, steps: INT, {numbered}>"
-    body = named.withColumn("b", F.from_json("body", schema))
-    listed = F.slice(F.array(*[F.col(f"b.`{i}`") for i in range(MAX_STEPS)]), F.lit(1),
-                     F.col("b.steps"))
-    return body.select("name", F.col("b.is_external").alias("is_external"),
-                       F.col("b.info").alias("info"), listed.alias("steps"))
+    body = named.withColumn("b", F.from_json("body", "MAP<STRING, STRING>"))
+    number = F.coalesce(F.col("b")["steps"].cast("int"), F.lit(0))
+    places = F.when(number > 0, F.sequence(F.lit(0), number - 1)).otherwise(F.array().cast("array<int>"))
+    listed = F.transform(places, lambda i: F.from_json(F.col("b")[i.cast("string")], step))
+    return body.select("name", F.col("b")["is_external"].cast("boolean").alias("is_external"),
+                       F.col("b")["info"].alias("info"), listed.alias("steps"))
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:

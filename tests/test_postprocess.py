@@ -95,3 +95,12 @@ def test_exports(spark):
     assert row["positive_ctxs"][0].asDict() == {
         "title": "a", "text": "T", "score": 0, "title_score": 0, "passage_id": "7"}
     assert row["negative_ctxs"] == [] and row["hard_negative_ctxs"] == []
+
+
+def test_null_keys_are_spread(spark):
+    from pairloom.operators.joins import join_unique
+
+    left = spark.range(3000).selectExpr("id AS pos", "IF(id % 3 = 0, 'a', NULL) AS k")
+    right = spark.createDataFrame([("a", 1)], "k string, v int")
+    joined = join_unique(left, right, ["k"], "pos", hot_rows=100)
+    assert joined.count() == 3000 and joined.filter("v = 1").count() == 1000

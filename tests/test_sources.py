@@ -114,3 +114,25 @@ def test_score_card(spark, tmp_path):
     rows = outputs.score_card(files.read_json(spark, path, schemas.SCORE_CARD)).collect()
     assert sorted((r["model"], r["metric"], r["dataset"], r["value"]) for r in rows) == [
         ("m", "NDCG@10", "fiqa", None), ("m", "NDCG@10", "nq", 25.4)]
+
+
+def test_prompt_of_any_number_of_steps(spark):
+    import json
+
+    from pairloom.sources.prompts import parse_prompts
+
+    body = {"is_external": True, "info": "i", "steps": 12} | {
+        str(k): {"prompt": f"p{k}", "next_step": f"n{k}"} for k in range(12)}
+    text = json.dumps({"long": body, "short": {"steps": 1, "0": {"prompt": "a", "next_step": "b"}}})
+    rows = {r["name"]: r for r in parse_prompts(spark.createDataFrame([(text,)], "value string")).collect()}
+    assert [s["prompt"] for s in rows["long"]["steps"]] == [f"p{k}" for k in range(12)]
+    assert rows["long"]["is_external"] and len(rows["short"]["steps"]) == 1
+
+
+def test_broken_off_shards_are_replaced(spark, tmp_path):
+    path = f"{tmp_path}/shards"
+    (tmp_path / "shards" / "_temporary").mkdir(parents=True)
+    outputs.write_shards(spark.range(10).selectExpr("id AS pos", "CAST(id % 2 AS INT) AS shard_id"), path)
+    assert outputs.read_shards(spark, path, "pos BIGINT").count() == 10
+    outputs.write_shards(spark.range(3).selectExpr("id AS pos", "0 AS shard_id"), path)
+    assert outputs.read_shards(spark, path, "pos BIGINT").count() == 10
