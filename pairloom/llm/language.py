@@ -7,8 +7,8 @@ bits for a byte never seen. The exact code length of a text is the sum over its
 with the shortest code wins. Texts are read as UTF-8 with A-Z lower-cased, after three zero bytes.
 
 Counts come from every training text by partial aggregates. The model is bounded: the ``max_grams``
-most frequent of the counted byte sequences that occur at least twice stay (ties by language and
-bytes), whatever the size of the corpus, so it can be broadcast.
+most frequent of the counted byte sequences that occur at least twice stay, as far as whole steps of
+frequency fit, whatever the size of the corpus, so it can be broadcast.
 
 Defined results: NULL text, or text without a letter, is ``und`` with score 0; without any training
 row all rows are. A NULL language teaches nothing. Ties go to the first language by name. Rows are
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm.columns import LOWER, U64, KeyTable, flat, row_sums, slices
+from pairloom.session import materialize
 
 ORDER = 3  # context bytes
 MAX_GRAMS = 400_000  # bound of the model
@@ -77,11 +78,26 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows of the greatest ``n``: all above a threshold from a histogram of n.
+
+    The histogram has eight steps an octave, so it is small whatever the counts; a step that doesn't
+    fit in whole stays out. No row is sorted or sent to the driver to find the threshold.
+    """
+    step = F.floor(8 * F.log2("n")).cast("int")
+    left, least = limit, None
+    for s, size in sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True):
+        if size > left:
+            break
+        left, least = left - size, s
+    return counts.filter(F.lit(False) if least is None else step >= least)
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang",
           max_grams: int = MAX_GRAMS) -> dict:
     """The frozen model of all training rows."""
-    kept = count_grams(docs, text, lang).filter("n > 1").orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
-    return freeze(kept.toPandas())
+    counts = materialize(count_grams(docs, text, lang).filter("n > 1"), "language-grams")
+    return freeze(most_frequent(counts, max_grams).toPandas())
 
 
 def freeze(counts) -> dict:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.columns import LOWER, NO_BLANKS, U64, KeyTable, SpanHash, flat, mix, slices
-from pairloom.llm.language import held_out
+from pairloom.llm.language import held_out, most_frequent
 from pairloom.llm.subwords import Subwords, default_path
 from pairloom.llm.suffixes import KEY
 from pairloom.session import materialize
@@ -39,7 +39,7 @@ TARGETS, CONTEXT = 32, 32
 WIDTH = 16  # of embeddings
 OWN_ROWS, ROWS = 4096, 5120
 MAX_PAIRS = 1 << 20
-TOP_WORDS = 400_000
+TOP_WORDS = 300_000
 EVERY = 16  # one window of so many is trained on
 BATCH = 128  # windows
 RATE = 0.1
@@ -142,7 +142,7 @@ def statistics(pairs: DataFrame, max_pairs: int = MAX_PAIRS) -> dict:
     """Unigram and bigram probabilities; the mass of bigrams that aren't kept goes by the unigrams."""
     ends = pairs.groupBy(F.expr(f"key % {VOCABULARY}").alias("id")).agg(F.sum("n").alias("n")).toPandas()
     begins = pairs.groupBy(F.expr(f"key div {VOCABULARY}").alias("id")).agg(F.sum("n").alias("n")).toPandas()
-    kept = pairs.filter("n > 1").orderBy(F.desc("n"), "key").limit(max_pairs).toPandas().sort_values("key")
+    kept = most_frequent(pairs.filter("n > 1"), max_pairs).toPandas().sort_values("key")
     one = np.full(VOCABULARY, 0.1)
     one[ends["id"]] += ends["n"]
     one /= one.sum()
@@ -310,7 +310,7 @@ def scored(ids: DataFrame, shared) -> DataFrame:
 
 def base_scores(docs: DataFrame, counts: DataFrame, tokens: int, kinds: int, top_words: int = TOP_WORDS) -> DataFrame:
     """Row key, n_tokens, n_known, base_score: add-one word statistics of the training texts."""
-    top = counts.orderBy(F.desc("n"), "key").limit(top_words).toPandas()
+    top = most_frequent(counts, top_words).toPandas()
     shared = docs.sparkSession.sparkContext.broadcast(
         (top["key"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64)))
     whole = float(tokens + kinds + 1)
