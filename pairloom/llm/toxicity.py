@@ -31,6 +31,7 @@ BLOCK = 64
 NEIGHBOURS = 16
 LEAST_G2 = 12.0
 LEAST_COUNT = 4
+SLACK = 1e-9  # more than rounding can move a cosine; bounds this close below the last one are still visited
 RESULT = "struct<score:double,vote:double,evidence:array<long>,similarity:array<double>>"
 
 
@@ -130,54 +131,81 @@ def examples(docs: DataFrame, sample: DataFrame, terms: np.ndarray) -> list:
     return sorted(map(tuple, found.collect()))
 
 
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places of the given runs, one run after the other."""
+    n = end - begin
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Index:
-    """Block-max inverted index over the examples that have a term."""
+    """Block-max inverted index over the examples that have a term.
+
+    Examples stand in the order of their heaviest terms, so that a block holds alike ones and its bounds
+    are close. Postings lie term by term, each in example order; ``cuts`` says where a block's begin.
+    """
 
     def __init__(self, terms, idf, rows, block: int = BLOCK) -> None:
         self.terms, self.idf, self.block = terms, idf, block
-        full = [r for r in rows if r[2]]
         bare = [r[1] for r in rows if not r[2]]
         self.prior = float(np.mean([r[1] for r in rows])) if rows else 0.0
         self.bare = (sum(bare) + self.prior) / (len(bare) + 1) if rows else 0.0
-        self.ids = np.array([r[0] for r in full], np.int64)
-        self.toxic = np.array([r[1] for r in full], np.float64)
-        post: dict[int, list] = {}
-        for e, r in enumerate(full):
-            for t, w in zip(*self.weigh(np.array(r[2]), np.array(r[3]))):
-                post.setdefault(int(t), []).append((e, w))
-        self.blocks = -(-len(full) // block)
-        self.postings = {}
-        for t, held in post.items():
-            e, w = np.array([x for x, _ in held]), np.array([x for _, x in held])
-            peak = np.zeros(self.blocks)
-            np.maximum.at(peak, e // block, w)
-            self.postings[t] = (e, w, np.searchsorted(e, np.arange(self.blocks + 1) * block), peak)
         self.slope = (1.0, 0.0)
+        weighed = []
+        for n, (doc, toxic, own, counts) in enumerate(rows):
+            if own:
+                t, w = self.weigh(np.array(own), np.array(counts))
+                weighed.append((t[np.lexsort((t, -w))].tolist(), doc, toxic, t, w, n))
+        weighed.sort(key=lambda r: (r[0], r[1], r[5]))
+        self.ids = np.array([r[1] for r in weighed], np.int64)
+        self.toxic = np.array([r[2] for r in weighed], np.float64)
+        self.row = np.array([r[5] for r in weighed], np.int64)  # place among all rows
+        self.blocks = -(-len(weighed) // block)
+        at = np.repeat(np.arange(len(weighed)), [len(r[3]) for r in weighed]).astype(np.int64)
+        term = np.concatenate([*(r[3] for r in weighed), np.zeros(0, np.int64)])
+        weight = np.concatenate([*(r[4] for r in weighed), np.zeros(0)])
+        order = np.lexsort((at, term))
+        self.at, self.weight, term = at[order], weight[order], term[order]
+        place = term * max(1, self.blocks) + self.at // block
+        grid = (len(terms), self.blocks)
+        self.peak = np.zeros(grid)
+        np.maximum.at(self.peak.reshape(-1), place, self.weight)
+        self.cuts = np.searchsorted(place, np.arange(len(terms) * self.blocks + 1))
 
     def weigh(self, terms, counts):
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.sqrt((w * w).sum())
 
     def nearest(self, terms, counts, k: int, without: int = -1):
-        """Places and cosines of the k nearest examples, the first by id among equals."""
-        own = [(self.postings[int(t)], w) for t, w in zip(*self.weigh(terms, counts)) if int(t) in self.postings]
-        bound = np.zeros(self.blocks)
-        for (_, _, _, peak), w in own:
-            bound += w * peak
+        """Places and cosines of the k nearest examples, the first by id among equals.
+
+        Blocks are visited by descending bound in waves, until the next bound is below the k-th cosine.
+        """
+        terms, q = self.weigh(terms, counts)
+        bound = q @ self.peak[terms]
+        blocks = np.argsort(-bound, kind="stable")
+        left = -bound[blocks]
         best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best[1]) == k and bound[b] < best[1][-1] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for (e, w, cut, _), q in own:
-                part = slice(cut[b], cut[b + 1])
-                score[e[part] - b * self.block] += q * w[part]
-            at = np.flatnonzero(score > 0)
-            at, score = at + b * self.block, score[at]
+        done, wave, open_ = 0, 2 * -(-k // self.block), int(np.searchsorted(left, 0.0))
+        while done < open_:
+            some = np.sort(blocks[done:min(done + wave, open_)])
+            grid = (terms[:, None] * self.blocks + some).ravel()
+            begin, end = self.cuts[grid], self.cuts[grid + 1]
+            post = ranges(begin, end)
+            scaled = self.weight[post] * np.repeat(np.repeat(q, len(some)), end - begin)
+            local = self.at[post] + np.repeat(np.tile((np.arange(len(some)) - some) * self.block, len(terms)),
+                                              end - begin)
+            score = np.bincount(local, scaled, len(some) * self.block)
+            found = np.flatnonzero(score > 0)
+            at, score = some[found // self.block] * self.block + found % self.block, score[found]
             keep = at != without
+            if len(best[1]) == k:
+                keep &= score >= best[1][-1] - SLACK
             at, score = np.concatenate([best[0], at[keep]]), np.concatenate([best[1], score[keep]])
-            order = np.lexsort((at, -np.round(score, 12)))[:k]
+            order = np.lexsort((self.ids[at], -np.round(score, 12)))[:k]
             best = at[order], score[order]
+            done, wave = done + wave, wave * 2
+            if len(best[1]) == k:
+                open_ = min(open_, int(np.searchsorted(left, SLACK - best[1][-1], "right")))
         return best
 
     def vote(self, terms, counts, k: int = NEIGHBOURS, without: int = -1):
@@ -189,12 +217,11 @@ class Index:
 
     def calibrate(self, rows) -> None:
         """Platt scaling of votes on the examples, each without its own."""
-        full, x, y = -1, [], []
-        seen: dict = {}
+        x, y = [], []
+        full = iter(np.argsort(self.row).tolist())
         for _, label, terms, counts in rows:
             if terms:
-                full += 1
-                x.append(self.vote(np.array(terms), np.array(counts), without=full)[0])
+                x.append(self.vote(np.array(terms), np.array(counts), without=next(full))[0])
             else:
                 x.append(self.bare)
             y.append(label)
