@@ -27,8 +27,9 @@ from pairloom.llm.language import held_out
 
 EXAMPLES = 20_000  # bound of the labelled sample
 TERMS = 2048
-BLOCK = 64
+BLOCK = 128
 NEIGHBOURS = 16
+WAVE = 8  # blocks of the first wave, and growth of the next ones
 LEAST_G2 = 12.0
 LEAST_COUNT = 4
 SLACK = 1e-9  # more than rounding can move a cosine; bounds this close below the last one are still visited
@@ -131,12 +132,6 @@ def examples(docs: DataFrame, sample: DataFrame, terms: np.ndarray) -> list:
     return sorted(map(tuple, found.collect()))
 
 
-def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All places of the given runs, one run after the other."""
-    n = end - begin
-    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-
-
 class Index:
     """Block-max inverted index over the examples that have a term.
 
@@ -185,25 +180,28 @@ class Index:
         blocks = np.argsort(-bound, kind="stable")
         left = -bound[blocks]
         best = np.zeros(0, np.int64), np.zeros(0)
-        done, wave, open_ = 0, 2 * -(-k // self.block), int(np.searchsorted(left, 0.0))
+        done, wave, open_ = 0, WAVE, int(np.searchsorted(left, 0.0))
         while done < open_:
             some = np.sort(blocks[done:min(done + wave, open_)])
             grid = (terms[:, None] * self.blocks + some).ravel()
-            begin, end = self.cuts[grid], self.cuts[grid + 1]
-            post = ranges(begin, end)
-            scaled = self.weight[post] * np.repeat(np.repeat(q, len(some)), end - begin)
-            local = self.at[post] + np.repeat(np.tile((np.arange(len(some)) - some) * self.block, len(terms)),
-                                              end - begin)
-            score = np.bincount(local, scaled, len(some) * self.block)
-            found = np.flatnonzero(score > 0)
-            at, score = some[found // self.block] * self.block + found % self.block, score[found]
+            begin, n = self.cuts[grid], self.cuts[grid + 1] - self.cuts[grid]
+            full = np.flatnonzero(n)
+            begin, n = begin[full], n[full]
+            post = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            term, slot = np.divmod(full, len(some))
+            local = self.at[post] + np.repeat((slot - some[slot]) * self.block, n)
+            score = np.bincount(local, self.weight[post] * np.repeat(q[term], n), len(some) * self.block)
+            found = np.flatnonzero(score >= best[1][-1] - SLACK if len(best[1]) == k else score > 0)
+            score = score[found]
+            if len(found) > 4 * k:  # the k-th greatest score bounds what can be among the k nearest
+                high = np.flatnonzero(score >= np.partition(score, -k - 1)[-k - 1] - SLACK)
+                found, score = found[high], score[high]
+            at = some[found // self.block] * self.block + found % self.block
             keep = at != without
-            if len(best[1]) == k:
-                keep &= score >= best[1][-1] - SLACK
             at, score = np.concatenate([best[0], at[keep]]), np.concatenate([best[1], score[keep]])
             order = np.lexsort((self.ids[at], -np.round(score, 12)))[:k]
             best = at[order], score[order]
-            done, wave = done + wave, wave * 2
+            done, wave = done + wave, wave * WAVE
             if len(best[1]) == k:
                 open_ = min(open_, int(np.searchsorted(left, SLACK - best[1][-1], "right")))
         return best
