@@ -145,19 +145,19 @@ class Index:
         self.prior = float(np.mean([r[1] for r in rows])) if rows else 0.0
         self.bare = (sum(bare) + self.prior) / (len(bare) + 1) if rows else 0.0
         self.slope = (1.0, 0.0)
+        full = [r for r in rows if r[2]]
+        self.ids = np.array([r[0] for r in full], np.int64)
+        self.toxic = np.array([r[1] for r in full], np.float64)
         weighed = []
-        for n, (doc, toxic, own, counts) in enumerate(rows):
-            if own:
-                t, w = self.weigh(np.array(own), np.array(counts))
-                weighed.append((t[np.lexsort((t, -w))].tolist(), doc, toxic, t, w, n))
-        weighed.sort(key=lambda r: (r[0], r[1], r[5]))
-        self.ids = np.array([r[1] for r in weighed], np.int64)
-        self.toxic = np.array([r[2] for r in weighed], np.float64)
-        self.row = np.array([r[5] for r in weighed], np.int64)  # place among all rows
+        for place, r in enumerate(full):
+            t, w = self.weigh(np.array(r[2]), np.array(r[3]))
+            weighed.append((t[np.lexsort((t, -w))].tolist(), place, t, w))
+        weighed.sort(key=lambda r: r[:2])
+        self.place = np.array([r[1] for r in weighed], np.int64)  # of the examples in the order of the blocks
         self.blocks = -(-len(weighed) // block)
-        at = np.repeat(np.arange(len(weighed)), [len(r[3]) for r in weighed]).astype(np.int64)
-        term = np.concatenate([*(r[3] for r in weighed), np.zeros(0, np.int64)])
-        weight = np.concatenate([*(r[4] for r in weighed), np.zeros(0)])
+        at = np.repeat(np.arange(len(weighed)), [len(r[2]) for r in weighed]).astype(np.int64)
+        term = np.concatenate([*(r[2] for r in weighed), np.zeros(0, np.int64)])
+        weight = np.concatenate([*(r[3] for r in weighed), np.zeros(0)])
         order = np.lexsort((at, term))
         self.at, self.weight, term = at[order], weight[order], term[order]
         place = term * max(1, self.blocks) + self.at // block
@@ -166,6 +166,17 @@ class Index:
         np.maximum.at(self.peak.reshape(-1), place, self.weight)
         self.cuts = np.searchsorted(place, np.arange(len(terms) * self.blocks + 1))
 
+    @property
+    def postings(self) -> dict:
+        """Of each term that an example has: places, weights, where blocks begin, greatest weights."""
+        out = {}
+        for t in range(len(self.terms)):
+            cuts = self.cuts[t * self.blocks:(t + 1) * self.blocks + 1]
+            if cuts[0] < cuts[-1]:
+                part = slice(cuts[0], cuts[-1])
+                out[t] = self.place[self.at[part]], self.weight[part], cuts - cuts[0], self.peak[t]
+        return out
+
     def weigh(self, terms, counts):
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.sqrt((w * w).sum())
@@ -196,10 +207,10 @@ class Index:
             if len(found) > 4 * k:  # the k-th greatest score bounds what can be among the k nearest
                 high = np.flatnonzero(score >= np.partition(score, -k - 1)[-k - 1] - SLACK)
                 found, score = found[high], score[high]
-            at = some[found // self.block] * self.block + found % self.block
+            at = self.place[some[found // self.block] * self.block + found % self.block]
             keep = at != without
             at, score = np.concatenate([best[0], at[keep]]), np.concatenate([best[1], score[keep]])
-            order = np.lexsort((self.ids[at], -np.round(score, 12)))[:k]
+            order = np.lexsort((at, -np.round(score, 12)))[:k]
             best = at[order], score[order]
             done, wave = done + wave, wave * WAVE
             if len(best[1]) == k:
@@ -215,11 +226,11 @@ class Index:
 
     def calibrate(self, rows) -> None:
         """Platt scaling of votes on the examples, each without its own."""
-        x, y = [], []
-        full = iter(np.argsort(self.row).tolist())
+        x, y, full = [], [], -1
         for _, label, terms, counts in rows:
             if terms:
-                x.append(self.vote(np.array(terms), np.array(counts), without=next(full))[0])
+                full += 1
+                x.append(self.vote(np.array(terms), np.array(counts), without=full)[0])
             else:
                 x.append(self.bare)
             y.append(label)
