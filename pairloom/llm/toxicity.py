@@ -4,9 +4,10 @@ Examples are a bounded sample of labelled training rows: the ``EXAMPLES`` first
 Terms are words and word beginnings of four and five letters (so that inflected and compound forms meet);
 the ``TERMS`` terms of strongest positive association with the label (G squared over the sample) are the
 vocabulary. Their inverse document frequency is counted over all documents. The index holds, for every
-term, postings in blocks of examples with the block's greatest weight: blocks are visited by descending
-upper bound of the cosine until none can hold one of the ``NEIGHBOURS`` nearest (ties by example id), so the
-result is that of full comparison. Votes weigh 1 / (distance + 0.05); their share of toxic ones is
+term, postings in blocks of examples with the block's greatest weight. The blocks of greatest upper bound of the
+cosine are visited first, posting by posting; their k-th cosine closes every block with a lower bound, and
+one sweep, term by term, takes the span of the open ones. Ties go by example id, so the ``NEIGHBOURS``
+nearest are those of full comparison. Votes weigh 1 / (distance + 0.05); their share of toxic ones is
 calibrated by Platt scaling on the examples themselves, each left out of its own vote.
 
 A document without any term of the vocabulary is equally far from all examples: its vote is that of the
@@ -29,7 +30,8 @@ EXAMPLES = 20_000  # bound of the labelled sample
 TERMS = 2048
 BLOCK = 128
 NEIGHBOURS = 16
-WAVE = 8  # blocks of the first wave, and growth of the next ones
+WAVE = 2  # blocks of the first wave
+DENSE = 8  # a term in one of so many examples or more also has a row of weights of all examples
 LEAST_G2 = 12.0
 LEAST_COUNT = 4
 SLACK = 1e-9  # more than rounding can move a cosine; bounds this close below the last one are still visited
@@ -165,6 +167,13 @@ class Index:
         self.peak = np.zeros(grid)
         np.maximum.at(self.peak.reshape(-1), place, self.weight)
         self.cuts = np.searchsorted(place, np.arange(len(terms) * self.blocks + 1))
+        begin = self.cuts[::max(1, self.blocks)]
+        often = np.flatnonzero(np.diff(begin) * DENSE > len(weighed))
+        self.line = np.full(len(terms), -1)
+        self.line[often] = np.arange(len(often))
+        self.lines = np.zeros((len(often), self.blocks * block))
+        for line, t in enumerate(often):
+            self.lines[line, self.at[begin[t]:begin[t + 1]]] = self.weight[begin[t]:begin[t + 1]]
 
     @property
     def postings(self) -> dict:
@@ -181,41 +190,65 @@ class Index:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.sqrt((w * w).sum())
 
+    def visit(self, terms, q, some):
+        """Cosines of the examples of a few blocks, from the postings of these blocks alone."""
+        grid = (terms[:, None] * self.blocks + some).ravel()
+        begin, n = self.cuts[grid], self.cuts[grid + 1] - self.cuts[grid]
+        full = np.flatnonzero(n)
+        begin, n = begin[full], n[full]
+        post = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        term, slot = np.divmod(full, len(some))
+        local = self.at[post] + np.repeat((slot - some[slot]) * self.block, n)
+        return np.bincount(local, self.weight[post] * np.repeat(q[term], n), len(some) * self.block)
+
+    def sweep(self, terms, q, low: int, high: int):
+        """Cosines of the examples of blocks ``low`` to ``high`` - 1, term by term over whole runs."""
+        first, last = low * self.block, high * self.block
+        score, part = np.zeros(last), np.empty(last - first)
+        for t, weight, line in zip(terms.tolist(), q.tolist(), self.line[terms].tolist()):
+            if line >= 0:
+                np.multiply(self.lines[line, first:last], weight, out=part)
+                score[first:] += part
+            else:
+                run = slice(self.cuts[t * self.blocks + low], self.cuts[t * self.blocks + high])
+                score[self.at[run]] += weight * self.weight[run]  # a term has one posting an example
+        return score[first:]
+
+    def better(self, best, some, score, k: int, without: int):
+        """The k best of ``best`` and of the examples of blocks ``some``, by cosine and place."""
+        found = np.flatnonzero(score >= best[1][-1] - SLACK if len(best[1]) == k else score > 0)
+        score = score[found]
+        if len(found) > 4 * k:  # the k-th greatest score bounds what can be among the k nearest
+            high = np.flatnonzero(score >= np.partition(score, -k - 1)[-k - 1] - SLACK)
+            found, score = found[high], score[high]
+        at = self.place[some[found // self.block] * self.block + found % self.block]
+        keep = at != without
+        at, score = np.concatenate([best[0], at[keep]]), np.concatenate([best[1], score[keep]])
+        order = np.lexsort((at, -np.round(score, 12)))[:k]
+        return at[order], score[order]
+
     def nearest(self, terms, counts, k: int, without: int = -1):
         """Places and cosines of the k nearest examples, the first by id among equals.
 
-        Blocks are visited by descending bound in waves, until the next bound is below the k-th cosine.
+        The blocks of greatest bound come first; then those whose bound is not below the k-th cosine.
         """
         terms, q = self.weigh(terms, counts)
         bound = q @ self.peak[terms]
-        blocks = np.argsort(-bound, kind="stable")
-        left = -bound[blocks]
         best = np.zeros(0, np.int64), np.zeros(0)
-        done, wave, open_ = 0, WAVE, int(np.searchsorted(left, 0.0))
-        while done < open_:
-            some = np.sort(blocks[done:min(done + wave, open_)])
-            grid = (terms[:, None] * self.blocks + some).ravel()
-            begin, n = self.cuts[grid], self.cuts[grid + 1] - self.cuts[grid]
-            full = np.flatnonzero(n)
-            begin, n = begin[full], n[full]
-            post = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            term, slot = np.divmod(full, len(some))
-            local = self.at[post] + np.repeat((slot - some[slot]) * self.block, n)
-            score = np.bincount(local, self.weight[post] * np.repeat(q[term], n), len(some) * self.block)
-            found = np.flatnonzero(score >= best[1][-1] - SLACK if len(best[1]) == k else score > 0)
-            score = score[found]
-            if len(found) > 4 * k:  # the k-th greatest score bounds what can be among the k nearest
-                high = np.flatnonzero(score >= np.partition(score, -k - 1)[-k - 1] - SLACK)
-                found, score = found[high], score[high]
-            at = self.place[some[found // self.block] * self.block + found % self.block]
-            keep = at != without
-            at, score = np.concatenate([best[0], at[keep]]), np.concatenate([best[1], score[keep]])
-            order = np.lexsort((at, -np.round(score, 12)))[:k]
-            best = at[order], score[order]
-            done, wave = done + wave, wave * WAVE
-            if len(best[1]) == k:
-                open_ = min(open_, int(np.searchsorted(left, SLACK - best[1][-1], "right")))
-        return best
+        some = np.sort(np.argsort(-bound, kind="stable")[:WAVE])
+        some = some[bound[some] > 0]
+        if not len(some):
+            return best
+        best = self.better(best, some, self.visit(terms, q, some), k, without)
+        bound[some] = 0
+        open_ = np.flatnonzero(bound >= best[1][-1] - SLACK if len(best[1]) == k else bound > 0)
+        open_ = open_[bound[open_] > 0]
+        if not len(open_):
+            return best
+        low, high = int(open_[0]), int(open_[-1]) + 1
+        score = self.sweep(terms, q, low, high)
+        score.reshape(-1, self.block)[some[(some >= low) & (some < high)] - low] = 0  # visited before
+        return self.better(best, np.arange(low, high), score, k, without)
 
     def vote(self, terms, counts, k: int = NEIGHBOURS, without: int = -1):
         at, cosine = self.nearest(terms, counts, k, without)
