@@ -10,6 +10,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20  # texts handled at once; a longer text is a slice of its own
+SMALL_SLICE = 1 << 18  # for functions with many numbers a byte
+BATCH_ROWS = 1000
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,6 +47,16 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, at[-1] - at[0], at[0]), at - at[0]
 
 
+def bound_batches(spark, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches of this session have at most ``rows`` rows; a smaller setting stays.
+
+    A batch holds whole texts twice, in the JVM and in Python, beside what earlier stages left there.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES):
     """(first row, last row + 1, bytes, offsets) of consecutive rows of about ``limit`` bytes."""
     n, i = len(offsets) - 1, 0

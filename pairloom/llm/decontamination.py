@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.columns import LETTERS, LOWER, U64, KeyTable, SpanHash, flat, hash_words, mix, slices
+from pairloom.llm.columns import KeyTable, LETTERS, LOWER, SpanHash, U64, bound_batches, flat, hash_words, mix, slices
 
 WINDOW = 5
 PLAIN = 3
@@ -227,6 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
+    bound_batches(spark)
     for shared in portions(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
         docs = docs.select(F.struct("*").alias("row"), items_held(shared, F.col("text")).alias("hits")).filter(
             "size(hits) = 0").select("row.*")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.columns import LOWER, U64, KeyTable, flat, row_sums, slices
+from pairloom.llm.columns import LOWER, SMALL_SLICE, U64, KeyTable, bound_batches, flat, row_sums, slices
 from pairloom.session import materialize
 
 ORDER = 3  # context bytes
@@ -57,14 +57,14 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             codes = batch.column(1).dictionary_encode()
             data, offsets = flat(batch.column(0))
             names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy(zero_copy_only=False)
-            for i, j, part, at in slices(data, offsets):
+            for i, j, part, at in slices(data, offsets, SMALL_SLICE):
                 keys, row = grams(part, at), np.repeat(code[i:j], np.diff(at))
                 for c in np.unique(row):
                     k, n = np.unique(keys[row == c], return_counts=True)
                     held.setdefault(names[c], []).append((k, n))
-            for name, parts in held.items():
-                if len(parts) > 8:
-                    held[name] = [_merge(parts)]
+                for name, parts in held.items():  # merged when the new parts outgrow the merged one
+                    if sum(len(k) for k, _ in parts[1:]) > max(len(parts[0][0]), 200_000):
+                        held[name] = [_merge(parts)]
         for name, parts in held.items():
             k, n = _merge(parts)
             for i in range(0, len(k), 100_000):
@@ -178,12 +178,16 @@ def predict(model: dict, text: Column | str = "text", spark=None) -> Column:
     shared = spark.sparkContext.broadcast(model)
     kind = "lang_pred string, score double, bits_per_byte double"
 
+    coders = []  # of the task, made at its first batch
+
     def run(column: pa.Array) -> pa.Array:
-        coder = Coder(shared.value)
+        if not coders:
+            coders.append(Coder(shared.value))
+        coder = coders[0]
         n = len(column)
         best, score, rate = np.full(n, -1), np.zeros(n), np.zeros(n)
         data, offsets = flat(column)
-        for i, j, part, at in slices(data, offsets) if coder.langs else ():
+        for i, j, part, at in slices(data, offsets, SMALL_SLICE) if coder.langs else ():
             letter = row_sums(ASCII_LETTER[part], at) > 0
             beyond = row_sums(part >= 128, at) > 0
             for r in np.flatnonzero(~letter & beyond):
@@ -219,6 +223,7 @@ def language_of_documents(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language can be told; the rest goes."""
+    bound_batches(spark)
     found = predict(train_on_documents(docs), F.col("text"), spark)
     return docs.select(F.struct("*").alias("row"), found.alias("found")).filter(
         F.col("found.lang_pred") != UNKNOWN).select("row.*")

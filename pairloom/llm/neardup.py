@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.llm.columns import LOWER, NO_BLANKS, U64, SpanHash, flat, mix, slices
+from pairloom.llm.columns import LOWER, NO_BLANKS, SpanHash, U64, bound_batches, flat, mix, slices
 from pairloom.llm.components import components
 from pairloom.session import materialize
 
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least doc_id; of repeated rows one."""
+    bound_batches(spark)
     ids = F.col("doc_id").cast("long").alias("doc_id")
     gone = near_duplicates(docs.select(ids, "text")).filter("NOT kept").select(
         F.col("doc_id").alias("_gone")).distinct()

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.llm.columns import flat, slices
+from pairloom.llm.columns import bound_batches, flat, slices
 from pairloom.llm.subwords import Subwords, default_path
 from pairloom.session import materialize
 
@@ -175,4 +175,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents with their places."""
+    bound_batches(spark)
     return pack_documents(docs)

@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.columns import U64, SpanHash, flat, mix, slices
+from pairloom.llm.columns import SMALL_SLICE, U64, SpanHash, bound_batches, flat, mix, slices
 from pairloom.session import materialize
 
 LENGTH = 200
@@ -149,7 +149,7 @@ def shared_anchors(rows: DataFrame, parts: int, length: int, gram: int, hot: int
         for batch in batches:
             keys = [batch.column(k).to_numpy() for k in range(3)]
             data, offsets = flat(batch.column(3))
-            for i, _, part, at in slices(data, offsets):
+            for i, _, part, at in slices(data, offsets, SMALL_SLICE):
                 h, row, *rest = anchors(hasher, part, at, length, gram)
                 held.append((h, *[k[i + row] for k in keys], *rest))
                 n += len(h)
@@ -483,6 +483,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated strings; a character that is cut through goes whole."""
+    bound_batches(spark)
     found = marks(keyed(docs))
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k0"),
