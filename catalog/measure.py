@@ -383,8 +383,8 @@ def agg_gen_time(spark, d):
 
 
 @entry("flt_failed", v.with_(v.FACTS_SQL, select="""
-SELECT shard_id, split, time_in_minutes FROM facts
-WHERE shard_id NOT IN (SELECT shard_id FROM facts WHERE errors > 0)"""))
+SELECT shard_id, split, time_in_minutes FROM facts AS f WHERE NOT EXISTS (
+  SELECT 1 FROM facts AS g WHERE g.errors > 0 AND g.split = f.split AND g.shard_id = f.shard_id)"""))
 def flt_failed(spark, d):
     """Outputs that stay once the failed shards are marked for another run."""
     facts = v.facts(spark, d)

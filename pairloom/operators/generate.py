@@ -123,9 +123,10 @@ def run_facts(generated: DataFrame, dataset: str, split: str, model: str, prompt
         F.max("errors").alias("errors"), F.sum("seconds_total").alias("_s"),
         F.min("batch_size").alias("batch_size"))
     minutes = F.when(F.col("errors") == 0, F.col("_s") / 60)
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return facts.select(
         F.lit(dataset).alias("dataset_name"), "shard_id", F.lit(split).alias("split"),
-        F.lit(model).alias("model_name"), minutes.alias("time_in_minutes"), "errors",
+        F.lit(model).alias("model_name"), now.alias("time_end"), minutes.alias("time_in_minutes"), "errors",
         "batch_size", F.lit(prompt).alias("prompt_name"))
 
 

@@ -54,22 +54,28 @@ def failed_shards(facts: DataFrame) -> DataFrame:
 
 
 def without_failed(outputs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Outputs whose shard did not fail; the failed ones then count as missing and run again."""
-    failed = facts.filter("errors > 0").select("shard_id").distinct()
-    return outputs.join(failed, "shard_id", "left_anti")
+    """Outputs whose shard did not fail; the failed ones then count as missing and run again.
+
+    A shard is a number within its model and split, as far as the outputs tell them.
+    """
+    keys = [c for c in ("model_name", "split", "shard_id") if c in outputs.columns]
+    failed = facts.filter("errors > 0").select(*keys).distinct()
+    return outputs.join(failed, keys, "left_anti").select(*outputs.columns)
 
 
 def result_table(metrics: DataFrame, model: str, grouped: dict[str, int] | None = None) -> DataFrame:
     """Result rows (model, dataset, metric, k, value in percent) of one model and score function.
 
-    A sub-collection is named ``group/part``. Every collection gets its own rows; a group also
-    gets the mean over its parts, and must be complete.
+    A sub-collection is named ``group/part``. Every collection gets its own rows. A group also gets
+    the mean over its parts: those asked for by ``grouped`` must be complete, the known ones get it
+    where all parts are there, so that a part can be evaluated alone.
     """
     rows = metrics.select("dataset", "metric", "k", "value")
     single = rows.withColumn("value", F.col("value") * 100)
     for name, parts in (GROUPED if grouped is None else grouped).items():
         group = rows.filter(F.col("dataset").startswith(f"{name}/")).withColumn("dataset", F.lit(name))
-        mean = macro(group, ["dataset"], expected=parts)
+        mean = macro(group, ["dataset"], expected=None if grouped is None else parts)
+        mean = mean.filter(F.col("collections") == parts)
         single = single.unionByName(mean.drop("collections"))
     return single.select(F.lit(model).alias("model"), "dataset", "metric", "k", "value")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions.crop import crop_pair
@@ -66,10 +67,11 @@ def generate_missing(spark: SparkSession, corpus: DataFrame, root: str, dataset:
         facts = gen.run_facts(made, dataset, split, model, prompt)
         clean = facts.filter("errors = 0").select("shard_id")
         finished = made.join(clean, "shard_id", "left_semi")
+        # Facts first: after a break a shard without output is generated again and gets a new record.
+        outputs.append_facts(facts, f"{target}/{split}/metadata")
         outputs.write_generated(
             finished.select("pos", "query", "document", "document_processed", "shard_id"),
             done_path)
-        outputs.append_facts(facts, f"{target}/{split}/metadata")
 
 
 def finished_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -96,19 +98,30 @@ def export_split(pairs: DataFrame, corpus: DataFrame, document: str, exclude: li
     return numbered.count()
 
 
+def next_query(spark: SparkSession, path: str, splits: list[str]) -> int:
+    """The first free query number beside those of other splits that are exported already."""
+    try:
+        old = spark.read.schema("_id STRING, split STRING").json(path)
+    except AnalysisException:  # nothing was exported yet
+        return 0
+    last = old.filter(~F.col("split").isin(splits)).agg(F.max(F.col("_id").cast("long"))).first()[0]
+    return 0 if last is None else last + 1
+
+
 def export_generated(splits: dict[str, DataFrame], corpus: DataFrame, path: str, dataset: str,
                      method: str, model: str = "", nested: bool = True,
                      exclude: list[str] | None = None) -> None:
     """Clean and export generated splits.
 
     ``nested`` writes pair records per split; else queries, judgements and the corpus, with query
-    numbers that run on over the splits. Cropped pairs link by their original document and have
+    numbers that run on over the splits, those of earlier calls included. Cropped pairs link by their original document and have
     no leaked answers; generated ones link by their document.
     """
     cropped = method == "cropping"
     document = "original_document" if cropped else "document"
     excluded = None if cropped else (post.FEW_SHOT_ANSWERS if exclude is None else exclude)
-    offset = 0
+    spark = corpus.sparkSession
+    offset = 0 if nested else next_query(spark, f"{path}/beir/queries.jsonl", list(splits))
     for split, pairs in splits.items():
         if nested:
             valid = post.valid_pairs(pairs, corpus, document, excluded)

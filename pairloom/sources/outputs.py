@@ -62,12 +62,19 @@ def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, shard_id INT").parquet(path)
 
 
+FACT_KEYS = ["dataset_name", "model_name", "split", "shard_id"]
+
+
 def append_facts(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RUN_FACTS).json(path)
+    """The last record of every shard; a shard that is generated again replaces its record."""
+    raw = spark.read.schema(schemas.RUN_FACTS).json(path)
+    rest = [c for c in raw.columns if c not in FACT_KEYS and c != "time_end"]
+    last = raw.groupBy(*FACT_KEYS).agg(F.max(F.struct("time_end", *rest)).alias("_last"))
+    return last.select(*FACT_KEYS, "_last.*").select(*raw.columns)
 
 
 def append_history(wide: DataFrame, path: str) -> None:

@@ -154,3 +154,14 @@ def test_result_table_adds_the_mean_of_a_group(spark):
     assert got == pytest.approx({"g/0": 0, "g/1": 10, "g/2": 20, "g": 10, "nq": 50})
     with pytest.raises(met.WrongCollectionCount):
         report.result_table(df, "m", {"g": 4})
+
+
+def test_a_part_alone_has_no_group_mean(spark):
+    df = spark.createDataFrame([("cqadupstack/gis", "a", "NDCG", 10, 0.5)], METRICS)
+    assert [r["dataset"] for r in report.result_table(df, "m").collect()] == ["cqadupstack/gis"]
+
+
+def test_failed_shards_count_within_their_split(spark):
+    facts = spark.createDataFrame([("train", 3, 0), ("dev", 3, 1), ("train", 4, 1)], "split string, shard_id int, errors int")
+    outputs = spark.createDataFrame([("train", 3), ("dev", 3), ("train", 4)], "split string, shard_id int")
+    assert [tuple(r) for r in report.without_failed(outputs, facts).collect()] == [("train", 3)]
