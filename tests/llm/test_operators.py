@@ -147,6 +147,21 @@ def test_prefix_filter_finds_every_similar_pair(spark):
                 assert (a, b) in got
 
 
+def test_near_duplicate_stage_keeps_none_of_similarity_080_to_085(spark):
+    draw = random.Random(12)
+    fresh = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    sets, rows, want = lambda w: {tuple(w[j:j + 5]) for j in range(len(w) - 4)}, [], set()
+    for k in range(30):
+        base = fresh(100)
+        longer = base + fresh(14 + k % 15)  # similarity 0.774 to 0.873
+        a, b = sets(base), sets(longer)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(longer))]
+        want |= {2 * k} | ({2 * k + 1} if 100 * len(a & b) < 80 * len(a | b) else set())
+    assert 30 < len(want) < 60
+    got = neardup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r["doc_id"] for r in got} == want and len(got) == len(want)
+
+
 def test_components(spark):
     from pairloom.llm.components import components
 
