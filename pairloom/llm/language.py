@@ -6,9 +6,10 @@ plus distinct successors) and is then coded after the context without its first
 bits for a byte never seen. The exact code length of a text is the sum over its bytes; the language
 with the shortest code wins. Texts are read as UTF-8 with A-Z lower-cased, after three zero bytes.
 
-Counts come from every training text by partial aggregates. The model is bounded: the ``max_grams``
-most frequent of the counted byte sequences that occur at least twice stay, as far as whole steps of
-frequency fit, whatever the size of the corpus, so it can be broadcast.
+Counts come from every training text by partial aggregates. The model is bounded: of the counted byte
+sequences that occur at least twice ``max_grams`` stay, whatever the size of the corpus, so it can be
+broadcast. The bound is shared out evenly over the languages (what one doesn't need goes to the others), and
+each keeps its most frequent ones as far as whole steps of frequency fit: a rare language stays beside large ones.
 
 Defined results: NULL text, or text without a letter, is ``und`` with score 0; without any training
 row all rows are. A NULL language teaches nothing. Ties go to the first language by name. Rows are
@@ -93,11 +94,40 @@ def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.filter(F.lit(False) if least is None else step >= least)
 
 
+def most_frequent_each(counts: DataFrame, limit: int, key: str = "lang") -> DataFrame:
+    """About ``limit`` rows: of every ``key`` those of greatest ``n``, all keys with the same share of the limit.
+
+    Keys with fewer rows than their share leave the rest to the others. Thresholds are those of ``most_frequent``;
+    where the first step alone is more than the share, a part of it stays by a hash, so that no key loses all.
+    """
+    step, whole = F.floor(8 * F.log2("n")).cast("int"), 1 << 20
+    steps: dict = {}
+    for k, s, size in counts.groupBy(key, step.alias("s")).count().collect():
+        steps.setdefault(k, []).append((s, size))
+    rows = []
+    for place, k in enumerate(sorted(steps, key=lambda k: (sum(size for _, size in steps[k]), k))):
+        left = max(1, limit // (len(steps) - place))
+        least, part = None, whole
+        for s, size in sorted(steps[k], reverse=True):
+            if size > left:
+                if least is None:
+                    least, part, limit = s, -(-whole * left // size), limit - left
+                break
+            least, left, limit = s, left - size, limit - size
+        rows.append((k, least, part))
+    if not rows:
+        return counts
+    kept = counts.sparkSession.createDataFrame(rows, "_key string, _least int, _part long")
+    hashed = F.pmod(F.xxhash64(*[c for c in counts.columns if c != "n"]), F.lit(whole))
+    return counts.join(F.broadcast(kept), F.col(key) == F.col("_key")).filter(
+        (step > F.col("_least")) | ((step == F.col("_least")) & (hashed < F.col("_part")))).select(*counts.columns)
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang",
           max_grams: int = MAX_GRAMS) -> dict:
     """The frozen model of all training rows."""
     counts = materialize(count_grams(docs, text, lang).filter("n > 1"), "language-grams")
-    return freeze(most_frequent(counts, max_grams).toPandas())
+    return freeze(most_frequent_each(counts, max_grams).toPandas())
 
 
 def freeze(counts) -> dict:

@@ -318,6 +318,26 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for own in got.values() for r in own)
 
 
+def test_rare_language_stays_when_the_bound_binds(spark):
+    draw = random.Random(9)
+    syllables = ["".join(draw.choices("abdefghiklmnoprstuvw", k=3)) for _ in range(150)]
+    rare = "quiosção elhosqui quielhção osqui elhção quios ção elhosqui"
+    rows = [("".join(draw.choices(syllables, k=1000)), "aa") for _ in range(220)] + [(rare, "bb")]
+    assert 10_000 * len(rare) <= 1.1 * sum(len(t) for t, _ in rows)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    counts = language.count_grams(docs).filter("n > 1")
+    assert language.most_frequent(counts, 4000).filter("lang = 'bb'").count() == 0  # one threshold for all
+    kept = language.most_frequent_each(counts, 4000).toPandas()
+    assert len(kept) <= 4000 and (kept["lang"] == "aa").sum() > 1000
+    assert (kept["lang"] == "bb").sum() == counts.filter("lang = 'bb'").count()
+    model = language.train(docs, max_grams=4000)
+    other = spark.createDataFrame([("osção quielh",), ("".join(syllables[:9]),)], "text string")
+    found = [r[0] for r in other.select(language.predict(model, "text", spark)["lang_pred"]).collect()]
+    assert found == ["bb", "aa"]
+    few = language.most_frequent_each(spark.createDataFrame([("cc", k, 2) for k in range(900)] + [("aa", 1, 9)], "lang string, gram long, n long"), 100)
+    assert 50 < few.filter("lang = 'cc'").count() < 150 and few.filter("lang = 'aa'").count() == 1
+
+
 def test_code_lengths_are_those_of_method_c():
     """Against a plain recursive coder on counts that are all kept."""
     import pandas as pd
