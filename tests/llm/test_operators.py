@@ -241,6 +241,21 @@ def test_decontamination(spark):
                            (8, 1, "exact"), (8, 1, "exact"), (8, 2, "exact"), (8, 2, "exact")])
 
 
+def test_decontamination_by_all_windows_of_an_item(spark):
+    sums = "12 + 7 = 19, 30 - 4 = 26, 15 + 15 = 30, 81 / 9 = 9, 6 * 7 = 42"
+    capital = "what is the longest river that flows from Austria through Slovenia and Croatia down to Serbia and Belgrade"
+    names = "Anna Boris Carl Dora Emil which of the five is Fritz Gerd Hans Ines Jana Karl Lena Mario Nora"
+    mixed = "On 12 May 1999 at 10 Elm Street the old bank was robbed by 3 men with 2 guns for 900 dollars in cash"
+    benchmark = spark.createDataFrame(enumerate([sums, capital, names, mixed], 1), "item_id long, text string")
+    rows = [(1, f"Add up. {sums}. So it is."), (2, capital.upper()), (3, f"and {capital.lower()} again"), (4, names),
+            (5, "People ask Mia which of the five is Olga or so, and nobody can tell which of the five is right"),
+            (6, mixed.upper()), (7, mixed.replace("12", "17").replace("Elm", "Oak").replace("900", "450")),
+            (8, "12 + 8 = 20, 31 - 4 = 27, 1 + 15 = 16, 80 / 10 = 8, 6 * 6 = 36")]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [
+        (1, 1, "exact"), (2, 2, "exact"), (3, 2, "exact"), (4, 3, "exact"), (6, 4, "exact"), (7, 4, "reparameterised")]
+
+
 def test_decontamination_wants_consistent_slots(spark):
     item = ("from Anna to Boris then from Boris to Anna then from Anna to Boris then from Boris to Anna "
             "then from Anna to Boris then from Boris to Anna")
