@@ -7,12 +7,12 @@ distribution with bigram and unigram statistics of all training texts, so the re
 over all ids. Texts are read in overlapping windows of 64 ids: the last 32 are targets, each id is a
 target once, and the windows of a batch go through one masked attention.
 
-Training: every task takes gradient steps (Adagrad) on every sixteenth window of each of its training
-texts, at least one of each, from the same start; the parameters are averaged with the windows
-as weights, in rounds of bounded width. Bigrams, unigrams and word counts cover all training texts. The
-model is bounded: ``MAX_PAIRS`` most frequent bigrams, ``ROWS`` embedding rows (rare ids share by hash),
-``TOP_WORDS`` words that the base score looks up in place; the counts of all other words meet their
-documents in a join.
+Training: every task takes gradient steps (Adagrad) on all windows of its training texts, from the same
+start; the parameters are averaged with the windows as weights, in rounds of bounded width. In training a target's
+own occurrence doesn't count among the bigrams. Bigrams, unigrams and word counts cover all training texts.
+What goes to the tasks is bounded: ``MAX_PAIRS`` most frequent bigrams, ``ROWS`` embedding rows (rare ids share
+by hash), ``TOP_WORDS`` words that the base score looks up in place; the counts of all other bigrams and words
+meet their documents in a join.
 
 Defined results: NULL text is empty: one end token, and its base score and score are those of the end alone.
 A NULL doc_id is held out. Rows that agree in doc_id and text give equal rows. Without training rows
@@ -38,9 +38,8 @@ BEGIN, END = 49_406, 49_407
 TARGETS, CONTEXT = 32, 32
 WIDTH = 16  # of embeddings
 OWN_ROWS, ROWS = 4096, 5120
-MAX_PAIRS = 1 << 20
+MAX_PAIRS = 1 << 20  # looked up in place; the others come by a join
 TOP_WORDS = 300_000
-EVERY = 16  # one window of so many is trained on
 BATCH = 128  # windows
 RATE = 0.1
 DISCOUNT = 0.75
@@ -139,23 +138,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def statistics(pairs: DataFrame, max_pairs: int = MAX_PAIRS) -> dict:
-    """Unigram and bigram probabilities; the mass of bigrams that aren't kept goes by the unigrams."""
+    """Unigram and bigram probabilities; what the discount takes from all bigrams goes by the unigrams."""
     ends = pairs.groupBy(F.expr(f"key % {VOCABULARY}").alias("id")).agg(F.sum("n").alias("n")).toPandas()
-    begins = pairs.groupBy(F.expr(f"key div {VOCABULARY}").alias("id")).agg(F.sum("n").alias("n")).toPandas()
-    kept = most_frequent(pairs.filter("n > 1"), max_pairs).toPandas().sort_values("key")
+    begins = pairs.groupBy(F.expr(f"key div {VOCABULARY}").alias("id")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toPandas()
+    kept = most_frequent(pairs, max_pairs).toPandas().sort_values("key")
     one = np.full(VOCABULARY, 0.1)
     one[ends["id"]] += ends["n"]
     one /= one.sum()
-    total = np.zeros(VOCABULARY)
-    total[begins["id"]] = begins["n"]
+    total, kinds = np.zeros(VOCABULARY), np.zeros(VOCABULARY)
+    total[begins["id"]], kinds[begins["id"]] = begins["n"], begins["kinds"]
     key, n = kept["key"].to_numpy(np.int64), kept["n"].to_numpy(float) - DISCOUNT
-    spent = np.bincount(key // VOCABULARY, n, VOCABULARY)
-    rest = np.where(total > 0, (total - spent) / np.maximum(total, 1), 1.0)
+    rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
     share = n / total[key // VOCABULARY] if len(key) else n
     order = np.argsort(-one, kind="stable")[:OWN_ROWS]
     rows = OWN_ROWS + (mix(np.arange(VOCABULARY).astype(U64)) % U64(ROWS - OWN_ROWS)).astype(np.int64)
     rows[order] = np.arange(OWN_ROWS)
-    return {"one": one, "rest": rest, "pairs": key, "share": share.astype(np.float32), "rows": rows}
+    return {"one": one, "rest": rest, "pairs": key, "share": share.astype(np.float32), "rows": rows,
+            "total": total}
 
 
 class Bigrams:
@@ -163,9 +163,55 @@ class Bigrams:
         self.s, self.table = s, KeyTable(s["pairs"].view(U64))
         self.share = s["share"] if len(s["share"]) else np.zeros(1, np.float32)
 
-    def of(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        at = self.table.find((before * VOCABULARY + ids).view(U64))
-        return np.where(at >= 0, self.share[at], 0) + self.s["rest"][before] * self.s["one"][ids]
+    def of(self, before: np.ndarray, ids: np.ndarray, row=None, rare=None, own: int = 0) -> np.ndarray:
+        """Probabilities; ``rare``: sorted (row, key) in one number and n of pairs beyond the table.
+
+        ``own`` occurrences of each pair are not counted.
+        """
+        key = before * VOCABULARY + ids
+        at = self.table.find(key.view(U64))
+        share, total = np.where(at >= 0, self.share[at], 0), np.maximum(self.s["total"][before], 1)
+        if rare is not None and len(rare[0]):
+            miss = np.flatnonzero(at < 0)
+            wanted = row[miss] << 32 | key[miss]
+            place = np.minimum(np.searchsorted(rare[0], wanted), len(rare[0]) - 1)
+            hit = rare[0][place] == wanted
+            share[miss[hit]] = (rare[1][place[hit]] - DISCOUNT) / total[miss[hit]]
+        if own:
+            share = np.maximum(share - own / total, 0)
+        return share + self.s["rest"][before] * self.s["one"][ids]
+
+
+def with_rare(ids: DataFrame, pairs: DataFrame, shared) -> DataFrame:
+    """``ids`` with rare_keys and rare_n: each row's pairs that the table in ``shared`` doesn't hold."""
+
+    def run(batches):
+        table = KeyTable(shared.value["pairs"].view(U64))
+        for batch in batches:
+            for low, high, own, at in _lists(batch.column(3)):
+                key = _before(own, at) * VOCABULARY + own
+                row = np.repeat(np.arange(high - low), np.diff(at))
+                miss = table.find(key.view(U64)) < 0
+                found = np.unique(row[miss] << 32 | key[miss])
+                rows = pa.array((found >> 32) + low)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(rows) for k in range(3)), pa.array(found & 0xFFFFFFFF)], names=[*KEY, "key"])
+
+    wanted = ids.select(*KEY, "ids").mapInArrow(run, "k0 long, k1 long, k2 long, key long")
+    met = wanted.join(pairs, "key").groupBy(*KEY).agg(F.collect_set(F.struct("key", "n")).alias("rare"))
+    met = materialize(met.select(*KEY, F.col("rare.key").alias("rare_keys"), F.col("rare.n").alias("rare_n")), "lm-rare")
+    none = F.array().cast("array<long>")
+    return ids.join(met, KEY, "left").withColumns({c: F.coalesce(c, none) for c in ("rare_keys", "rare_n")})
+
+
+def _rare(keys, n, low: int, high: int):
+    """Pairs beyond the table of rows ``low`` to ``high`` - 1, as ``Bigrams.of`` reads them."""
+    cuts = keys.offsets.to_numpy().astype(np.int64)[low:high + 1]
+    row = np.repeat(np.arange(high - low), np.diff(cuts))
+    found = row << 32 | keys.values.to_numpy()[cuts[0]:cuts[-1]]
+    order = np.argsort(found)
+    at = n.offsets.to_numpy().astype(np.int64)[low]
+    return found[order], n.values.to_numpy()[at:at + len(found)][order]
 
 
 def start() -> dict:
@@ -175,14 +221,11 @@ def start() -> dict:
             "far": np.zeros(TARGETS + CONTEXT, np.float32)}
 
 
-def windows(at: np.ndarray, pick=None):
+def windows(at: np.ndarray):
     """For every block of targets: its row's first id, its first target, and the row's end."""
     blocks = -(-np.diff(at) // TARGETS)
     row = np.repeat(np.arange(len(blocks)), blocks)
     turn = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    if pick is not None:
-        use = pick(row, turn, blocks[row])
-        row, turn = row[use], turn[use]
     return at[row], at[row] + turn * TARGETS, at[row + 1]
 
 
@@ -237,6 +280,21 @@ def backward(p: dict, memory: dict, prob, live, held) -> None:
         p[name] -= (RATE * g / np.sqrt(memory[name] + 1e-10)).astype(np.float32)
 
 
+def learn(p: dict, memory: dict, s: dict, grams: Bigrams, batch) -> int:
+    """Steps on all windows of a batch (ids, rare_keys, rare_n); how many windows there were."""
+    n = 0
+    for low, high, ids, at in _lists(batch.column(0)):
+        before, row = _before(ids, at), np.repeat(np.arange(high - low), np.diff(at))
+        bigram = grams.of(before, ids, row, _rare(batch.column(1), batch.column(2), low, high), own=1)
+        first, begin, end = windows(at)
+        for i in range(0, len(first), BATCH):
+            prob, live, _, held = forward(p, ids, before, s["rows"], bigram, first[i:i + BATCH],
+                                          begin[i:i + BATCH], end[i:i + BATCH])
+            backward(p, memory, prob, live, held)
+            n += len(first[i:i + BATCH])
+    return n
+
+
 def fit(train: DataFrame, shared) -> dict:
     """Parameters averaged over the tasks' own trainings."""
 
@@ -245,16 +303,7 @@ def fit(train: DataFrame, shared) -> dict:
         grams, p = Bigrams(s), start()
         memory, n = {k: np.zeros(v.shape) for k, v in p.items()}, 0
         for batch in batches:
-            names = (mix(batch.column(1).to_numpy().view(U64)) >> U64(8)).astype(np.int64)
-            for low, high, ids, at in _lists(batch.column(0)):
-                before, name = _before(ids, at), names[low:high]
-                bigram = grams.of(before, ids)
-                first, begin, end = windows(at, lambda r, t, k: t % EVERY == name[r] % np.minimum(k, EVERY))  # noqa: B023
-                for i in range(0, len(first), BATCH):
-                    prob, live, _, held = forward(p, ids, before, s["rows"], bigram, first[i:i + BATCH],
-                                                  begin[i:i + BATCH], end[i:i + BATCH])
-                    backward(p, memory, prob, live, held)
-                    n += len(first[i:i + BATCH])
+            n += learn(p, memory, s, grams, batch)
         if n:
             yield _model([(n, p)])
 
@@ -264,7 +313,7 @@ def fit(train: DataFrame, shared) -> dict:
             yield _model(held)
 
     schema = "n long, model binary"
-    models = materialize(train.select("ids", "k1").mapInArrow(run, schema), "lm-models")
+    models = materialize(train.select("ids", "rare_keys", "rare_n").mapInArrow(run, schema), "lm-models")
     while (count := models.count()) > AVERAGED:
         dealt = models.repartition(-(-count // AVERAGED))
         models = materialize(dealt.mapInArrow(average, schema), "lm-models")
@@ -293,7 +342,8 @@ def scored(ids: DataFrame, shared) -> DataFrame:
             out = np.zeros(batch.num_rows)
             for low, high, own, at in _lists(batch.column(5)):
                 before = _before(own, at)
-                bigram = grams.of(before, own)
+                row = np.repeat(np.arange(high - low), np.diff(at))
+                bigram = grams.of(before, own, row, _rare(batch.column(6), batch.column(7), low, high))
                 logs = np.zeros(len(own))
                 first, begin, end = windows(at)
                 for i in range(0, len(first), BATCH):
@@ -304,7 +354,7 @@ def scored(ids: DataFrame, shared) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(out)],
                                              names=[*KEY, "doc_id", "held_out", "score"])
 
-    return ids.select(*KEY, "doc_id", "held_out", "ids").mapInArrow(
+    return ids.select(*KEY, "doc_id", "held_out", "ids", "rare_keys", "rare_n").mapInArrow(
         run, "k0 long, k1 long, k2 long, doc_id long, held_out boolean, score double")
 
 
@@ -367,9 +417,11 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     ids = materialize(ids_of(docs, tokenizer or default_path()), "lm-ids")
-    train = ids.filter("NOT held_out")
-    s = statistics(materialize(pair_counts(train), "lm-pairs"))
-    model = fit(train, spark.sparkContext.broadcast(s))
+    pairs = materialize(pair_counts(ids.filter("NOT held_out")), "lm-pairs")
+    s = statistics(pairs)
+    shared = spark.sparkContext.broadcast(s)
+    ids = with_rare(ids, pairs, shared)
+    model = fit(ids.filter("NOT held_out"), shared)
     counts = materialize(word_counts(docs.filter(~held_out(F.col("doc_id"), 7, 2))), "lm-words")
     kinds, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     base = base_scores(docs, counts, tokens, kinds)

@@ -418,6 +418,35 @@ def test_training_lowers_the_loss():
     assert loss[-1] < loss[0] - 0.5
 
 
+def test_lm_serves_all_bigrams_and_trains_on_all_windows(spark):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(6)
+    lists = [[*draw.integers(5, 25, n).tolist(), lm.END] for n in (3, 40, 200, 2000)]
+    ids = spark.createDataFrame([(k, k, k, k, False, x) for k, x in enumerate([*lists, lists[1]])],
+                                "k0 long, k1 long, k2 long, doc_id long, held_out boolean, ids array<int>")
+    ids = ids.withColumn("k0", ids.k0 % 4).withColumn("k1", ids.k1 % 4).withColumn("k2", ids.k2 % 4)
+    pairs = lm.pair_counts(ids)
+    few, every = lm.statistics(pairs, 60), lm.statistics(pairs)
+    n = collections.Counter((a, b) for x in [*lists, lists[1]] for a, b in zip([lm.BEGIN, *x], x))
+    assert len(few["pairs"]) <= 60 and len(every["pairs"]) == len(n)
+    rows = lm.with_rare(ids, pairs, spark.sparkContext.broadcast(few)).select("ids", "rare_keys", "rare_n").collect()
+    assert len(rows) == 5 and all(len(r["rare_keys"]) for r in rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))],
+                                       names=["ids", "rare_keys", "rare_n"])
+    (low, high, own, at), = lm._lists(batch.column(0))
+    before, row = lm._before(own, at), np.repeat(np.arange(5), np.diff(at))
+    got = lm.Bigrams(few).of(before, own, row, lm._rare(batch.column(1), batch.column(2), low, high))
+    total, kinds = collections.Counter(), collections.Counter(a for a, _ in n)
+    for (a, _), c in n.items():
+        total[a] += c
+    want = [(n[a, b] - lm.DISCOUNT + lm.DISCOUNT * kinds[a] * every["one"][b]) / total[a] for a, b in zip(before.tolist(), own.tolist())]
+    assert np.allclose(got, want, atol=1e-6) and np.allclose(lm.Bigrams(every).of(before, own), want, atol=1e-6)
+    p = lm.start()
+    memory = {k: np.zeros(v.shape) for k, v in p.items()}
+    assert lm.learn(p, memory, few, lm.Bigrams(few), batch) == sum(-(-len(r["ids"]) // lm.TARGETS) for r in rows)
+
+
 def test_lm_scores(docs, rows):
     counts = collections.Counter()
     for i, t in rows:
