@@ -1,21 +1,28 @@
 """Exact top-k similarity search over vectors.
 
 Queries are held as blocks of one matrix, the corpus streams by in chunks, and one matrix product
-scores a chunk against a block. The score matrix is never written: only entries that can still be
-among a query's best k leave the task (a running k-th best score per query prunes later chunks),
-and a window keeps the final k (planned as a partial and a final group limit).
+scores a chunk against a block. The score matrix is never written: a running k-th best score per
+query prunes later chunks, and a task returns each query's best k, not more. A window keeps the final k
+(planned as a partial and a final group limit).
 
-The size of the query side is checked first. Up to ``BROADCAST_BYTES`` it is broadcast and the
-corpus is scored where it lies, without a shuffle. Beyond that, query blocks and corpus slots of
-bounded size are cogrouped, so neither side ever has to fit one task, and a collection with most
-of the corpus spreads over all its slots.
+Beyond ``FLOOR_ROWS`` documents a collection is sampled first. Every task starts from a floor, so the hits
+grow with k, not with the number of tasks. The floor is the j-th best score of a query in a hashed sample. Of a
+sample that holds a share s of the collection, the k best documents fall into it k * s times on average; j lies three
+standard deviations above, at most k. If j = k the floor is safe. Else a query that found fewer than k documents above its
+floor is scored again without one, so the result is exact in any case.
+
+A block of queries is broadcast; its size is bounded by ``BROADCAST_BYTES``. More queries are cut into
+blocks by a hash of their ids and worked off one after the other against a corpus that is written once:
+it is neither shuffled nor copied.
 
 Scores are ranked after rounding to ``SCORE_DIGITS``, because the last bits of a matrix product
-depend on its blocking; equal scores go by ascending ``corpus_id``.
+depend on its blocking; equal scores go by ascending ``corpus_id``. A vector that is NULL, of another
+width than the first query's, or not finite raises.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -23,11 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.operators.joins import join_unique
+from pairloom.session import materialize, scratch_dir
 
 SCORE_DIGITS = 9
-BROADCAST_BYTES = 64 << 20  # query side that is broadcast
-BLOCK_BYTES = 128 << 20  # query block or corpus slot of the cogrouped way
+BROADCAST_BYTES = 64 << 20  # of a query block with its running best hits
+SAMPLE_BYTES = 128 << 20  # of a task that scores sampled vectors
+FLOOR_ROWS = 50_000  # documents of a collection beyond which it gets floors
+SAMPLED_BEST = 12  # how many of the k best a sample should hold
+HIT_BYTES = 64
+HELD_HITS = 1_000_000  # hits that a task holds before it drops all but the best
 TILE_BYTES = 64 << 20  # score tile in a task
 CHUNK_ROWS = 8192
 
@@ -51,9 +62,6 @@ def cos_matrix(queries: np.ndarray, docs: np.ndarray) -> np.ndarray:
 SCORE_FNS: dict[str, ScoreFn] = {"cos_sim": cos_matrix, "dot_score": dot_matrix}
 
 _HITS = "dataset string, score_fn string, query_id string, corpus_id string, score double"
-_HITS_ARROW = pa.schema([("dataset", pa.string()), ("score_fn", pa.string()),
-                         ("query_id", pa.string()), ("corpus_id", pa.string()),
-                         ("score", pa.float64())])
 
 
 class Block(NamedTuple):
@@ -64,19 +72,28 @@ class Block(NamedTuple):
     matrix: np.ndarray
 
 
-def _blocks(table: pa.Table | pa.RecordBatch) -> list[Block]:
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows; one that is missing, of another width or not finite is an error."""
+    if vectors.null_count:
+        raise ValueError("every query and document needs a vector, found NULL")
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    odd = np.diff(vectors.offsets.to_numpy()) != dim
+    if odd.any():
+        raise ValueError(f"every vector needs the width {dim}, found {len(vectors[int(odd.argmax())])}")
+    matrix = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+    if not np.isfinite(matrix).all():  # NULL entries have become NaN
+        raise ValueError("every vector needs finite entries, found NULL, NaN or an infinite one")
+    return matrix
+
+
+def _blocks(table: pa.Table | pa.RecordBatch, dim: int) -> list[Block]:
     """The collections of an Arrow table with columns dataset, id, vec."""
     if not table.num_rows:
         return []
     names = np.array(table.column("dataset").to_pylist(), dtype=object)
     ids = np.array(table.column("id").to_pylist(), dtype=object)
-    vectors = table.column("vec")
-    if vectors.null_count:
-        raise ValueError("every query and document needs a vector, found NULL")
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    matrix = flat.reshape(len(ids), -1)
+    matrix = _matrix(table.column("vec"), dim)
     out = []
     for name in sorted(set(names)):
         rows = np.flatnonzero(names == name)
@@ -109,39 +126,70 @@ def best_k(raw: np.ndarray, k: int, floor: np.ndarray):
     return rows[keep], cols[keep], values[keep]
 
 
-class _Running:
-    """The k best scores seen so far per query of one block; the k-th is the pruning floor."""
+class _Best:
+    """The best hits seen so far of one block under one score function."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.top = k, np.full((queries, k), -np.inf)
+    def __init__(self, block: Block, name: str, k: int, floor: np.ndarray | None):
+        self.block, self.name, self.k = block, name, k
+        self.start = np.full(len(block.ids), -np.inf) if floor is None else floor
+        self.top = np.full((len(block.ids), k), -np.inf)  # the k best scores of each query
+        self.held: list[pa.Table] = []
 
     def floor(self, start: int, stop: int) -> np.ndarray:
-        return self.top[start:stop].min(axis=1)
+        return np.maximum(self.start[start:stop], self.top[start:stop].min(axis=1))
 
-    def add(self, start: int, rows: np.ndarray, values: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+        """Hits of one chunk, ordered by row and best first, at most k a row."""
         if not len(rows):
             return
         touched, first = np.unique(rows, return_index=True)
         place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
         fresh = np.full((len(touched), self.k), -np.inf)
         fresh[np.searchsorted(touched, rows), place] = values
-        both = np.concatenate([self.top[start + touched], fresh], axis=1)
-        self.top[start + touched] = -np.partition(-both, self.k - 1, axis=1)[:, :self.k]
+        both = np.concatenate([self.top[touched], fresh], axis=1)
+        self.top[touched] = -np.partition(-both, self.k - 1, axis=1)[:, :self.k]
+        self.held.append(pa.table({"row": pa.array(rows), "id": pa.array(ids, pa.string()),
+                                   "score": pa.array(values)}))
+        if sum(t.num_rows for t in self.held) > max(HELD_HITS, 2 * self.top.size):
+            self.held = [self._best()]
+
+    def _best(self) -> pa.Table:
+        all_ = pa.concat_tables(self.held)
+        rows, values = all_.column("row").to_numpy(), all_.column("score").to_numpy()
+        all_ = all_.filter(pa.array(values >= self.top.min(axis=1)[rows]))
+        all_ = all_.sort_by([("row", "ascending"), ("score", "descending"), ("id", "ascending")])
+        rows = all_.column("row").to_numpy()
+        return all_.filter(pa.array(np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k))
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        best = self._best()
+        n = best.num_rows
+        yield from pa.table([
+            pa.array([self.block.dataset] * n, pa.string()), pa.array([self.name] * n, pa.string()),
+            pa.array(self.block.ids[best.column("row").to_numpy()], pa.string()),
+            best.column("id"), best.column("score")],
+            names=["dataset", "score_fn", "query_id", "corpus_id", "score"]).to_batches(10_000)
 
 
 class _Scorer:
-    """Scores chunks against blocks and yields the rows that may be among the best k."""
+    """Scores chunks against blocks and keeps the best k of each query."""
 
-    def __init__(self, k: int, score_fns: dict[str, ScoreFn], skip_self: bool):
-        self.k, self.score_fns, self.skip_self = k, score_fns, skip_self
-        self.running: dict[tuple, _Running] = {}
+    def __init__(self, blocks: dict[str, Block], k: int, score_fns: dict[str, ScoreFn], skip_self: bool,
+                 floors: dict[tuple[str, str], np.ndarray]):
+        self.blocks, self.score_fns, self.skip_self = blocks, score_fns, skip_self
+        self.best = {(d, f): _Best(block, f, k, floors.get((d, f))) for d, block in blocks.items() for f in score_fns}
+        self.k = k
 
-    def hits(self, block: Block, chunk: Block) -> Iterator[pa.RecordBatch]:
+    def add(self, chunk: Block) -> None:
+        block = self.blocks.get(chunk.dataset)
+        if block is None:
+            return
         places = {cid: i for i, cid in enumerate(chunk.ids)} if self.skip_self else {}
         tile = max(1, TILE_BYTES // (8 * len(chunk.ids)))
         for name, score_fn in self.score_fns.items():
-            state = self.running.setdefault(
-                (block.dataset, name), _Running(len(block.ids), self.k))
+            state = self.best[chunk.dataset, name]
             for start in range(0, len(block.ids), tile):
                 asked = block.ids[start:start + tile]
                 scores = score_fn(block.matrix[start:start + tile], chunk.matrix)
@@ -149,16 +197,7 @@ class _Scorer:
                     if qid in places:
                         scores[i, places[qid]] = -np.inf
                 rows, cols, values = best_k(scores, self.k, state.floor(start, start + len(asked)))
-                state.add(start, rows, values)
-                if not len(rows):
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block.dataset] * len(rows), pa.string()),
-                     pa.array([name] * len(rows), pa.string()),
-                     pa.array(asked[rows], pa.string()),
-                     pa.array(chunk.ids[cols], pa.string()),
-                     pa.array(values, pa.float64())],
-                    names=["dataset", "score_fn", "query_id", "corpus_id", "score"])
+                state.add(start + rows, chunk.ids[cols], values)
 
 
 def _prepare(df: DataFrame, id_col: str, vec_col: str, dataset: str | None) -> DataFrame:
@@ -167,83 +206,126 @@ def _prepare(df: DataFrame, id_col: str, vec_col: str, dataset: str | None) -> D
                      F.col(vec_col).alias("vec"))
 
 
+class Search(NamedTuple):
+    """What the blocks of one search share."""
+
+    docs: DataFrame
+    sizes: dict[str, int]  # documents of each collection
+    dim: int
+    k: int
+    score_fns: dict[str, ScoreFn]
+    skip_self: bool
+    floor_rows: int
+
+    def scan(self, blocks: dict[str, Block], k: int, floors: dict, docs: DataFrame | None = None) -> DataFrame:
+        """Each task's best ``k`` hits of every query of the blocks, none below its floor."""
+        score_fns, skip_self, dim = self.score_fns, self.skip_self, self.dim
+        docs = self.docs if docs is None else docs
+        # Plain tuples: a broadcast value must not need this package on the executors.
+        shared = docs.sparkSession.sparkContext.broadcast(({d: tuple(b) for d, b in blocks.items()}, floors))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, lowest = shared.value
+            scorer = _Scorer({d: Block(*b) for d, b in asked.items()}, k, score_fns, skip_self, lowest)
+            for batch in batches:
+                for start in range(0, batch.num_rows, CHUNK_ROWS):
+                    for chunk in _blocks(batch.slice(start, CHUNK_ROWS), dim):
+                        scorer.add(chunk)
+            for best in scorer.best.values():
+                yield from best.hits()
+
+        return docs.mapInArrow(run, _HITS)
+
+    def share(self) -> float:
+        """The share of a collection that is sampled."""
+        return min(0.5, SAMPLED_BEST / self.k)
+
+    def sample_rank(self) -> int:
+        mean = self.k * self.share()
+        return min(self.k, math.ceil(mean + 3 * math.sqrt(mean) + 1))
+
+    def floors(self, blocks: dict[str, Block]) -> dict[tuple[str, str], np.ndarray]:
+        """A floor for every query of the large collections, by (collection, score function)."""
+        large = {d: b for d, b in blocks.items() if self.sizes.get(d, 0) > max(self.floor_rows, 4 * self.k)}
+        if not large:
+            return {}
+        j = self.sample_rank()
+        cut = round(self.share() * (1 << 20))
+        drawn = self.docs.filter(F.col("dataset").isin(list(large)) &
+                                 (F.pmod(F.xxhash64("dataset", "id"), F.lit(1 << 20)) < cut))
+        rows = sum(self.sizes[d] for d in large) * self.share()
+        drawn = drawn.repartition(max(1, math.ceil(rows * (8 * self.dim + 64) / SAMPLE_BYTES)))
+        found = rank_hits(self.scan(large, j, {}, drawn), j).groupBy("dataset", "score_fn", "query_id").agg(
+            F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == j).toArrow()
+        known = {key[:3]: key[3] for key in zip(*(found.column(c).to_pylist() for c in
+                                                  ("dataset", "score_fn", "query_id", "floor")))}
+        return {(d, f): np.array([known.get((d, f, q), -np.inf) for q in block.ids])
+                for d, block in large.items() for f in self.score_fns}
+
+    def hits(self, asked: DataFrame) -> DataFrame:
+        """Hits of one block of queries that hold every query's best k."""
+        blocks = {b.dataset: b for b in _blocks(asked.toArrow(), self.dim)}
+        floors = self.floors(blocks)
+        hits = self.scan(blocks, self.k, floors)
+        if not floors or self.sample_rank() == self.k:
+            return hits
+        hits = materialize(hits, "hits")
+        counts = hits.groupBy("dataset", "score_fn", "query_id").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        full = {key[:3] for key in zip(*(counts.column(c).to_pylist() for c in
+                                         ("dataset", "score_fn", "query_id", "n"))) if key[3] >= self.k}
+        short = {}
+        for d in {d for d, _ in floors}:
+            rows = [i for i, q in enumerate(blocks[d].ids) if any((d, f, q) not in full for f in self.score_fns)]
+            if rows:
+                short[d] = Block(d, blocks[d].ids[rows], blocks[d].matrix[rows])
+        if not short:
+            return hits
+        again = hits.sparkSession.createDataFrame(
+            [(d, q) for d, block in short.items() for q in block.ids], "dataset string, query_id string")
+        kept = hits.join(F.broadcast(again), ["dataset", "query_id"], "left_anti")  # part of one block: bounded
+        return kept.unionByName(self.scan(short, self.k, {}))
+
+
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int,
                 score_fns: dict[str, ScoreFn] | None = None, dataset: str | None = None,
                 query_id: str = "_id", corpus_id: str = "_id", vec: str = "vec",
                 skip_self: bool = False, dim: int | None = None,
-                broadcast_bytes: int = BROADCAST_BYTES,
-                block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                broadcast_bytes: int = BROADCAST_BYTES, floor_rows: int = FLOOR_ROWS) -> DataFrame:
     """The exact ``k`` best documents per query, score function and collection.
 
     ``skip_self`` drops hits whose document id equals the query id. ``score_fns`` maps names to
     functions of two matrices. ``dim`` is the vector width, read off one query if not given.
-    Ids are unique within a collection.
+    Ids are unique within a collection. ``broadcast_bytes`` bounds a block of queries; collections
+    of more than ``floor_rows`` documents get floors.
     """
     score_fns = score_fns or SCORE_FNS
     asked = _prepare(queries, query_id, vec, dataset)
     docs = _prepare(corpus, corpus_id, vec, dataset)
 
-    rows = asked.count()  # needs no vectors, so none are encoded for it
+    # Counting needs no vectors, so none are encoded for it; one row a collection.
+    side = lambda df, name: df.select("dataset", F.lit(name).alias("side"))
+    counts = side(asked, "q").unionByName(side(docs, "d")).groupBy("dataset", "side").count().collect()
+    sizes = {r["dataset"]: r["count"] for r in counts if r["side"] == "d"}
+    rows = sum(r["count"] for r in counts if r["side"] == "q")
     if dim is None:
         one = asked.select(F.size("vec").alias("dim")).first()
         dim = one["dim"] if one else 1
-    query_bytes = 8 * (dim + k * len(score_fns)) + 64  # vector, running best scores, id
-    if rows * query_bytes <= broadcast_bytes:
-        hits = _broadcast_hits(asked, docs, k, score_fns, skip_self)
-    else:
-        hits = _cogrouped_hits(asked, docs, k, score_fns, skip_self,
-                               max(1, block_bytes // query_bytes),
-                               max(1, block_bytes // (8 * dim + 64)))
-    return rank_hits(hits, k)
-
-
-def _broadcast_hits(asked, docs, k, score_fns, skip_self) -> DataFrame:
-    """Query blocks of checked size go to every executor; the corpus is not shuffled."""
-    # Plain tuples: a broadcast value must not need this package on the executors.
-    blocks = {b.dataset: tuple(b) for b in _blocks(asked.toArrow())}
-    shared = asked.sparkSession.sparkContext.broadcast(blocks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(k, score_fns, skip_self)
-        for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK_ROWS):
-                for chunk in _blocks(batch.slice(start, CHUNK_ROWS)):
-                    if chunk.dataset in shared.value:
-                        yield from scorer.hits(Block(*shared.value[chunk.dataset]), chunk)
-
-    return docs.mapInArrow(run, _HITS)
-
-
-def _cogrouped_hits(asked, docs, k, score_fns, skip_self, block_rows: int,
-                    slot_rows: int) -> DataFrame:
-    """Every (query block, corpus slot) of a collection is one group of bounded size.
-
-    Each collection is cut into as many blocks and slots as its own row counts ask for; the
-    counts are one row per collection and are joined with its rows split over salts.
-    """
-    parts = lambda df, rows, name: df.groupBy("dataset").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name))
-    cuts = parts(asked, block_rows, "blocks").join(parts(docs, slot_rows, "slots"), "dataset")
-    number = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
-    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    left = join_unique(asked, cuts, ["dataset"], "id", "inner")
-    left = left.withColumn("block_no", number("blocks")).withColumn("slot_no", each("slots"))
-    right = join_unique(docs, cuts, ["dataset"], "id", "inner")
-    right = right.withColumn("slot_no", number("slots")).withColumn("block_no", each("blocks"))
-    keys = ["dataset", "block_no", "slot_no"]
-    left, right = left.drop("blocks", "slots"), right.drop("blocks", "slots")
-
-    def run(queries: pa.Table, chunk: pa.Table) -> pa.Table:
-        scorer = _Scorer(k, score_fns, skip_self)
-        empty = pa.Table.from_batches([], _HITS_ARROW)
-        parts = []
-        for block in _blocks(queries):
-            for start in range(0, chunk.num_rows, CHUNK_ROWS):
-                for part in _blocks(chunk.slice(start, CHUNK_ROWS)):
-                    parts += scorer.hits(block, part)
-        return pa.Table.from_batches(parts) if parts else empty
-
-    return (left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _HITS))
+    query_bytes = 8 * dim + k * len(score_fns) * HIT_BYTES + 64  # vector, best hits, id
+    blocks = -(-rows * query_bytes // broadcast_bytes)
+    if blocks <= 1:
+        return rank_hits(Search(docs, sizes, dim, k, score_fns, skip_self, floor_rows).hits(asked), k)
+
+    spark = asked.sparkSession
+    path = scratch_dir(spark, "queries")
+    cut = asked.withColumn("block", F.pmod(F.xxhash64("dataset", "id"), F.lit(blocks)))
+    cut.repartition("block").write.partitionBy("block").parquet(path)
+    asked = spark.read.schema(cut.schema).parquet(path)
+    search = Search(materialize(docs, "corpus"), sizes, dim, k, score_fns, skip_self, floor_rows)
+    target = scratch_dir(spark, "run")
+    for block in range(blocks):
+        run = rank_hits(search.hits(asked.filter(F.col("block") == block).drop("block")), k)
+        run.write.mode("append").parquet(target)
+    return spark.read.schema(f"{_HITS}, rank int").parquet(target)
 
 
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import cos_sim, dot_score
+from pairloom.operators import search
 from pairloom.operators.search import SCORE_DIGITS, topk_search
 
 SCHEMA = "dataset STRING, _id STRING, vec ARRAY<DOUBLE>"
@@ -38,7 +39,7 @@ def found(run):
     return {(r["dataset"], r["score_fn"], r["query_id"], r["corpus_id"], r["rank"]) for r in run.collect()}
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0, "block_bytes": 3000}])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 40_000}, {"broadcast_bytes": 40_000, "floor_rows": 0}])
 def test_both_ways_equal_brute_force(spark, limits):
     """One collection holds most of the corpus; small integer vectors give many ties."""
     sizes = {"big": 120, "small": 7, "alone": 3}
@@ -49,7 +50,7 @@ def test_both_ways_equal_brute_force(spark, limits):
     assert found(run) == brute(queries, corpus, 10)
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0, "block_bytes": 2000}])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 9000, "floor_rows": 0}])
 def test_skip_self(spark, limits):
     rows = vectors(3, "v", {"a": 40})
     df = spark.createDataFrame(rows, SCHEMA)
@@ -98,3 +99,53 @@ def test_missing_vector_is_an_error(spark):
     bad = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "_id STRING, vec ARRAY<DOUBLE>")
     with pytest.raises(Exception, match="needs a vector"):
         topk_search(good, bad, 1).collect()
+
+
+@pytest.mark.parametrize("bad, message", [
+    ([float("nan"), 0.0], "finite"), ([None, 0.0], "finite"), ([float("inf"), 0.0], "finite"),
+    ([1.0], "width 2"), ([1.0, 2.0, 3.0], "width 2"), ([], "width 2")])
+@pytest.mark.parametrize("side", ["queries", "corpus"])
+def test_broken_vectors_are_errors(spark, bad, message, side):
+    good = [(f"g{i}", [1.0, float(i)]) for i in range(3)]
+    frame = lambda rows: spark.createDataFrame(rows, "_id STRING, vec ARRAY<DOUBLE>").coalesce(1)
+    broken = frame([*good, ("bad", bad)])
+    with pytest.raises(Exception, match=message):
+        topk_search(broken if side == "queries" else frame(good), broken if side == "corpus" else frame(good), 2,
+                    dim=2).collect()
+
+
+def big(spark, tasks, n=6000, k=60):
+    """A search over ``tasks`` tasks, its queries, and the matrices."""
+    rnd = np.random.default_rng(9)
+    docs, asked = rnd.normal(size=(n, 8)), rnd.normal(size=(25, 8))
+    frame = lambda prefix, m: spark.createDataFrame(
+        [("a", f"{prefix}{i:05d}", list(map(float, v))) for i, v in enumerate(m)], "dataset STRING, id STRING, vec ARRAY<DOUBLE>")
+    found = search.Search(frame("c", docs).repartition(tasks), {"a": n}, 8, k, {"dot": search.dot_matrix}, False, 0)
+    return found, frame("q", asked), docs, asked
+
+
+@pytest.mark.parametrize("tasks", [4, 16, 64])
+def test_hits_do_not_grow_with_tasks(spark, tasks):
+    found, asked, docs, matrix = big(spark, tasks)
+    hits = found.hits(asked)
+    assert hits.count() <= 3 * 25 * 60
+    got = {(r["query_id"], r["corpus_id"]) for r in search.rank_hits(hits, 60).collect()}
+    scores = np.round(matrix @ docs.T, SCORE_DIGITS)
+    assert got == {(f"q{i:05d}", f"c{c:05d}") for i, row in enumerate(scores) for c in np.argsort(-row, kind="stable")[:60]}
+
+
+def test_a_floor_that_is_too_high_is_found_out(spark, monkeypatch):
+    """The sample's best score as the floor leaves most queries short: they are scored again."""
+    monkeypatch.setattr(search.Search, "sample_rank", lambda self: 1)
+    found, asked, docs, matrix = big(spark, 8, n=1500)
+    got = {(r["query_id"], r["corpus_id"]) for r in search.rank_hits(found.hits(asked), 60).collect()}
+    scores = np.round(matrix @ docs.T, SCORE_DIGITS)
+    assert got == {(f"q{i:05d}", f"c{c:05d}") for i, row in enumerate(scores) for c in np.argsort(-row, kind="stable")[:60]}
+
+
+def test_the_corpus_is_not_copied_per_block(spark):
+    rows = vectors(11, "v", {"a": 60})
+    df = spark.createDataFrame(rows, SCHEMA)
+    run = topk_search(df, df, 5, dataset="dataset", broadcast_bytes=5000)
+    assert "Generate" not in run._jdf.queryExecution().toString()
+    assert found(run) == brute(rows, rows, 5)
