@@ -133,15 +133,16 @@ def win_batch(spark, d):
 
 
 TRIPLET_SQL = f"""triplets AS (
-  SELECT a.doc_id AS pos, {v.answer_sql('a.text')} AS query, a.text AS positive, b.text AS negative
-  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"""
+  SELECT doc_id AS pos, {v.answer_sql('text')} AS query, text AS positive,
+    CASE WHEN last THEN first_value(text) OVER w ELSE lead(text) OVER w END AS negative
+  FROM (SELECT *, doc_id = max(doc_id) OVER () AS last FROM documents) WINDOW w AS (ORDER BY doc_id))"""
 
 
 def _triplets(spark, d):
-    """First line, text, and the text of the next document as the negative."""
+    """First line, text, and the text of the next document (of the last: the first) as the negative."""
     docs = v.table(spark, d, "documents").select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    rows = docs.join(after, "doc_id").withColumn("line", txt.answer_extract(F.col("text"), F.lit("")))
+    rows = prs.with_next(docs, "text", "other", "doc_id").withColumn(
+        "line", txt.answer_extract(F.col("text"), F.lit("")))
     return prs.load_triplets(rows, "line", "text", "other", pos="doc_id")
 
 
@@ -154,15 +155,27 @@ def _norm_sql(x: str) -> str:
     return v.strip_sql(f"lower({x})")
 
 
-@entry("nodup_batches", v.with_(TRIPLET_SQL, f"""t1 AS (
-  SELECT *, row_number() OVER (PARTITION BY {_norm_sql('query')} ORDER BY pos) - 1 AS r1 FROM triplets),
-t2 AS (SELECT *, row_number() OVER (PARTITION BY r1, {_norm_sql('positive')} ORDER BY pos) - 1 AS r2 FROM t1),
-t3 AS (SELECT *, row_number() OVER (PARTITION BY r1, r2, {_norm_sql('negative')} ORDER BY pos) - 1 AS r3 FROM t2)""",
-    select="""SELECT pos, r1, r2, r3,
-  (row_number() OVER (PARTITION BY r1, r2, r3 ORDER BY pos) - 1) // 32 AS batch_id FROM t3"""))
+def _nodup(spark, d):
+    return sampling.nodup_batches(_triplets(spark, d), 32, ["query", "positive", "negative"], seed=v.SEED)
+
+
+@entry("nodup_batches", v.with_(TRIPLET_SQL, select="SELECT pos, 1::BIGINT AS batches FROM triplets"))
 def nodup_batches(spark, d):
-    done = sampling.nodup_batches(_triplets(spark, d), 32, ["query", "positive", "negative"])
-    return done.select("pos", "r1", "r2", "r3", "batch_id")
+    """Every triplet and the number of batches it is in."""
+    return _nodup(spark, d).groupBy("pos").agg(F.count("batch_id").alias("batches"))
+
+
+@entry("nodup_repeats", v.with_(TRIPLET_SQL, select="""
+SELECT count(*) AS n, 0::BIGINT AS repeats, 0::BIGINT AS too_large FROM triplets"""))
+def nodup_repeats(spark, d):
+    """Triplets, texts that two triplets of a batch share, and triplets beyond the size of a batch."""
+    done = _nodup(spark, d)
+    texts = F.array_distinct(F.array(*[txt.norm_query(F.col(c)) for c in ("query", "positive", "negative")]))
+    again = done.select("batch_id", F.explode(texts).alias("text")).groupBy("batch_id", F.sha2("text", 256)).agg(
+        (F.count(F.lit(1)) - 1).alias("again")).agg(F.sum("again").alias("repeats"))
+    sizes = done.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("n"), F.sum(F.greatest(F.col("n") - 32, F.lit(0))).alias("too_large"))
+    return sizes.join(again)  # one row each
 
 
 # -- text functions ------------------------------------------------------------------------

@@ -109,6 +109,17 @@ def load_triplets(df: DataFrame, query: str, positive: str, negative: str,
                      F.col(positive).alias("positive"), F.col(negative).alias("negative"))
 
 
+def with_next(df: DataFrame, column: str, name: str, pos: str = "pos") -> DataFrame:
+    """Adds ``name``: ``column`` of the next row by ``pos``; the last row takes the first one's.
+
+    ``pos`` may have gaps. Rows meet on their dense numbers, so nothing is sorted in one task.
+    """
+    numbered = number_rows(df.select(pos, F.col(column).alias(name)), pos, name="_place", total="_rows")
+    after = numbered.select(F.pmod(F.col("_place") - 1, F.col("_rows")).alias("_before"), name)
+    places = number_rows(df.select(pos), pos, name="_before")
+    return df.join(places.join(after, "_before").select(pos, name), pos)
+
+
 def agg_sizes(data: Collection) -> DataFrame:
     """Sizes of a loaded split; the relevance size counts queries."""
     sizes = [

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.draws import digest
@@ -131,24 +134,91 @@ def batch_of_pos(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFrame:
     return placed.withColumn("batch_id", F.floor(F.col("row_id") / F.lit(batch_size)))
 
 
-def nodup_batches(triplets: DataFrame, batch_size: int, columns: list[str],
-                  pos: str = "pos") -> DataFrame:
-    """Batches in which no column repeats a text (compared stripped and in lower case).
-
-    Each row gets the occurrence number of its text, one column after the other and within the
-    numbers so far; rows with equal numbers cannot repeat a text and are cut into batches.
-    Contract: no repeat within a column, every row in exactly one batch; the order differs from
-    a greedy loader. Texts are compared by digest. The numbering works on digests and positions
-    only, and each round is written down because the next one reads it twice.
+FEW_ROWS = 4096  # a rest this small is dealt in one task
+
+
+def _dealt(rest: DataFrame, batch_size: int, batches: int, base: int, seed: int) -> DataFrame:
+    """``rest`` with a batch and whether the row may stay there, decided row by row in each batch."""
+    order = number_by_hash(rest, seed, "deal", "_pos", name="_place")
+    batch = (F.lit(base) + F.col("_place") % F.lit(batches)).alias("batch_id")
+    schema = "_pos long, _texts array<binary>, batch_id long, kept boolean"
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen, size = None, set(), 0
+        for frame in frames:
+            kept = []
+            for number, texts in zip(frame.column("batch_id").to_pylist(), frame.column("_texts").to_pylist()):
+                if number != current:
+                    current, seen, size = number, set(), 0
+                stays = size < batch_size and seen.isdisjoint(texts)
+                if stays:
+                    seen.update(texts)
+                    size += 1
+                kept.append(stays)
+            yield pa.RecordBatch.from_arrays(
+                [frame.column(c) for c in ("_pos", "_texts", "batch_id")] + [pa.array(kept, pa.bool_())],
+                names=["_pos", "_texts", "batch_id", "kept"])
+
+    return order.select("_pos", "_texts", batch, "_place").repartition("batch_id").sortWithinPartitions(
+        "batch_id", "_place").mapInArrow(run, schema)
+
+
+def _first_fit(rest: DataFrame, batch_size: int, base: int) -> DataFrame:
+    """A few rows, each in the first batch from ``base`` on that has room and none of its texts."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts_of: list[set] = []
+        sizes: list[int] = []
+        first = 0  # all batches before it are full
+        for frame in frames:
+            place = []
+            for texts in frame.column("_texts").to_pylist():
+                while first < len(sizes) and sizes[first] == batch_size:
+                    first += 1
+                at = next((i for i in range(first, len(sizes))
+                           if sizes[i] < batch_size and texts_of[i].isdisjoint(texts)), len(sizes))
+                if at == len(sizes):
+                    texts_of.append(set())
+                    sizes.append(0)
+                texts_of[at].update(texts)
+                sizes[at] += 1
+                place.append(base + at)
+            yield pa.RecordBatch.from_arrays([frame.column("_pos"), pa.array(place, pa.int64())],
+                                             names=["_pos", "batch_id"])
+
+    return rest.coalesce(1).sortWithinPartitions("_pos").mapInArrow(run, "_pos long, batch_id long")
+
+
+def nodup_batches(triplets: DataFrame, batch_size: int, columns: list[str], pos: str = "pos",
+                  seed: int = 0, few_rows: int = FEW_ROWS) -> DataFrame:
+    """Adds ``batch_id``: batches of at most ``batch_size`` rows in which no text occurs in two rows.
+
+    Texts are compared stripped and in lower case, across all columns: a row's negative may not be another
+    row's positive. A row may hold a text twice itself; NULL texts meet nothing. Every row is in exactly one batch.
+
+    Rows are dealt in a seeded random order to as many batches as their number, or their most
+    frequent text, asks for. In each batch a row that meets a text of an earlier one has to leave; the
+    rows that left are dealt again to batches of their own. A round keeps at least one row a batch, as a rule all but those that share
+    texts, so the rest shrinks by a factor however often one text occurs; a rest of at most ``few_rows`` ends in one task.
+    Rounds work on positions and digests, each in one exchange by batch; each is written down.
     """
-    digests = [F.sha2(norm_query(F.col(c)), 256).alias(f"_t{i}") for i, c in enumerate(columns, 1)]
-    keys = materialize(triplets.select(F.col(pos).alias("_pos"), *digests), "texts")
-    rounds: list[str] = []
-    for i in range(1, len(columns) + 1):
-        keys = number_rows(keys, "_pos", keys=[*rounds, f"_t{i}"], name=f"r{i}").drop(f"_t{i}")
-        keys = materialize(keys, f"round{i}")
-        rounds.append(f"r{i}")
-    placed = number_rows(keys, "_pos", keys=rounds, name="_place")
-    batches = placed.select("_pos", *rounds, F.floor(
-        F.col("_place") / F.lit(batch_size)).alias("batch_id"))
-    return triplets.join(batches, F.col(pos) == F.col("_pos")).drop("_pos")
+    digests = F.array_compact(F.array(*[F.unhex(F.sha2(norm_query(F.col(c)), 256)) for c in columns]))
+    rest = materialize(triplets.select(F.col(pos).alias("_pos"), F.array_distinct(digests).alias("_texts")), "texts")
+    placed, base, round_ = [], 0, 0
+    while True:
+        one = rest.select(F.posexplode_outer("_texts").alias("i", "text"))
+        per_text = one.groupBy("text").agg(F.count("text").alias("n"), F.count_if(
+            F.coalesce(F.col("i"), F.lit(0)) == 0).alias("rows"))
+        found = per_text.agg(F.sum("rows").alias("rows"), F.max("n").alias("most")).first()
+        rows, most = found["rows"] or 0, found["most"] or 0
+        if rows <= few_rows:
+            placed.append(_first_fit(rest, batch_size, base))
+            break
+        batches = max(-(-rows // batch_size), most)
+        dealt = materialize(_dealt(rest, batch_size, batches, base, seed + round_), "dealt")
+        placed.append(dealt.filter("kept").select("_pos", "batch_id"))
+        rest = dealt.filter("not kept").select("_pos", "_texts")
+        base, round_ = base + batches, round_ + 1
+    found = placed[0]
+    for more in placed[1:]:
+        found = found.unionByName(more)
+    return triplets.join(found.withColumnRenamed("_pos", pos), pos)

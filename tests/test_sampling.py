@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pairloom.functions.draws import word_marks
 from pairloom.operators import sampling
 from pairloom.operators.joins import join_unique
-from pairloom.operators.numbering import number_by_hash, number_rows
+from pairloom.operators.numbering import _offsets, number_by_hash, number_rows
+from pairloom.operators.pairs import with_next
 
 
 def positions(spark, n):
@@ -87,22 +88,54 @@ def test_corpus_cap(spark):
         sampling.corpus_cap(corpus, qrels, 4, seed=1)
 
 
-def test_nodup_batches_never_repeat(spark):
+@pytest.mark.parametrize("few_rows", [0, 40, 4096])
+def test_nodup_batches_never_repeat(spark, few_rows):
+    """A third of the rows share a text, texts return in other columns, some are missing."""
     rnd = random.Random(2)
-    pick = lambda name: "hot" if rnd.random() < 0.33 else f"{name}{rnd.randrange(40)}"
-    rows = [(i, pick("q"), pick("p").upper(), f" {pick('n')} ") for i in range(300)]
-    df = spark.createDataFrame(rows, "pos BIGINT, query STRING, positive STRING, negative STRING")
+    pick = lambda: "hot" if rnd.random() < 0.2 else rnd.choice([None, ""] + [f"t{k}" for k in range(400)])
+    rows = [(i * 3, pick(), (pick() or "x").upper(), f" {pick()} ") for i in range(300)]
+    df = spark.createDataFrame(rows, "pos BIGINT, query STRING, positive STRING, negative STRING").repartition(4)
     columns = ["query", "positive", "negative"]
-    got = sampling.nodup_batches(df, 8, columns).collect()
-    assert sorted(r["pos"] for r in got) == list(range(300))
+    got = sampling.nodup_batches(df, 8, columns, few_rows=few_rows).collect()
+    assert sorted(r["pos"] for r in got) == [r[0] for r in rows]
     batches = {}
     for r in got:
-        batches.setdefault((r["r1"], r["r2"], r["r3"], r["batch_id"]), []).append(r)
+        batches.setdefault(r["batch_id"], []).append({r[c].strip().lower() for c in columns if r[c] is not None})
+    hot = sum(any("hot" in (x or "").lower() for x in r[1:]) for r in rows)
+    assert len(batches) >= hot > 100
     for batch in batches.values():
-        assert len(batch) <= 8
-        for c in columns:
-            texts = [r[c].strip().lower() for r in batch]
-            assert len(texts) == len(set(texts))
+        assert len(batch) <= 8 and sum(map(len, batch)) == len(set().union(*batch))
+
+
+def test_nodup_batches_fill_up_without_repeats(spark):
+    df = spark.range(1000).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("q"))
+    sizes = sampling.nodup_batches(df, 32, ["q"], few_rows=0).groupBy("batch_id").count().collect()
+    assert len(sizes) == 32 and {r["count"] for r in sizes} == {31, 32}
+    assert sampling.nodup_batches(df.limit(0), 32, ["q"]).count() == 0
+
+
+def test_next_row_wraps_round(spark):
+    places = [-5, 3, 2**40, 2**62]
+    df = spark.createDataFrame([(p, f"t{p}") for p in places], "pos BIGINT, text STRING")
+    got = {r["pos"]: r["after"] for r in with_next(df, "text", "after").collect()}
+    assert got == {p: f"t{n}" for p, n in zip(places, places[1:] + places[:1])}
+
+
+@pytest.mark.parametrize("step", [1 << 20, 1 << 54])
+def test_number_rows_far_apart(spark, step):
+    """Positions far apart: no window without keys sees more than a few rows."""
+    df = spark.range(-300, 500).select((F.col("id") * step).alias("pos"), F.pmod("id", F.lit(2)).alias("odd"))
+    got = {r["pos"]: r["row_id"] for r in number_rows(df).collect()}
+    assert got == {p * step: i for i, p in enumerate(range(-300, 500))}
+    keyed = number_rows(df, keys=["odd"], total="n").collect()
+    assert all(r["row_id"] == (r["pos"] // step + 300) // 2 and r["n"] == 400 for r in keyed)
+
+
+def test_top_window_is_bounded(spark):
+    """2^30 buckets of one position each, cut to their top 2^13 by the levels."""
+    counts = spark.range(5000).select(F.shiftleft("id", 34).alias("_b"), F.lit(1).alias("_n"))
+    got = _offsets(counts, [], 47).collect()
+    assert {r["_b"] >> 34: r["_offset"] for r in got} == {i: i for i in range(5000)}
 
 
 def test_shuffle_batches(spark):
