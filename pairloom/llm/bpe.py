@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.llm.columns import bound_batches, flat, slices
 from pairloom.llm.subwords import default_path
 
-SLICE = 1 << 19  # bytes of text coded at once
+SLICE = 1 << 21  # bytes of text coded at once
 CACHED_PIECES = 400_000  # pieces, and words, whose ids a task remembers
 CACHED_IDS = 4_000_000
 CACHED_BYTES = 64  # a longer word is merged anew each time
 GONE = -1
-PLACE_BITS = 40  # a queue entry is one number: rank of the merge, then place of its left symbol
-PLACES = (1 << PLACE_BITS) - 1
+# A queue entry is one number: rank of the merge, then place of its left symbol; small numbers are faster.
+SHORT_BITS, LONG_BITS = 14, 40
+# ASCII that prints, and Latin letters that are composed as they stand and lower-case to one letter.
+LATIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
 
 
 class Merges:
@@ -62,62 +64,74 @@ class Merges:
             raise ValueError("the file keeps white space, so texts can't be cut there")
         self.vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
         pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.partners: list[dict[int, int]] = [{} for _ in range(max(self.vocab.values()) + 1)]
+        for rank, (a, b) in enumerate(pairs):
+            self.partners[self.vocab[a]][self.vocab[b]] = rank  # right symbol: rank of the merge
         self.made = [self.vocab[a + b] for a, b in pairs]
         self.specials = {t["content"]: t["id"] for t in file["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file["added_tokens"]):
             raise ValueError("special tokens must stand for their own characters alone")
         names = "|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True))
         self.special = re.compile(f"({names})") if names else None
-        self.ascii = self._ascii_rule(file)
-        self.words: dict[str, list[int]] = {}
+        self.latin = self._latin_rule(file)
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in shown]  # shown as the code points from 256 on
+        self.signs = {b: 256 + k for k, b in enumerate(hidden)}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
-    def _ascii_rule(file: dict) -> re.Pattern | None:
-        """The file's pattern for printable ASCII in lower case, if it has the usual parts only."""
+    def _latin_rule(file: dict) -> re.Pattern | None:
+        """The file's pattern for printable Latin text in lower case, if it has the usual parts only."""
         kinds = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
         steps = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
         if kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
             return None
         rule = steps[0]["pattern"].get("Regex", "")
-        rule = rule.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+        rule = rule.replace(r"\p{L}", "a-z\u00df-\u00f6\u00f8-\u017f").replace(r"\p{N}", "0-9")
         return re.compile(rule) if steps[0]["invert"] and "\\p" not in rule else None
 
-    def merge(self, word: str) -> list[int]:
+    def merge(self, word: str) -> tuple[int, ...]:
         """The ids of one word of the splitter."""
-        vocab, rank_of, made = self.vocab, self.ranks.get, self.made
-        last = len(word) - 1
-        ids = [vocab[c] for c in word[:-1]]
-        ids.append(vocab[word[-1] + self.end])
+        partners, made, last = self.partners, self.made, len(word) - 1
+        bits = SHORT_BITS if last < 1 << SHORT_BITS else LONG_BITS
+        places = (1 << bits) - 1
+        ids = [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.end]]
         before, after = list(range(-1, last)), list(range(1, last + 2))
-        queue = [rank << PLACE_BITS | i for i, rank in enumerate(map(rank_of, zip(ids, ids[1:])))
-                 if rank is not None]
+        queue, left = [], partners[ids[0]]
+        for i, right in enumerate(ids[1:]):
+            rank = left.get(right)
+            if rank is not None:
+                queue.append(rank << bits | i)
+            left = partners[right]
         heapify(queue)
         while queue:
             entry = heappop(queue)
-            rank, i = entry >> PLACE_BITS, entry & PLACES
-            j = after[i]
-            if j > last or rank_of((ids[i], ids[j])) != rank:
+            i = entry & places
+            j, left = after[i], ids[i]
+            if j > last or left == GONE or partners[left].get(ids[j]) != entry >> bits:
                 continue  # stale
-            new = ids[i] = made[rank]
+            new = ids[i] = made[entry >> bits]
             ids[j] = GONE
             h, k = before[i], after[j]
             after[i] = k
             if k <= last:
                 before[k] = i
-                rank = rank_of((new, ids[k]))
+                rank = partners[new].get(ids[k])
                 if rank is not None:
-                    heappush(queue, rank << PLACE_BITS | i)
+                    heappush(queue, rank << bits | i)
             if h >= 0:
-                rank = rank_of((ids[h], new))
+                rank = partners[ids[h]].get(new)
                 if rank is not None:
-                    heappush(queue, rank << PLACE_BITS | h)
-        return [i for i in ids if i != GONE]
+                    heappush(queue, rank << bits | h)
+        return tuple([i for i in ids if i != GONE])
 
     def _split(self, text: str) -> list[str]:
-        """Words as the file's normaliser and splitter give them; plain ASCII needs neither."""
-        if self.ascii and text.isascii() and text.isprintable():
-            return self.ascii.findall(text.lower())
+        """Words as the file's normaliser and splitter give them; printable Latin text needs neither."""
+        if self.latin and LATIN.fullmatch(text):
+            words = self.latin.findall(text.lower())
+            if text.isascii():
+                return words
+            return [w.encode().decode("latin-1").translate(self.signs) for w in words]
         return [word for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def _plain(self, text: str) -> list[int]:
