@@ -21,21 +21,24 @@ TOP_BITS = 13
 
 
 def _offsets(counts: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """``counts`` (keys, _b of ``width`` bits, _n) with ``_offset``, the rows of the key in smaller buckets."""
+    """``counts`` (keys, _b of ``width`` bits, _n) with ``_offset``, the rows of the key in smaller buckets,
+    and ``_total``, all rows of the key."""
     before = lambda *by: Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     inside = lambda *by: F.coalesce(F.sum("_n").over(before(*by)), F.lit(0))
     if width <= TOP_BITS:
-        return counts.withColumn("_offset", inside(*keys))
+        return counts.withColumn("_offset", inside(*keys)).withColumn(
+            "_total", F.sum("_n").over(Window.partitionBy(*keys)))
     bits = min(LEVEL_BITS, width - TOP_BITS)
     parents = counts.groupBy(*keys, F.shiftright("_b", bits).alias("_parent")).agg(F.sum("_n").alias("_n"))
     above = _offsets(parents.withColumnRenamed("_parent", "_b"), keys, width - bits).select(
-        *[F.col(k).alias(f"_p{k}") for k in keys], F.col("_b").alias("_p"), F.col("_offset").alias("_above"))
+        *[F.col(k).alias(f"_p{k}") for k in keys], F.col("_b").alias("_p"), F.col("_offset").alias("_above"),
+        "_total")
     placed = counts.withColumn("_parent", F.shiftright("_b", bits)).withColumn("_inside", inside(*keys, "_parent"))
     match = F.col("_parent") == F.col("_p")
     for key in keys:
         match = match & F.col(key).eqNullSafe(F.col(f"_p{key}"))
     return placed.join(above, match).withColumn("_offset", F.col("_above") + F.col("_inside")).select(
-        *keys, "_b", "_n", "_offset")
+        *keys, "_b", "_n", "_offset", "_total")
 
 
 def _number(df: DataFrame, keys: list[str], bucket: Column, width: int, order: list, name: str,
@@ -45,13 +48,9 @@ def _number(df: DataFrame, keys: list[str], bucket: Column, width: int, order: l
     counts = cut.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named)],
                          F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = _offsets(counts, named, width)
+    offsets = offsets.drop("_n", *([] if total else ["_total"]))
     if total:
-        sums = counts.groupBy(*[F.col(n).alias(f"_t{n}") for n in named]).agg(F.sum("_n").alias(total))
-        same = F.lit(True)
-        for n in named:
-            same = same & F.col(n).eqNullSafe(F.col(f"_t{n}"))
-        offsets = offsets.join(F.broadcast(sums) if not keys else sums, same).drop(*[f"_t{n}" for n in named])
-    offsets = offsets.drop("_n")
+        offsets = offsets.withColumnRenamed("_total", total)
     match = F.col("_bucket") == F.col("_b")
     for key in keys:
         match = match & F.col(key).eqNullSafe(F.col(f"_k_{key}"))

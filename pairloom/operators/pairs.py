@@ -7,9 +7,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.text import SEPARATOR, passage_text
-from pairloom.operators.joins import HOT_ROWS, join_unique
+from pairloom.operators.joins import HOT_ROWS, join_chain
 from pairloom.operators.numbering import number_rows
 from pairloom.operators.postprocess import pair_record
+from pairloom.session import materialize
 
 
 class Collection(NamedTuple):
@@ -57,8 +58,7 @@ def _with_texts(data: Collection, qrels: DataFrame, hot_rows: int) -> DataFrame:
     queries = data.queries.select(F.col("_id").alias("query_id"), F.col("text").alias("query"),
                                   F.col("pos").alias("query_pos"))
     corpus = data.corpus.select(F.col("_id").alias("corpus_id"), "title", "text")
-    asked = join_unique(qrels, queries, ["query_id"], "pos", "inner", hot_rows)
-    return join_unique(asked, corpus, ["corpus_id"], "pos", "inner", hot_rows)
+    return join_chain(qrels, [(queries, ["query_id"]), (corpus, ["corpus_id"])], "pos", "inner", hot_rows)
 
 
 def join_sup(data: Collection, dataset: str, strict: bool = True,
@@ -67,7 +67,7 @@ def join_sup(data: Collection, dataset: str, strict: bool = True,
 
     ``strict`` raises on a judgement whose query or document is unknown; else it is dropped.
     """
-    qrels = last_qrel(data.qrels)
+    qrels = materialize(last_qrel(data.qrels), "qrels")
     if strict:
         for name, frame in (("corpus_id", data.corpus), ("query_id", data.queries)):
             known = frame.select(F.col("_id").alias(name))
@@ -96,7 +96,8 @@ def join_pairs(data: Collection, batch_size: int, sep: str = SEPARATOR,
     queries = number_rows(data.queries, "pos", name="_place")
     guid = F.floor(F.col("_place") / F.lit(batch_size)).cast("int")
     numbered = Collection(data.corpus, queries.withColumn("pos", guid), data.qrels)
-    joined = _with_texts(numbered, last_qrel(data.qrels).filter("score >= 1"), hot_rows)
+    relevant = materialize(last_qrel(data.qrels).filter("score >= 1"), "qrels")  # ids and grades only
+    joined = _with_texts(numbered, relevant, hot_rows)
     return joined.select(
         F.col("query_pos").alias("guid"), "pos", "query_id", "corpus_id", "query",
         passage_text(F.col("title"), F.col("text"), sep).alias("doc"), F.lit(1).alias("label"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.functions.text import norm_query, strip
 from pairloom.operators.joins import HOT_ROWS, join_unique
 from pairloom.operators.numbering import number_rows
+from pairloom.session import materialize
 
 # The answers of the few-shot examples, which count as leaked when generated.
 FEW_SHOT_ANSWERS = [
@@ -38,21 +39,24 @@ def corpus_by_text(corpus: DataFrame) -> DataFrame:
 
 def join_link(pairs: DataFrame, corpus: DataFrame, document: str = "original_document",
               hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pairs with the corpus id and title of their document (NULL if it is not in the corpus)."""
-    keyed = pairs.withColumn("_key", text_key(document))
-    return join_unique(keyed, corpus_by_text(corpus), ["_key"], "pos",
-                       hot_rows=hot_rows).drop("_key")
+    """Pairs with the corpus id and title of their document (NULL if it is not in the corpus).
+
+    Positions and digests are written down and joined; texts move once, by the unique ``pos``.
+    """
+    keyed = materialize(pairs.select("pos", text_key(document).alias("_key")), "digests")
+    found = join_unique(keyed, corpus_by_text(corpus), ["_key"], "pos", hot_rows=hot_rows)
+    return pairs.join(found.drop("_key"), "pos")
 
 
 def _judged(pairs: DataFrame, document: str, exclude: list[str] | None) -> DataFrame:
-    """Row-local predicates of the filter chain."""
+    """Position, digest and row-local predicates of the filter chain, written down."""
     leaked = F.lit(False)
     if exclude:
         excluded = sorted({answer.lower().strip() for answer in exclude})
         leaked = F.coalesce(norm_query(F.col("query")).isin(excluded), F.lit(False))
-    return (pairs.withColumn("_key", text_key(document))
-            .withColumn("_empty", F.coalesce(F.length("query") == 0, F.lit(True)))
-            .withColumn("_leaked", leaked))
+    return materialize(pairs.select(
+        "pos", text_key(document).alias("_key"), F.coalesce(F.length("query") == 0, F.lit(True)).alias("_empty"),
+        leaked.alias("_leaked")), "judged")
 
 
 def _documents(judged: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ def post_status(pairs: DataFrame, corpus: DataFrame, document: str = "original_d
         .when(~found, "unlinked")
         .otherwise("valid")
     )
-    return linked.withColumn("status", status).drop("_key", "_empty", "_leaked", "_first")
+    return pairs.join(linked.select("pos", "corpus_id", "corpus_title", status.alias("status")), "pos")
 
 
 def valid_pairs(pairs: DataFrame, corpus: DataFrame, document: str = "original_document",

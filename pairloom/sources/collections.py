@@ -13,13 +13,17 @@ QREL_HEADER = ["query-id", "corpus-id", "score"]
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Relevance file: header, tabs, three columns, integer grade.
+    """Relevance file: header, tabs, at least three columns, integer grade; further columns are read past.
 
-    A repeated (query, document) keeps its last grade.
+    A repeated (query, document) keeps its last grade. A line without a grade, or with one that is no
+    integer, fails the job.
     """
-    raw = (spark.read.schema(schemas.QRELS).option("sep", "\t").option("header", True)
-           .option("enforceSchema", True).option("mode", "FAILFAST").csv(path))
-    return last_qrel(with_file_order(raw, path))
+    named = ", ".join(f"{c} STRING" for c in ("query_id", "corpus_id", "score"))
+    raw = (spark.read.schema(named).option("sep", "\t").option("header", True)
+           .option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path))
+    grade = F.when(F.col("score").isNull(), F.raise_error(F.concat(
+        F.lit("no grade for "), F.coalesce("query_id", F.lit("?"))))).otherwise(F.col("score")).cast("int")
+    return last_qrel(with_file_order(raw).withColumn("score", grade))
 
 
 def write_qrels(qrels: DataFrame, path: str) -> None:

@@ -5,47 +5,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom import schemas
+from pairloom.session import materialize
 
 ROW_BITS = 33  # rows of one task, as in monotonically_increasing_id
-FILES_TO_BROADCAST = 500_000
 
 
-def _bytes(text: str) -> int:
-    """A size setting such as ``128MB`` or ``4194304b`` in bytes."""
-    digits = text.rstrip("bBkKmMgG")
-    unit = text[len(digits):][:1].lower()
-    return int(digits) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
-
-
-def with_file_order(df: DataFrame, path: str, pos: str = "pos") -> DataFrame:
+def with_file_order(df: DataFrame, pos: str = "pos") -> DataFrame:
     """Adds ``pos``: increasing in file path, then place in the file; unique, with gaps.
 
-    The reader packs splits by size, so split numbers do not follow the files. The files are
-    listed (not read), each gets as many numbers as splits may start in it, and rows keep their
-    order within a split. Only the list of files, one row each, is ordered in one task. Call it
-    right on the reader's output.
+    The order key of a row is its file's path, the start of its split and its place there; the reader
+    packs splits by size, so split numbers alone do not follow the files. Sampled ranges of that key
+    are dealt to tasks and sorted, which is one exchange for any number and any size of files; nothing is listed,
+    joined or held in one task. The result is written down, so that ``pos`` is the same for all
+    that read it. Call it right on the reader's output.
     """
-    conf = df.sparkSession.conf
-    # No split is shorter than this, but for the last of a file.
-    grain = min(_bytes(conf.get("spark.sql.files.maxPartitionBytes")),
-                max(1, _bytes(conf.get("spark.sql.files.openCostInBytes"))))
-    listed = df.sparkSession.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
-    before = Window.partitionBy().orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.floor(F.col("_size") / F.lit(grain)) + 1
-    files = listed.select("_path", F.coalesce(F.sum(starts).over(before), F.lit(0)).alias("_base"))
-    if listed.count() <= FILES_TO_BROADCAST:
-        files = F.broadcast(files)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    start = F.floor(F.col("_metadata.file_block_start") / F.lit(grain))
-    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), start.alias("_start"),
-                       place.alias("_row"))
-    value = (F.col("_base") + F.col("_start")) * F.lit(1 << ROW_BITS) + F.col("_row")
-    return placed.join(files, "_path").withColumn(pos, value).drop(
-        "_path", "_base", "_start", "_row")
+    keyed = df.select("*", F.col("_metadata.file_path").alias("_path"),
+                      F.col("_metadata.file_block_start").alias("_start"), place.alias("_row"))
+    order = ["_path", "_start", "_row"]
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.drop(*order).withColumn(pos, F.monotonically_increasing_id()), "ordered")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST",
@@ -56,13 +38,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAS
     ``_corrupt_record`` in the schema to keep its text.
     """
     df = spark.read.schema(schema).option("mode", mode).json(path)
-    return with_file_order(df, path) if ordered else df
+    return with_file_order(df) if ordered else df
 
 
 def read_json(spark: SparkSession, path: str, schema: str, ordered: bool = False) -> DataFrame:
     """One JSON array per file. Such a file cannot be split; prefer JSON lines or Parquet."""
     df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return with_file_order(df, path) if ordered else df
+    return with_file_order(df) if ordered else df
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

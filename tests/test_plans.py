@@ -45,3 +45,9 @@ def test_filters_reach_the_scan(spark):
     text = plan(spark, "flt_judged_q")
     for role in ("user", "assistant"):
         assert re.search(rf"PushedFilters: [^:]*EqualTo\(role,{role}\)", text)
+
+
+def test_chained_joins_share_their_left_side(spark):
+    """Numbering, two joins and their aggregates, without one exchange for hot keys that are not there."""
+    assert plan(spark, "join_pairs").count("Exchange hashpartitioning") < 14
+    assert plan(spark, "join_link").count("Exchange hashpartitioning") < 8

@@ -59,6 +59,25 @@ def test_qrels_last_row_wins(spark, tmp_path):
     assert [(r["query_id"], r["corpus_id"], r["score"]) for r in rows] == [("q", "d", 0), ("q", "e", 2)]
 
 
+def test_qrels_further_columns_and_bad_grades(spark, tmp_path):
+    path = write(tmp_path / "test.tsv", "query-id\tcorpus-id\tscore\tnote\nq\td\t1\tx\nq\te\t2\nq\tf\t3\ty\tz\n")
+    rows = collections.read_qrels(spark, path).orderBy("pos").collect()
+    assert [(r["query_id"], r["corpus_id"], r["score"]) for r in rows] == [("q", "d", 1), ("q", "e", 2), ("q", "f", 3)]
+    for line in ("q\td\n", "q\td\tgood\n"):
+        bad = write(tmp_path / f"bad{len(line)}.tsv", "query-id\tcorpus-id\tscore\n" + line)
+        with pytest.raises(Exception):
+            collections.read_qrels(spark, bad).collect()
+
+
+def test_file_order_of_two_thousand_files(spark, tmp_path):
+    for i in range(2000):
+        write(tmp_path / "q" / f"{i:04d}.jsonl", json.dumps({"_id": str(2 * i)}) + "\n" + json.dumps({"_id": str(2 * i + 1)}) + "\n")
+    rows = files.read_queries(spark, str(tmp_path / "q"))
+    plan = rows._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    assert [int(r["_id"]) for r in sorted(rows.collect(), key=lambda r: r["pos"])] == list(range(4000))
+
+
 def collection(spark, tmp_path, split="test"):
     write(tmp_path / "corpus.jsonl", "".join(
         json.dumps({"_id": f"d{i}", "title": f"t{i}", "text": f"x{i}"}) + "\n" for i in range(5)))
