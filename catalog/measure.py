@@ -11,7 +11,8 @@ from pairloom.functions.vectors import SCORE_EXPRESSIONS
 from pairloom.operators import metrics as met, pairs as prs, report
 from pairloom.operators.encode import encode, hashed_words
 from pairloom.operators.search import SCORE_FNS, topk_search
-from pairloom.session import materialize
+from pairloom.plans import evaluate
+from pairloom.session import materialize, scratch_dir
 
 FNS = sorted(SCORE_FNS)
 KS = [1, 3, 5, 10, 100]
@@ -274,7 +275,6 @@ def rep_scores(spark, d):
     return met.readable(found).select("score_fn", "metric", "k", "text")
 
 
-SHEET_SETS = [f"turn{i}" for i in range(8)]
 RESULT_CUTS = {"ndcg": [10], "recall": [100], "mrr": [10]}
 RESULTS_SQL = v.with_(v.REPLY_RUN_SQL, binary_ctes(RESULT_CUTS), select="""
 SELECT score_fn || '_words' AS model, dataset, metric || '@' || k AS metric,
@@ -288,20 +288,41 @@ def results(spark, d):
                         "k", (F.col("value") * 100).alias("value"))
 
 
-_cells = ", ".join(
-    f"round(max(CASE WHEN dataset = '{s}' THEN value END), 6) AS {s}" for s in SHEET_SETS)
+def sheet_sql(results: str) -> str:
+    """The cells of the sheets in ``results``, blank ones included, and their averages, one row each."""
+    kind = "CASE WHEN contains(model, 'cos_sim') THEN 'cos_sim' ELSE 'dot_score' END AS similarity"
+    return f"""WITH r AS ({results}),
+cells AS (SELECT * FROM (SELECT DISTINCT metric, model FROM r) CROSS JOIN (SELECT DISTINCT dataset FROM r))
+SELECT metric, model, {kind}, dataset AS collection, value FROM cells LEFT JOIN r USING (metric, model, dataset)
+UNION ALL SELECT metric, model, {kind}, 'average', round(avg(value), 6) FROM r GROUP BY metric, model"""
 
 
-@entry("agg_pivot", f"""
-SELECT model, CASE WHEN contains(model, 'cos_sim') THEN 'cos_sim' ELSE 'dot_score' END AS similarity,
-  round(avg(value) FILTER (WHERE dataset IN ({', '.join(repr(s) for s in SHEET_SETS)})), 6) AS average,
-  {_cells}
-FROM ({RESULTS_SQL}) WHERE metric = 'ndcg@10' GROUP BY model""")
+def sheet_cells(sheets):
+    keys = ["metric", "model", "similarity"]
+    cells = [F.col(f"`{c}`") for c in sheets.columns if c not in keys]
+    return sheets.unpivot(keys, cells, "collection", "value").withColumn("value", F.round("value", 6))
+
+
+@entry("agg_pivot", sheet_sql(RESULTS_SQL))
 def agg_pivot(spark, d):
+    """The sheets of three metrics over all collections of the data, cell by cell."""
     rows = results(spark, d).withColumn("metric", F.concat_ws("@", "metric", "k"))
-    sheet = report.score_sheet(rows, "ndcg@10", SHEET_SETS)
-    return sheet.select("model", "similarity",
-                        *[F.round(c, 6).alias(c) for c in ["average", *SHEET_SETS]])
+    rows = materialize(rows, "results")
+    return sheet_cells(report.score_sheets(rows, [f"{m}@{k}" for m, ks in RESULT_CUTS.items() for k in ks]))
+
+
+@entry("flow_report", sheet_sql(f"""
+SELECT 'cos_sim_words' AS model, dataset, metric || '@' || k AS metric, round(value * 100, 6) AS value
+FROM ({graded_sql(["NDCG", "Recall", "MRR"], [10, 100])})
+WHERE score_fn = 'cos_sim' AND metric || '@' || k IN ('NDCG@10', 'Recall@100', 'MRR@10')"""))
+def flow_report(spark, d):
+    """One model is evaluated on all collections, its result files are written, the report reads them."""
+    path = scratch_dir(spark, "results")
+    rows = evaluate.evaluate_model(
+        v.questions(spark, d), v.replies(spark, d), v.reply_qrels(spark, d), "cos_sim_words",
+        hashed_words(v.DIM, normalize=False), "cos_sim", k_values=[10, 100], dim=v.DIM)
+    evaluate.write_evaluation(rows, path)
+    return sheet_cells(evaluate.report(spark, path, every=False))
 
 
 HISTORY = report.history_columns(FNS, ALL_CUTS)

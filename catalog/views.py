@@ -19,6 +19,7 @@ from pairloom.session import materialize
 SEED = 7
 DIM = 64
 TOP = 100
+TURNS = 1 << 24  # room for the turns of one conversation in a position
 
 # First lines that many documents share; they play the part of leaked few-shot answers.
 EXCLUDE = [
@@ -207,7 +208,7 @@ def _turns(spark, d, role: str, shift: int) -> DataFrame:
         F.concat(F.lit("turn"), (F.col("turn") - shift).cast("string")).alias("dataset"),
         F.concat_ws("-", F.lit(role[0]), "conv_id", "turn").alias("_id"),
         F.lit("").alias("title"), "text", "conv_id", "turn",
-        (F.col("conv_id") * 1024 + F.col("turn")).alias("pos"))
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("pos"))
 
 
 def questions(spark, d) -> DataFrame:
@@ -246,12 +247,12 @@ def reply_run(spark, d, k: int = TOP, score_fns=None) -> DataFrame:
                         hashed_words(DIM, normalize=False), k=k, score_fns=score_fns, dim=DIM)
 
 
-TURNS_SQL = """questions AS (
+TURNS_SQL = f"""questions AS (
   SELECT 'turn' || turn AS dataset, 'u-' || conv_id || '-' || turn AS _id, text, conv_id, turn,
-         conv_id * 1024 + turn AS pos FROM conversations WHERE role = 'user'),
+         conv_id * {TURNS} + turn AS pos FROM conversations WHERE role = 'user'),
 replies AS (
   SELECT 'turn' || (turn - 1) AS dataset, 'a-' || conv_id || '-' || turn AS _id, '' AS title, text,
-         conv_id, turn, conv_id * 1024 + turn AS pos FROM conversations WHERE role = 'assistant'),
+         conv_id, turn, conv_id * {TURNS} + turn AS pos FROM conversations WHERE role = 'assistant'),
 qrels AS (
   SELECT q.dataset, q._id AS query_id, r._id AS corpus_id, j.g AS score, q.pos * 4 + j.o + 1 AS pos
   FROM questions q, (VALUES (0, 2), (1, 1), (-1, 0)) j(o, g), replies r

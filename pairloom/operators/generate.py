@@ -117,17 +117,35 @@ def prompt_steps(df: DataFrame, steps: list[Step], factory: GeneratorFactory,
     return out.withColumn("query", F.col(f"out_{len(steps) - 1}"))
 
 
-def run_facts(generated: DataFrame, dataset: str, split: str, model: str, prompt: str) -> DataFrame:
-    """One metadata row per shard. ``time_in_minutes`` is NULL for a shard with an error."""
+class RunSettings(NamedTuple):
+    """What a run records of itself beside what its shards tell."""
+
+    dataset: str
+    split: str
+    model: str
+    prompt: str
+    save_path: str = ""
+    optimization: bool = False  # the model runs with reduced precision
+    do_sample: bool = False
+    p: float = 1.0
+    run: int = 0  # a later run over the same shards has a higher number
+
+
+def run_facts(generated: DataFrame, run: RunSettings, time_start: str | None = None) -> DataFrame:
+    """One metadata row per shard, all fields written. ``time_in_minutes`` is NULL for a shard with an error."""
     facts = generated.groupBy("shard_id").agg(
         F.max("errors").alias("errors"), F.sum("seconds_total").alias("_s"),
         F.min("batch_size").alias("batch_size"))
     minutes = F.when(F.col("errors") == 0, F.col("_s") / 60)
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return facts.select(
-        F.lit(dataset).alias("dataset_name"), "shard_id", F.lit(split).alias("split"),
-        F.lit(model).alias("model_name"), now.alias("time_end"), minutes.alias("time_in_minutes"), "errors",
-        "batch_size", F.lit(prompt).alias("prompt_name"))
+        F.lit(run.dataset).alias("dataset_name"), "shard_id", F.lit(run.save_path).alias("save_path"),
+        F.lit(f"{run.save_path}/{run.split}/metadata").alias("this_file_path"), F.lit(run.split).alias("split"),
+        F.lit(run.model).alias("model_name"), F.coalesce(F.lit(time_start), now).alias("time_start"),
+        now.alias("time_end"), minutes.alias("time_in_minutes"), "errors",
+        F.lit(run.optimization).alias("optimization"), F.lit(run.do_sample).alias("do_sample"),
+        F.lit(float(run.p)).alias("p"), "batch_size", F.lit(run.prompt).alias("prompt_name"),
+        F.lit(run.run).cast("long").alias("run"))
 
 
 class LongestWord:

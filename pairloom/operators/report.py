@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.text import first_word, sim_of_name
@@ -80,22 +82,56 @@ def result_table(metrics: DataFrame, model: str, grouped: dict[str, int] | None
     return single.select(F.lit(model).alias("model"), "dataset", "metric", "k", "value")
 
 
-def score_sheet(results: DataFrame, metric: str, collections: list[str]) -> DataFrame:
-    """Model x collection table of one metric; blanks where a result is missing.
+def with_group_means(results: DataFrame, grouped: dict[str, int] | None = None) -> DataFrame:
+    """``results`` (model, dataset, metric, value) with a row for each group whose parts are all there.
 
-    ``results`` is (model, dataset, metric, value) with metric names such as ``NDCG@10``.
-    ``average`` is the mean of the present cells (an extension: the column used to stay empty).
+    A part is named ``group/part``, or ``group_part`` where the group is listed in ``grouped`` (group to number
+    of parts). Parts and groups come out of one pass; a group that has a row of its own keeps it.
+    """
+    sizes = GROUPED if grouped is None else grouped
+    name = F.lit(None).cast("string")
+    for group in sizes:
+        name = F.when(F.col("dataset").rlike(f"^{re.escape(group)}[/_]."), group).otherwise(name)
+    rows = results.withColumn("_group", name).groupingSets(
+        [[F.col("model"), F.col("metric"), F.col("_group"), F.col("dataset")],
+         [F.col("model"), F.col("metric"), F.col("_group")]], "model", "metric", "_group", "dataset").agg(
+        F.avg("value").alias("value"), F.count("value").alias("_parts"), F.grouping("dataset").alias("_mean"))
+    wanted = F.lit(None).cast("long")
+    for group, parts in sizes.items():
+        wanted = F.when(F.col("_group") == group, parts).otherwise(wanted)
+    kept = rows.filter((F.col("_mean") == 0) | (F.col("_parts") == wanted)).withColumn(
+        "dataset", F.coalesce("dataset", "_group"))
+    return kept.groupBy("model", "dataset", "metric").agg(F.min_by("value", "_mean").alias("value"))
+
+
+def score_sheets(results: DataFrame, metrics: list[str] | None = None, collections: list[str] | None = None) -> DataFrame:
+    """Model x collection tables of all ``metrics`` in one pass, one row per (metric, model).
+
+    ``results`` is (model, dataset, metric, value) with metric names such as ``NDCG@10``. Without
+    ``collections`` the columns are those of the data: the known collections in their order, then the others by name
+    (their names, not their rows, come to the driver). Blanks where a result is missing; ``average`` is the mean of
+    the present cells (an extension: the column used to stay empty).
     """
-    sheet = results.filter(F.col("metric") == metric).groupBy("model").pivot(
-        "dataset", collections).agg(F.first("value"))
+    metrics = metrics or REPORT_METRICS
+    rows = results.filter(F.col("metric").isin(metrics))
+    if collections is None:
+        found = {r[0] for r in rows.select("dataset").distinct().collect()}
+        known = [*COLLECTIONS, *[f"{g}{sep}{s}" for g in GROUPED for s in SUB_FORUMS for sep in "/_"]]
+        collections = [c for c in known if c in found] + sorted(found - set(known))
+    sheet = rows.groupBy("metric", "model").pivot("dataset", collections).agg(F.first("value"))
     cells = [F.col(f"`{c}`") for c in collections]
-    present = F.filter(F.array(*cells), lambda v: v.isNotNull())
+    present = F.filter(F.array(*cells) if cells else F.array().cast("array<double>"), lambda v: v.isNotNull())
     total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
     return sheet.select(
-        "model", sim_of_name(F.col("model")).alias("similarity"),
+        "metric", "model", sim_of_name(F.col("model")).alias("similarity"),
         F.try_divide(total, F.size(present).cast("double")).alias("average"), *cells)
 
 
+def score_sheet(results: DataFrame, metric: str, collections: list[str] | None = None) -> DataFrame:
+    """The table of one metric."""
+    return score_sheets(results, [metric], collections).drop("metric")
+
+
 def similarity_columns(df: DataFrame, similarity: str) -> list[str]:
     """Sorted names of the columns that belong to a similarity."""
     return sorted(c for c in df.columns if similarity in c)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
+from threading import Event, Lock
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairloom import schemas
 from pairloom.functions.crop import crop_pair
 from pairloom.operators import generate as gen, postprocess as post, sampling
 from pairloom.operators.pairs import Collection, join_sup, sup_info
@@ -31,19 +37,21 @@ def crop_splits(corpus: DataFrame, seed: int, ratio: float = 1.0, dev_ratio: flo
     return splits
 
 
-SHARDS_PER_WAVE = 256
+SHARDS_AT_ONCE = 8
 
 
 def generate_missing(spark: SparkSession, corpus: DataFrame, root: str, dataset: str, model: str,
                      steps: list[gen.Step], factory: gen.GeneratorFactory, shard_size: int,
                      prompt: str = "standard", split: str = "train", seed: int = 0,
                      ratio: float = 1.0, questions_per_document: int = 1,
-                     shards_per_wave: int = SHARDS_PER_WAVE, **batching) -> None:
+                     shards_at_once: int = SHARDS_AT_ONCE, optimization: bool = False, do_sample: bool = False,
+                     p: float = 1.0, **batching) -> None:
     """Shard the corpus, generate for the shards without output, write output and run facts.
 
     Run it again after an interruption: finished shards are left alone, shards with an error have
-    no output and are generated again. Shards are worked off in waves, each written when done, so
-    an interruption costs one wave. The driver holds shard numbers only.
+    no output and are generated again. Each shard is committed on its own, its output before the record that
+    tells of it, so an interruption costs the shards that are at work: ``shards_at_once``, as many Spark jobs side by
+    side. The driver holds shard numbers only.
     """
     target = outputs.generated_path(root, dataset, "LLM", model)
     shards = outputs.shards_path(target, split)
@@ -54,33 +62,48 @@ def generate_missing(spark: SparkSession, corpus: DataFrame, root: str, dataset:
     rows = sampled.count() * questions_per_document
     outputs.write_shards(sampling.shard_assign(copies, shard_size, rows=rows), shards)
 
-    done_path = f"{target}/{split}/pairs"
+    done_path, facts_path = f"{target}/{split}/pairs", f"{target}/{split}/metadata"
     todo = outputs.read_shards(spark, shards, "pos BIGINT, _id STRING, text STRING")
     missing = sampling.shard_missing(todo, finished_shards(spark, done_path))
     ids = sorted(row["shard_id"] for row in missing.collect())
-    for start in range(0, len(ids), shards_per_wave):
-        wave = todo.filter(F.col("shard_id").isin(ids[start:start + shards_per_wave]))
-        made = gen.prompt_steps(gen.prepare_documents(wave, "text"), steps, factory, **batching)
+    run = gen.RunSettings(dataset, split, model, prompt, target, optimization, do_sample, p,
+                          outputs.next_run(spark, facts_path))
+
+    def generate(shard: int) -> None:
+        start = datetime.now().isoformat(" ", "microseconds")
+        made = gen.prompt_steps(gen.prepare_documents(todo.filter(F.col("shard_id") == shard), "text"), steps,
+                                factory, **batching)
         made = materialize(made.select(  # the model runs once, all else reads its output
             "pos", "query", "document", "document_processed", "shard_id", "errors",
-            "seconds_total", "batch_size"), "wave")
-        facts = gen.run_facts(made, dataset, split, model, prompt)
-        clean = facts.filter("errors = 0").select("shard_id")
-        finished = made.join(clean, "shard_id", "left_semi")
-        # Facts first: after a break a shard without output is generated again and gets a new record.
-        outputs.append_facts(facts, f"{target}/{split}/metadata")
-        outputs.write_generated(
-            finished.select("pos", "query", "document", "document_processed", "shard_id"),
-            done_path)
+            "seconds_total", "batch_size"), "shard")
+        facts = materialize(gen.run_facts(made, run, start), "facts")
+        if facts.first()["errors"] == 0:
+            outputs.write_generated(made.select("pos", "query", "document", "document_processed", "shard_id"),
+                                    done_path)
+        with one_append:  # two jobs that append to one folder clear away each other's temporary files
+            outputs.append_facts(facts.coalesce(1), facts_path)
+
+    one_append, broken = Lock(), Event()
+
+    def attempt(shard: int) -> None:
+        if broken.is_set():
+            return
+        try:
+            generate(shard)
+        except BaseException:
+            broken.set()
+            raise
+
+    with ThreadPoolExecutor(max(1, shards_at_once)) as pool:
+        list(pool.map(attempt, ids))  # a failure is raised when the shards at work are done; no other is begun
 
 
 def finished_shards(spark: SparkSession, path: str) -> DataFrame:
     """Shard ids with output; none if nothing was written yet."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    try:
+        return outputs.read_shards(spark, path, "pos BIGINT").select("shard_id").distinct()
+    except AnalysisException:
         return spark.createDataFrame([], "shard_id INT")
-    return outputs.read_shards(spark, path, "pos BIGINT").select("shard_id").distinct()
 
 
 def export_split(pairs: DataFrame, corpus: DataFrame, document: str, exclude: list[str] | None,
@@ -139,3 +162,47 @@ def export_supervised(data: Collection, path: str, dataset: str, split: str) ->
     """Pair records of a judged collection and their counts."""
     files.write_json(join_sup(data, dataset).drop("query_id"), f"{path}/dpr/{split}_dpr.json")
     files.write_json(sup_info(data.qrels), f"{path}/dpr/{split}_dpr_info.json")
+
+
+GENERATED = "pos BIGINT, query STRING, document STRING, document_processed STRING"
+
+
+def export_finished(spark: SparkSession, corpus: DataFrame, root: str, dataset: str, model: str, splits: list[str],
+                    path: str, exclude: list[str] | None = None) -> DataFrame:
+    """Clean and export what ``generate_missing`` wrote for ``splits``, all or nothing.
+
+    Refuses (:class:`IncompleteShards`) while a shard of any of the splits has no output. Every split is
+    written to a folder of its own that nobody reads yet; when all are complete, one appended record
+    switches to them. A break before it leaves the exports of earlier calls valid. Query numbers go on behind those
+    of the other splits' valid exports. Returns the valid exports (:func:`outputs.read_exports`).
+    """
+    target = outputs.generated_path(root, dataset, "LLM", model)
+    for split in splits:
+        shards = outputs.read_shards(spark, outputs.shards_path(target, split), "pos BIGINT")
+        sampling.require_complete(shards, finished_shards(spark, f"{target}/{split}/pairs"))
+    held = outputs.read_exports(spark, path).collect()  # one row per split
+    offset = max((r["first_query"] + r["queries"] for r in held if r["split"] not in splits), default=0)
+    run = max((r["run"] for r in held), default=-1) + 1
+    rows = []
+    for split in splits:
+        folder = f"{path}/{split}-{uuid.uuid4().hex}"
+        pairs = outputs.read_shards(spark, f"{target}/{split}/pairs", GENERATED)
+        n = export_split(pairs, corpus, "document", post.FEW_SHOT_ANSWERS if exclude is None else exclude,
+                         folder, split, offset)
+        rows.append((run, split, folder, offset, n))
+        offset += n
+    files.write_json(corpus.drop("pos"), f"{path}/corpus-{run}.jsonl")
+    outputs.commit_exports(spark, path, rows)
+    return outputs.read_exports(spark, path)
+
+
+def exported_queries(spark: SparkSession, path: str) -> DataFrame:
+    """The queries of all valid exports."""
+    folders = [r["folder"] for r in outputs.read_exports(spark, path).collect()]  # one row per split
+    parts = [files.read_queries(spark, f"{f}/queries.jsonl", ordered=False).select("_id", "text") for f in folders]
+    if not parts:
+        return spark.createDataFrame([], schemas.QUERIES)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

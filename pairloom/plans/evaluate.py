@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions.text import DUAL_SEPARATOR, SEPARATOR, passage_for_encoder
 from pairloom.operators import metrics as met
 from pairloom.operators.encode import EncoderFactory, encode
-from pairloom.operators.report import result_table
+from pairloom.operators.report import COLLECTIONS, GROUPED, SUB_FORUMS, result_table, score_sheets, with_group_means
 from pairloom.operators.search import SCORE_FNS, ScoreFn, topk_search
 from pairloom.session import materialize
+from pairloom.sources import outputs
 
 
 def search_texts(queries: DataFrame, corpus: DataFrame, query_encoder: EncoderFactory,
@@ -51,3 +52,19 @@ def evaluate_model(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, mode
                        dim=dim)
     graded = met.evaluate_graded(materialize(run, "run"), qrels, ks)
     return result_table(materialize(graded, "metrics"), model)
+
+
+def write_evaluation(rows: DataFrame, path: str) -> None:
+    """Result files of ``evaluate_model``'s rows, one per model and collection; others stay as they are."""
+    outputs.write_results(rows, path)
+
+
+def report(spark: SparkSession, path: str, metrics: list[str] | None = None, every: bool = True) -> DataFrame:
+    """The report over all result files: one row per metric and model, one column per collection.
+
+    ``every`` gives the columns of all known collections and sub-forums, present or not; else those of the
+    files. A group without a file of its own gets the mean of its parts where all are there.
+    """
+    rows = with_group_means(outputs.read_results(spark, path))
+    names = [*COLLECTIONS, *[f"{group}_{part}" for group in GROUPED for part in SUB_FORUMS]] if every else None
+    return score_sheets(rows, metrics, names)

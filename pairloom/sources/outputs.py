@@ -53,8 +53,8 @@ def write_shards(df: DataFrame, path: str) -> None:
 
 
 def write_generated(df: DataFrame, path: str) -> None:
-    """Finished shards; writing a shard again replaces that shard only."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Finished shards, rebalanced to about one file each; writing a shard again replaces that shard only."""
+    (df.hint("rebalance", "shard_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("shard_id").parquet(path))
 
 
@@ -70,13 +70,44 @@ def append_facts(df: DataFrame, path: str) -> None:
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """The last record of every shard; a shard that is generated again replaces its record."""
+    """The last record of every shard; a shard that is generated again replaces its record.
+
+    The last is the one of the highest ``run``, then the latest end.
+    """
     raw = spark.read.schema(schemas.RUN_FACTS).json(path)
-    rest = [c for c in raw.columns if c not in FACT_KEYS and c != "time_end"]
-    last = raw.groupBy(*FACT_KEYS).agg(F.max(F.struct("time_end", *rest)).alias("_last"))
+    order = ["run", "time_end"]
+    rest = [c for c in raw.columns if c not in FACT_KEYS and c not in order]
+    last = raw.groupBy(*FACT_KEYS).agg(F.max(F.struct(*order, *rest)).alias("_last"))
     return last.select(*FACT_KEYS, "_last.*").select(*raw.columns)
 
 
+def next_run(spark: SparkSession, path: str) -> int:
+    """The number of the next run over these facts."""
+    try:
+        last = spark.read.schema("run BIGINT").json(path).agg(F.max("run")).first()[0]
+    except AnalysisException:  # no facts yet
+        return 0
+    return 0 if last is None else last + 1
+
+
+EXPORTS = "run BIGINT, split STRING, folder STRING, first_query BIGINT, queries BIGINT"
+
+
+def read_exports(spark: SparkSession, path: str) -> DataFrame:
+    """The valid export of every split: folder, first query number, number of queries."""
+    try:
+        raw = spark.read.schema(EXPORTS).json(f"{path}/exports")
+    except AnalysisException:  # nothing was exported yet
+        return spark.createDataFrame([], EXPORTS)
+    rest = [c for c in raw.columns if c != "split"]
+    return raw.groupBy("split").agg(F.max(F.struct(*rest)).alias("_last")).select("split", "_last.*")
+
+
+def commit_exports(spark: SparkSession, path: str, rows: list[tuple]) -> None:
+    """Switch to new exports of some splits at once: one appended file, which is there or is not."""
+    spark.createDataFrame(rows, EXPORTS).coalesce(1).write.mode("append").json(f"{path}/exports")
+
+
 def append_history(wide: DataFrame, path: str) -> None:
     """Append evaluation rows; every part file carries the header, which the reader skips."""
     wide.write.mode("append").option("header", True).csv(path)
@@ -97,8 +128,9 @@ def result_rows(metrics: DataFrame) -> DataFrame:
 
 
 def write_results(metrics: DataFrame, path: str) -> None:
-    layout_columns(result_rows(metrics)).write.mode("overwrite").partitionBy(
-        "model", "dataset").text(path)
+    """One file per (model, dataset); files of other models and collections stay."""
+    layout_columns(result_rows(metrics)).hint("rebalance", "model", "dataset").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("model", "dataset").text(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

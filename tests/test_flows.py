@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pairloom.operators import generate as gen
 from pairloom.operators.encode import hashed_words
 from pairloom.operators.pairs import Collection
-from pairloom.operators.report import score_sheet
+from pairloom.operators.report import COLLECTIONS, SUB_FORUMS, history_columns, score_sheet
+from pairloom.operators.sampling import IncompleteShards
 from pairloom.plans import build, evaluate, train
 from pairloom.sources import files, outputs
 from pairloom.sources.prompts import builtin_prompts
@@ -47,7 +48,7 @@ def test_generate_and_resume(spark, tmp_path):
     root, steps = str(tmp_path / "out"), builtin_prompts()["standard"]
     run = lambda model: build.generate_missing(
         spark, documents(spark, 40), root, "set", "org/m", steps, model, shard_size=10, batch_size=1,
-        shards_per_wave=3)
+        shards_at_once=3)
     run(FailsOnSeven)
     done = f"{root}/set/LLM_org_m/train/pairs"
     schema = "pos BIGINT, query STRING, document STRING, document_processed STRING"
@@ -65,6 +66,78 @@ def test_generate_and_resume(spark, tmp_path):
     assert [r["errors"] for r in facts.collect()] == [0, 0, 0, 0]  # the failed shard's record is replaced
 
 
+FACTS = {"dataset_name": "set", "split": "train", "model_name": "org/m", "optimization": True, "do_sample": True,
+         "p": 0.9, "prompt_name": "standard", "errors": 0, "batch_size": 7, "run": 0}
+
+
+def test_all_run_facts_are_written(spark, tmp_path):
+    root = str(tmp_path / "out")
+    build.generate_missing(spark, documents(spark, 20), root, "set", "org/m", builtin_prompts()["standard"],
+                           gen.LongestWord, shard_size=10, optimization=True, do_sample=True, p=0.9, batch_size=7)
+    rows = outputs.read_facts(spark, f"{root}/set/LLM_org_m/train/metadata").collect()
+    assert sorted(r["shard_id"] for r in rows) == [0, 1]
+    for r in rows:
+        assert None not in r and {k: r[k] for k in FACTS} == FACTS
+        assert r["save_path"] == f"{root}/set/LLM_org_m" and r["this_file_path"] == r["save_path"] + "/train/metadata"
+        assert r["time_start"] <= r["time_end"]
+    shards = [p for p in (tmp_path / "out" / "set" / "LLM_org_m" / "train" / "pairs").glob("shard_id=*")]
+    assert len(shards) == 2 and all(len(list(p.glob("*.parquet"))) == 1 for p in shards)
+
+
+def test_a_break_costs_the_shards_at_work(spark, tmp_path, monkeypatch):
+    """Output of a shard stands before its record; a break in between has it generated again."""
+    root, steps = str(tmp_path / "out"), builtin_prompts()["standard"]
+    run = lambda: build.generate_missing(spark, documents(spark, 40), root, "set", "org/m", steps, gen.LongestWord,
+                                         shard_size=10, shards_at_once=1)
+    append, seen = outputs.append_facts, []
+
+    def breaks(df, path):
+        seen.append(1)
+        if len(seen) == 3:
+            raise KeyboardInterrupt
+        append(df, path)
+
+    monkeypatch.setattr(outputs, "append_facts", breaks)
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    done = f"{root}/set/LLM_org_m/train/pairs"
+    assert build.finished_shards(spark, done).count() == 3
+    monkeypatch.setattr(outputs, "append_facts", append)
+    run()
+    assert spark.read.parquet(done).count() == 40
+
+
+def test_export_of_finished_shards(spark, tmp_path, monkeypatch):
+    root, path = str(tmp_path / "out"), str(tmp_path / "export")
+    corpus = documents(spark, 30).withColumn("title", F.lit("t"))
+    make = lambda model, split: build.generate_missing(
+        spark, corpus, root, "set", "org/m", builtin_prompts()["standard"], model, shard_size=10, batch_size=1, split=split)
+    export = lambda *splits: build.export_finished(spark, corpus, root, "set", "org/m", list(splits), path)
+    make(FailsOnSeven, "train")
+    with pytest.raises(IncompleteShards):
+        export("train")
+    assert outputs.read_exports(spark, path).count() == 0
+    make(gen.LongestWord, "train")
+    export("train")
+    numbers = lambda: sorted(int(r["_id"]) for r in build.exported_queries(spark, path).collect())
+    assert numbers() == list(range(30))
+    make(gen.LongestWord, "dev")
+
+    def breaks(*_):
+        raise OSError("half way")
+
+    commit = outputs.commit_exports
+    monkeypatch.setattr(outputs, "commit_exports", breaks)
+    with pytest.raises(OSError):
+        export("dev")
+    assert numbers() == list(range(30))  # what the broken call wrote is not read
+    monkeypatch.setattr(outputs, "commit_exports", commit)
+    rows = {r["split"]: r["first_query"] for r in export("dev").collect()}
+    assert rows == {"train": 0, "dev": 30} and numbers() == list(range(60))
+    export("train")  # again: behind the other split
+    assert numbers() == list(range(30, 90))
+
+
 def test_two_step_prompt(spark):
     made = gen.prompt_steps(gen.prepare_documents(documents(spark, 3)), builtin_prompts()["title"], gen.LongestWord)
     assert all(r["out_0"] == r["document"].split()[-1] for r in made.collect())
@@ -81,6 +154,25 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert spark.read.parquet(out).select("_id").distinct().count() == 10
 
 
+def test_streamed_pairs_are_numbered_and_a_replay_changes_nothing(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+    stream = lambda: corpus_stream(spark, source, "_id STRING, text STRING")
+    corpus = documents(spark, 12).withColumn("title", F.lit("t"))
+    for part in range(3):
+        documents(spark, 4, 4 * part).select("_id", "text").write.mode("append").json(source)
+        crop_stream(stream(), out, checkpoint, 1)
+    rows = sorted(map(str, spark.read.parquet(out).collect()))
+    assert sorted(r["pos"] for r in spark.read.parquet(out).collect()) == list(range(12))
+    for name in ("2", ".2.crc"):  # as if the last batch broke off before its commit
+        (tmp_path / "check" / "commits" / name).rename(tmp_path / f"kept{name}")
+    crop_stream(stream(), out, checkpoint, 1)
+    assert sorted(map(str, spark.read.parquet(out).collect())) == rows
+    pairs = spark.read.parquet(out).drop("batch_id")
+    build.export_generated({"train": pairs}, corpus, str(tmp_path / "x"), "set", "cropping", nested=False)
+    info = json.loads(next((tmp_path / "x" / "beir" / "qrels" / "train_info.json").glob("part-*.json")).read_text())
+    assert info["without_post"] == 12 and info["lost_not_found"] == 0
+
+
 def test_crop_splits_and_export(spark, tmp_path):
     corpus = documents(spark, 60).withColumn("title", F.lit("t"))
     corpus = corpus.withColumn("text", F.concat_ws(" ", "text", "text", "text", "text", "text"))
@@ -128,6 +220,46 @@ def test_training_batches_and_development_set(spark, talk):
         train.development_set(talk._replace(queries=talk.queries.limit(0)))
 
 
+def test_development_evaluation(spark, tmp_path, talk):
+    dev = train.development_set(talk, max_corpus_size=6)
+    path = str(tmp_path / "history")
+    cuts = {"accuracy": [1], "precision": [1], "recall": [1], "mrr": [10], "ndcg": [3, 10], "map": [10]}
+    own = lambda epoch, fn: train.evaluate_development(dev, hashed_words(512), path, epoch, 5, cuts=cuts, dim=512,
+                                                       main_score_fn=fn)
+    assert 0 < own(0, "cos_sim") <= own(1, None) <= 1
+    rows = outputs.read_history(spark, path, history_columns(["cos_sim", "dot_score"], cuts)).orderBy("epoch").collect()
+    assert [(r["epoch"], r["steps"]) for r in rows] == [(0, 5), (1, 5)] and None not in rows[1]
+
+
+def test_triplet_flow(spark):
+    rows = documents(spark, 50).select("pos", F.col("_id").alias("q"), "text", F.lit("same").alias("n"))
+    got = train.triplet_batches(rows, 8, "q", "text", "n").collect()
+    assert len(got) == 50 == len({r["batch_id"] for r in got})  # one negative for all: a batch each
+
+
+def test_report_over_result_files(spark, tmp_path):
+    """Fifteen collections and twelve sub-forums, one of them missing for the second model."""
+    path = str(tmp_path / "results")
+    rows = [(m, d, metric, k, 10.0 * i) for m in ("a_cos_sim", "b") for i, d in enumerate(
+        [c for c in COLLECTIONS if c != "cqadupstack"] + [f"cqadupstack/{s}" for s in SUB_FORUMS])
+        for metric, k in (("NDCG", 10), ("Recall", 100), ("MRR", 10), ("MAP", 5)) if (m, d) != ("b", "cqadupstack/tex")]
+    frame = spark.createDataFrame(rows, "model STRING, dataset STRING, metric STRING, k INT, value DOUBLE")
+    for model in ("a_cos_sim", "b"):  # the second call leaves the first model's files alone
+        evaluate.write_evaluation(frame.filter(F.col("model") == model), path)
+    sheets = {(r["metric"], r["model"]): r.asDict() for r in evaluate.report(spark, path).collect()}
+    assert len(sheets) == 6
+    a, b = sheets["NDCG@10", "a_cos_sim"], sheets["MRR@10", "b"]
+    assert list(a) == ["metric", "model", "similarity", "average", *COLLECTIONS, *[f"cqadupstack_{s}" for s in SUB_FORUMS]]
+    assert a["cqadupstack"] == sum(10.0 * (14 + i) for i in range(12)) / 12 and a["similarity"] == "cos_sim"
+    assert b["cqadupstack"] is None and b["cqadupstack_tex"] is None and b["fiqa"] == 50.0
+
+
+def test_sheet_columns_come_from_the_data(spark):
+    rows = spark.createDataFrame([("m", f"turn{i}", "x", float(i)) for i in (0, 3, 40)], "model STRING, dataset STRING, metric STRING, value DOUBLE")
+    (row,) = score_sheet(rows, "x").collect()
+    assert row.asDict() == {"model": "m", "similarity": "", "average": 43 / 3, "turn0": 0.0, "turn3": 3.0, "turn40": 40.0}
+
+
 def test_evaluate_model_to_sheet(spark, talk):
     names = [f"cqadupstack/{i}" for i in range(12)] + ["nq"]
     each = lambda df: df.withColumn("dataset", F.explode(F.array(*[F.lit(n) for n in names])))
