@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,37 +10,80 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.draws import digest
 from pairloom.functions.text import norm_query
-from pairloom.operators.numbering import HASH_DIGITS, number_by_hash, number_rows
+from pairloom.operators.numbering import number_by_hash, number_rows
 from pairloom.session import materialize
 
 
+CUT_BITS = 13  # places of a hash that one pass over the keys looks at
+CUT_ROWS = 10_000  # hashes that are ordered on the driver
+HASH_BITS = 60
+
+
+def _keys(df: DataFrame, seed: int, salt: str, pos: str, *more: str) -> DataFrame:
+    """Positions with their digest and its first ``HASH_BITS`` bits as a number."""
+    key = digest(seed, salt, F.col(pos))
+    return df.select(F.col(pos).alias("_pos"), key.alias("_hash"),
+                     F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long").alias("_h"), *more)
+
+
+def _cut(keys: DataFrame, wanted) -> tuple[str, int] | None:
+    """(digest, position) of the last key to keep, in order of digest and position; None: keep all.
+
+    ``wanted`` maps the number of keys to the number to keep. ``keys`` is a written narrow table. Each pass counts
+    the next bits of the hashes that share the cut's leading bits (at most 2^CUT_BITS counts), until few keys are left to order.
+    """
+    shift, part, before, n = HASH_BITS, keys, 0, None
+    while True:
+        shift = max(0, shift - CUT_BITS)
+        counts = sorted(part.groupBy(F.shiftright("_h", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if n is None:
+            total = sum(r["n"] for r in counts)
+            n = wanted(total)
+            if n >= total:
+                return None
+            if n <= 0:
+                return ("", 0)
+        for row in counts:
+            if before + row["n"] >= n:
+                break
+            before += row["n"]
+        low = row["b"] << shift
+        part = keys.filter((F.col("_h") >= low) & (F.col("_h") < low + (1 << shift)))
+        if row["n"] <= CUT_ROWS or shift == 0:
+            last = part.orderBy("_hash", "_pos").offset(int(n - before) - 1).limit(1).first()
+            return (last["_hash"], last["_pos"])
+
+
 def sample_exact(df: DataFrame, ratio: float | None = None, n: int | None = None, seed: int = 0,
                  salt: str = "sample", pos: str = "pos") -> DataFrame:
     """Exactly ``floor(rows * ratio)`` (or ``n``) rows without replacement.
 
-    The rows with the smallest digests of ``pos`` are kept. Two narrow passes over ``pos`` find
-    the digest of the last kept row; the data itself is only filtered, never shuffled.
+    The rows with the smallest digests of ``pos`` are kept. The input is read twice: its positions once, to
+    write their digests down and find the last one to keep, and then the rows, which are only filtered, never shuffled.
     """
     if (ratio is None) == (n is None):
         raise ValueError("give exactly one of ratio and n")
-    keyed = df.select(F.col(pos).alias("_pos"), digest(seed, salt, F.col(pos)).alias("_hash"))
-    bucket = F.substring("_hash", 1, HASH_DIGITS).alias("_bucket")
-    counts = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_rows"))
-    order = Window.partitionBy().orderBy("_bucket")  # at most 16^HASH_DIGITS rows
-    upto = counts.withColumn("_upto", F.sum("_rows").over(order)).withColumn(
-        "_all", F.sum("_rows").over(Window.partitionBy()))
-    wanted = F.lit(n).cast("long") if ratio is None else F.floor(F.col("_all") * F.lit(ratio))
-    edge = (upto.withColumn("_wanted", wanted)
-            .filter((F.col("_upto") >= F.col("_wanted"))).orderBy("_bucket").limit(1).first())
-    if edge is None:
+    keys = materialize(_keys(df, seed, salt, pos), "sample")
+    last = _cut(keys, (lambda rows: n) if ratio is None else (lambda rows: math.floor(rows * ratio)))
+    if last is None:
         return df  # fewer rows than wanted
-    inside = edge["_wanted"] - (edge["_upto"] - edge["_rows"])
-    if inside <= 0:
-        return df.limit(0)
-    last = (keyed.filter(bucket == edge["_bucket"]).orderBy("_hash", "_pos")
-            .offset(int(inside) - 1).limit(1).first())
     key = digest(seed, salt, F.col(pos))
-    return df.filter((key < last["_hash"]) | ((key == last["_hash"]) & (F.col(pos) <= last["_pos"])))
+    return df.filter((key < last[0]) | ((key == last[0]) & (F.col(pos) <= last[1])))
+
+
+def copies_in_place(df: DataFrame, copies: int, pos: str = "pos") -> DataFrame:
+    """The rows ``copies`` times, one full pass after the other, without a shuffle.
+
+    ``pos = copy * span + pos``, where span is the width of the input's positions: unique, in order, with the
+    input's gaps. Use :func:`replicate_k` where the numbers must be dense.
+    """
+    edge = df.agg(F.min(pos).alias("low"), F.max(pos).alias("high")).first()
+    low, high = (edge["low"] or 0), (edge["high"] or 0)
+    span = high - low + 1
+    if copies * span >= 1 << 63:
+        raise ValueError(f"positions from {low} to {high} leave no room for {copies} copies")
+    copied = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return copied.withColumn(pos, F.col("copy") * F.lit(span) + (F.col(pos) - F.lit(low)))
 
 
 def replicate_k(df: DataFrame, copies: int, seed: int | None = None, pos: str = "pos") -> DataFrame:
@@ -111,15 +155,21 @@ def require_complete(shards: DataFrame, done: DataFrame) -> None:
 
 def corpus_cap(corpus: DataFrame, qrels: DataFrame, max_corpus_size: int, seed: int = 0,
                pos: str = "pos") -> DataFrame:
-    """Keep every relevant document of the corpus and fill up to the cap with a random remainder."""
+    """Keep every relevant document of the corpus and fill up to the cap with a random remainder.
+
+    Ids and positions are read once and written down with a mark for relevant ones; the rows are read once
+    more and meet the positions to keep.
+    """
     relevant = qrels.filter("score >= 1").select(F.col("corpus_id").alias("_id")).distinct()
-    needed = corpus.select("_id").join(relevant, "_id", "left_semi").count()
+    marked = corpus.select("_id", pos).join(relevant.withColumn("_needed", F.lit(True)), "_id", "left")
+    keys = materialize(_keys(marked, seed, "cap", pos, "_needed"), "cap")
+    needed = keys.filter("_needed").count()
     if needed > max_corpus_size:
         raise ValueError(f"the cap {max_corpus_size} is below the {needed} relevant documents")
-    kept = corpus.join(relevant, "_id", "left_semi")
-    rest = corpus.join(relevant, "_id", "left_anti")
-    return kept.unionByName(sample_exact(rest, n=max_corpus_size - needed, seed=seed,
-                                         salt="cap", pos=pos))
+    last = _cut(keys.filter("_needed IS NULL"), lambda rows: max_corpus_size - needed)
+    kept = keys if last is None else keys.filter(
+        F.col("_needed") | (F.col("_hash") < last[0]) | ((F.col("_hash") == last[0]) & (F.col("_pos") <= last[1])))
+    return corpus.join(kept.select(F.col("_pos").alias(pos)), pos, "left_semi")
 
 
 def shuffle_batches(df: DataFrame, batch_size: int, seed: int, pos: str = "pos") -> DataFrame:

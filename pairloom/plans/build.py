@@ -21,10 +21,10 @@ from pairloom.sources.collections import write_qrels
 
 def cropped_pairs(corpus: DataFrame, seed: int, ratio: float = 1.0,
                   questions_per_document: int = 1, salt: str = "sample") -> DataFrame:
-    """Exact sample, copies, two crops per copy. One shuffle, for the numbering of the copies."""
+    """Exact sample, copies, two crops per copy, all without a shuffle of texts."""
     sampled = corpus if ratio == 1.0 else sampling.sample_exact(
         corpus, ratio=ratio, seed=seed, salt=salt)
-    copies = sampling.replicate_k(sampled, questions_per_document, seed=seed)
+    copies = sampling.copies_in_place(sampled, questions_per_document)
     return crop_pair(copies.select("pos", "_id", "text"), seed)
 
 

@@ -5,6 +5,10 @@ import re
 import pytest
 
 from __spark_entry__ import queries
+from catalog import views as v
+from pairloom.operators import sampling
+from pairloom.plans import build
+from pairloom.session import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +55,19 @@ def test_chained_joins_share_their_left_side(spark):
     """Numbering, two joins and their aggregates, without one exchange for hot keys that are not there."""
     assert plan(spark, "join_pairs").count("Exchange hashpartitioning") < 14
     assert plan(spark, "join_link").count("Exchange hashpartitioning") < 8
+
+
+def test_crop_flow_does_not_shuffle_texts(spark):
+    corpus = v.corpus(spark, SF)
+    text = build.crop_splits(corpus, 1, 0.5, 0.2, 3)["train"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text
+
+
+def test_sample_and_cap_read_their_input_twice(spark, monkeypatch):
+    """Once for the keys, which are written down, and once for the rows."""
+    written = []
+    monkeypatch.setattr(sampling, "materialize", lambda df, name: written.append(df) or materialize(df, name))
+    corpus, qrels = v.corpus(spark, SF), v.vector_qrels(spark, SF)
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("documents.parquet")
+    for out in (sampling.sample_exact(corpus, ratio=0.3), sampling.corpus_cap(corpus, qrels, 185)):
+        assert len(written) == 1 and scans(written.pop()) == 1 and scans(out) == 1
