@@ -296,6 +296,10 @@ def _valid(spark, d):
     return post.valid_pairs(v.generated(spark, d), v.good_corpus(spark, d), "document", v.EXCLUDE)
 
 
+def _numbered(spark, d, offset=0):
+    return post.numbered_pairs(v.generated(spark, d), v.good_corpus(spark, d), "document", v.EXCLUDE, offset)
+
+
 @entry("post_status", v.with_(*v.POST_SQL, select=f"SELECT {', '.join(STATUS_COLUMNS)} FROM status"))
 def post_status(spark, d):
     return _status(spark, d).select(*STATUS_COLUMNS)
@@ -344,9 +348,8 @@ IDS_SQL = """numbered AS (
 @entry("win_query_id", v.with_(*v.POST_SQL, IDS_SQL, select=f"""
 SELECT query_id, corpus_id, {v.strip_sql('query')} AS text FROM numbered"""))
 def win_query_id(spark, d):
-    numbered = post.query_ids(_valid(spark, d))
-    queries = post.export_queries(numbered).withColumnRenamed("_id", "query_id")
-    return post.export_qrels(numbered).drop("score").join(queries, "query_id")
+    numbered = _numbered(spark, d)
+    return numbered.select("query_id", "corpus_id", txt.strip(F.col("query")).alias("text"))
 
 
 @entry("append_queries", v.with_(*v.POST_SQL, """benchmark_queries AS (
@@ -358,7 +361,7 @@ def append_queries(spark, d):
     """New queries continue the numbers of the existing ones (here the benchmark items)."""
     items = v.table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), "text")
     old = post.query_ids(items).select(F.col("query_id").alias("_id"), "text")
-    new = post.export_queries(post.query_ids(_valid(spark, d), offset=items.count()))
+    new = post.export_queries(_numbered(spark, d, offset=items.count()))
     return old.unionByName(new)
 
 

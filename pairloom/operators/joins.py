@@ -13,17 +13,19 @@ NULL_SALTS = 4096
 def hot_keys(left: DataFrame, keys: list[list[str]], hot_rows: int) -> list[DataFrame | None]:
     """For each list of key columns its keys with more than ``hot_rows`` rows and their ``_salts``.
 
-    All lists are counted in one pass over ``left`` and written down together; at most rows / hot_rows
-    keys can be hot in each. None stands for a list without a hot key.
+    All lists are counted in one pass over ``left``; at most rows / hot_rows keys can be hot in each. Hot keys
+    are written down together. None stands for a list without a hot key.
     """
     sets = [list(k) for k in dict.fromkeys(map(tuple, keys))]
     columns = list(dict.fromkeys(c for k in sets for c in k))
     of = lambda k: F.array(*[F.lit(int(c not in k)) for c in columns])
     counts = left.groupingSets([[F.col(c) for c in k] for k in sets], *columns).agg(
         F.count(F.lit(1)).alias("_n"), F.array(*[F.grouping(c).cast("int") for c in columns]).alias("_of"))
-    hot = materialize(counts.filter(F.col("_n") > hot_rows).withColumn(
-        "_salts", F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")), "hot")
+    hot = counts.filter(F.col("_n") > hot_rows).withColumn(
+        "_salts", F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int"))
     found = {tuple(r[0]) for r in hot.select("_of").distinct().collect()}  # at most one row per list
+    if found:
+        hot = materialize(hot, "hot")
     return [hot.filter(F.col("_of") == of(k)).select(*k, "_salts")
             if tuple(int(c not in k) for c in columns) in found else None for k in keys]
 

@@ -85,22 +85,31 @@ def post_status(pairs: DataFrame, corpus: DataFrame, document: str = "original_d
     return pairs.join(linked.select("pos", "corpus_id", "corpus_title", status.alias("status")), "pos")
 
 
+def _valid_keys(pairs: DataFrame, corpus: DataFrame, document: str, exclude: list[str] | None) -> DataFrame:
+    """Position and link of the valid pairs, written down."""
+    kept = _documents(_judged(pairs, document, exclude), corpus).filter(
+        F.col("_first").isNotNull() & F.col("corpus_id").isNotNull())
+    return materialize(kept.select(F.col("_first").alias("pos"), "corpus_id", "corpus_title"), "valid")
+
+
 def valid_pairs(pairs: DataFrame, corpus: DataFrame, document: str = "original_document",
                 exclude: list[str] | None = None) -> DataFrame:
     """Only the valid pairs. They join back on the unique ``pos``, so no hot text is shuffled."""
-    judged = _judged(pairs, document, exclude)
-    kept = _documents(judged, corpus).filter(
-        F.col("_first").isNotNull() & F.col("corpus_id").isNotNull()
-    ).select(F.col("_first").alias("pos"), "corpus_id", "corpus_title")
-    return pairs.join(kept, "pos")
+    return pairs.join(_valid_keys(pairs, corpus, document, exclude), "pos")
 
 
 def query_ids(valid: DataFrame, offset: int = 0) -> DataFrame:
-    """Valid pairs numbered in ``pos`` order from ``offset`` (the queries exported before)."""
+    """Rows numbered in ``pos`` order from ``offset`` (the queries exported before)."""
     numbered = number_rows(valid, "pos", name="_n")
     return numbered.withColumn("query_id", (F.col("_n") + offset).cast("string")).drop("_n")
 
 
+def numbered_pairs(pairs: DataFrame, corpus: DataFrame, document: str = "original_document",
+                   exclude: list[str] | None = None, offset: int = 0) -> DataFrame:
+    """The valid pairs with their query ids: positions and links are numbered, texts join once."""
+    return pairs.join(query_ids(_valid_keys(pairs, corpus, document, exclude), offset), "pos")
+
+
 def export_queries(numbered: DataFrame) -> DataFrame:
     return numbered.select(F.col("query_id").alias("_id"), strip(F.col("query")).alias("text"))
 

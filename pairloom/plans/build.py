@@ -112,8 +112,7 @@ def export_split(pairs: DataFrame, corpus: DataFrame, document: str, exclude: li
 
     ``pairs`` is a written table, it is read several times. Returns the number of queries.
     """
-    valid = materialize(post.valid_pairs(pairs, corpus, document, exclude), "valid")
-    numbered = materialize(post.query_ids(valid, query_offset), "numbered")
+    numbered = materialize(post.numbered_pairs(pairs, corpus, document, exclude, query_offset), "numbered")
     files.write_json(post.export_queries(numbered), f"{path}/queries.jsonl/split={split}")
     write_qrels(post.export_qrels(numbered), f"{path}/qrels/{split}.tsv")
     status = post.post_status(pairs, corpus, document, exclude)
