@@ -69,5 +69,6 @@ def test_sample_and_cap_read_their_input_twice(spark, monkeypatch):
     monkeypatch.setattr(sampling, "materialize", lambda df, name: written.append(df) or materialize(df, name))
     corpus, qrels = v.corpus(spark, SF), v.vector_qrels(spark, SF)
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [doc_id")
-    for out in (sampling.sample_exact(corpus, ratio=0.3), sampling.corpus_cap(corpus, qrels, 185)):
+    for run in (lambda: sampling.sample_exact(corpus, ratio=0.3), lambda: sampling.corpus_cap(corpus, qrels, 185)):
+        out = run()
         assert len(written) == 1 and scans(written.pop()) == 1 and scans(out) == 1
