@@ -5,6 +5,9 @@ Helpers for functions that Spark runs on batches; they hold one slice of a batch
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -57,6 +60,27 @@ def bound_batches(spark, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def hand_back(spark) -> None:
+    """Let the Python workers return to the system what earlier jobs freed.
+
+    Workers are reused from job to job, and the allocators below numpy and Arrow keep freed memory for the
+    next task. In a flow of several stages that adds up beside the JVM. A round of tiny tasks trims every worker that idles.
+    """
+    def run(batches):
+        for _ in batches:
+            pass
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+        yield from ()
+
+    tasks = 4 * max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, tasks, 1, tasks).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
+
 def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES):
     """(first row, last row + 1, bytes, offsets) of consecutive rows of about ``limit`` bytes."""
     n, i = len(offsets) - 1, 0
