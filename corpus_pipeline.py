@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pairloom.llm import decontamination, language, neardup, packing, suffixes
+from pairloom.llm.columns import hand_back
 from pairloom.session import materialize
 
+
+def _after_others(stage):
+    """The stage, begun when the workers have returned what the stage before it left them."""
+    def run(spark, docs, sf_dir):
+        hand_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
     ("language_id", language.stage),
-    ("near_duplicates", neardup.stage),
-    ("repeated_strings", suffixes.stage),
-    ("decontamination", decontamination.stage),
-    ("packing", packing.stage),
+    ("near_duplicates", _after_others(neardup.stage)),
+    ("repeated_strings", _after_others(suffixes.stage)),
+    ("decontamination", _after_others(decontamination.stage)),
+    ("packing", _after_others(packing.stage)),
 ]
 
 # SQL can neither train the language model nor pack; the tests hold the rows against brute force.
