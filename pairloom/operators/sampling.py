@@ -235,7 +235,7 @@ def _first_fit(rest: DataFrame, batch_size: int, base: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([frame.column("_pos"), pa.array(place, pa.int64())],
                                              names=["_pos", "batch_id"])
 
-    return rest.coalesce(1).sortWithinPartitions("_pos").mapInArrow(run, "_pos long, batch_id long")
+    return rest.repartition(1).sortWithinPartitions("_pos").mapInArrow(run, "_pos long, batch_id long")
 
 
 def nodup_batches(triplets: DataFrame, batch_size: int, columns: list[str], pos: str = "pos",
