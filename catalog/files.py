@@ -231,10 +231,11 @@ def io_scorecard(spark, d):
     return outputs.score_card(files.read_jsonl(spark, path, schemas.SCORE_CARD))
 
 
-@entry("io_multi_coll", v.with_(v.TURNS_SQL, select="SELECT dataset, _id, title, text FROM replies"))
+@entry("io_multi_coll", v.with_(v.ALL_TURNS_SQL, select="SELECT dataset, _id, title, text FROM turns"))
 def io_multi_coll(spark, d):
+    """Every turn, in a sub-collection for each role."""
     root = scratch_dir(spark, "parts")
-    collections.write_parts(v.replies(spark, d).select("dataset", "_id", "title", "text"), root)
+    collections.write_parts(v.turns(spark, d).select("dataset", "_id", "title", "text"), root)
     return collections.read_parts(spark, root, "_id STRING, title STRING, text STRING")
 
 

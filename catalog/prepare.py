@@ -126,10 +126,10 @@ def shuffle_batches(spark, d):
     return sampling.shuffle_batches(docs, 64, v.SEED).select("_id", "row_id", "batch_id")
 
 
-@entry("win_batch", v.with_(v.TURNS_SQL, select="""
-SELECT _id, (row_number() OVER (ORDER BY pos) - 1) // 16 AS batch_id FROM questions"""))
+@entry("win_batch", v.with_(v.ALL_TURNS_SQL, select="""
+SELECT _id, (row_number() OVER (ORDER BY pos) - 1) // 16 AS batch_id FROM turns"""))
 def win_batch(spark, d):
-    return sampling.batch_of_pos(v.questions(spark, d).select("_id", "pos"), 16).select("_id", "batch_id")
+    return sampling.batch_of_pos(v.turns(spark, d).select("_id", "pos"), 16).select("_id", "batch_id")
 
 
 TRIPLET_SQL = f"""triplets AS (
@@ -218,15 +218,17 @@ def passage_text(spark, d):
         txt.passage_for_encoder(title, text).alias("encoder_text"))
 
 
-@entry("dual_tag", v.with_(v.TURNS_SQL, select="""
-SELECT _id, 'query' AS side, text FROM questions UNION ALL SELECT _id, 'doc', text FROM replies"""))
+@entry("dual_tag", v.with_(v.ALL_TURNS_SQL, select="""
+SELECT _id, CASE WHEN dataset = 'user' THEN 'query' ELSE 'doc' END AS side, text FROM turns"""))
 def dual_tag(spark, d):
+    """User turns are queries, all others documents."""
     def tagged(df, side):
         tag = df.select("_id", txt.dual_tag(F.col("text"), side).alias("tag"))
         return tag.select("_id", F.lit(tag.schema["tag"].dataType[0].name).alias("side"),
                           F.col("tag")[side].alias("text"))
 
-    return tagged(v.questions(spark, d), "query").unionByName(tagged(v.replies(spark, d), "doc"))
+    asked, turns = F.col("dataset") == "user", v.turns(spark, d)
+    return tagged(turns.filter(asked), "query").unionByName(tagged(turns.filter(~asked), "doc"))
 
 
 @entry("prompt_build", v.with_(C, select="""

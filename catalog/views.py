@@ -236,6 +236,18 @@ def reply_qrels(spark, d) -> DataFrame:
         "dataset", "query_id", "corpus_id", "score", "pos")
 
 
+def turns(spark, d) -> DataFrame:
+    """Every turn of every conversation; the collection is the role that speaks."""
+    t = table(spark, d, "conversations")
+    return t.select(F.col("role").alias("dataset"), F.concat_ws("-", "conv_id", "turn").alias("_id"),
+                    F.lit("").alias("title"), "text", (F.col("conv_id") * TURNS + F.col("turn")).alias("pos"))
+
+
+ALL_TURNS_SQL = f"""turns AS (
+  SELECT role AS dataset, conv_id || '-' || turn AS _id, '' AS title, text, conv_id * {TURNS} + turn AS pos
+  FROM conversations)"""
+
+
 def conversation_collection(spark, d) -> Collection:
     keep = ["_id", "title", "text", "pos"]
     return Collection(replies(spark, d).select(*keep), questions(spark, d).select("_id", "text", "pos"),
