@@ -29,11 +29,12 @@ def _offsets(counts: DataFrame, keys: list[str], width: int) -> DataFrame:
         return counts.withColumn("_offset", inside(*keys)).withColumn(
             "_total", F.sum("_n").over(Window.partitionBy(*keys)))
     bits = min(LEVEL_BITS, width - TOP_BITS)
-    parents = counts.groupBy(*keys, F.shiftright("_b", bits).alias("_parent")).agg(F.sum("_n").alias("_n"))
+    placed = counts.withColumn("_parent", F.shiftright("_b", bits)).withColumn("_inside", inside(*keys, "_parent"))
+    # Their sums come out of the windows, which lie by parent already: no further exchange.
+    parents = placed.groupBy(*keys, "_parent").agg(F.max(F.col("_inside") + F.col("_n")).alias("_n"))
     above = _offsets(parents.withColumnRenamed("_parent", "_b"), keys, width - bits).select(
         *[F.col(k).alias(f"_p{k}") for k in keys], F.col("_b").alias("_p"), F.col("_offset").alias("_above"),
         "_total")
-    placed = counts.withColumn("_parent", F.shiftright("_b", bits)).withColumn("_inside", inside(*keys, "_parent"))
     match = F.col("_parent") == F.col("_p")
     for key in keys:
         match = match & F.col(key).eqNullSafe(F.col(f"_p{key}"))
