@@ -13,7 +13,6 @@ from pairloom.functions.text import norm_query
 from pairloom.operators.numbering import number_by_hash, number_rows
 from pairloom.session import materialize
 
-
 CUT_BITS = 13  # places of a hash that one pass over the keys looks at
 CUT_ROWS = 10_000  # hashes that are ordered on the driver
 HASH_BITS = 60
@@ -29,8 +28,9 @@ def _keys(df: DataFrame, seed: int, salt: str, pos: str, *more: str) -> DataFram
 def _cut(keys: DataFrame, wanted) -> tuple[str, int] | None:
     """(digest, position) of the last key to keep, in order of digest and position; None: keep all.
 
-    ``wanted`` maps the number of keys to the number to keep. ``keys`` is a written narrow table. Each pass counts
-    the next bits of the hashes that share the cut's leading bits (at most 2^CUT_BITS counts), until few keys are left to order.
+    ``wanted`` maps the number of keys to the number to keep. ``keys`` is a written narrow table. Each
+    pass counts the next bits of the hashes that share the cut's leading bits (at most 2^CUT_BITS
+    counts), until few keys are left to order.
     """
     shift, part, before, n = HASH_BITS, keys, 0, None
     while True:
@@ -247,9 +247,10 @@ def nodup_batches(triplets: DataFrame, batch_size: int, columns: list[str], pos:
 
     Rows are dealt in a seeded random order to as many batches as their number, or their most
     frequent text, asks for. In each batch a row that meets a text of an earlier one has to leave; the
-    rows that left are dealt again to batches of their own. A round keeps at least one row a batch, as a rule all but those that share
-    texts, so the rest shrinks by a factor however often one text occurs; a rest of at most ``few_rows`` ends in one task.
-    Rounds work on positions and digests, each in one exchange by batch; each is written down.
+    rows that left are dealt again to batches of their own. A round keeps at least one row a batch, as
+    a rule all but those that share texts, so the rest shrinks by a factor however often one text
+    occurs; a rest of at most ``few_rows`` ends in one task. Rounds work on positions and digests, each
+    in one exchange by batch; each is written down.
     """
     digests = F.array_compact(F.array(*[F.unhex(F.sha2(norm_query(F.col(c)), 256)) for c in columns]))
     rest = materialize(triplets.select(F.col(pos).alias("_pos"), F.array_distinct(digests).alias("_texts")), "texts")

@@ -136,8 +136,8 @@ def export_generated(splits: dict[str, DataFrame], corpus: DataFrame, path: str,
     """Clean and export generated splits.
 
     ``nested`` writes pair records per split; else queries, judgements and the corpus, with query
-    numbers that run on over the splits, those of earlier calls included. Cropped pairs link by their original document and have
-    no leaked answers; generated ones link by their document.
+    numbers that run on over the splits, those of earlier calls included. Cropped pairs link by their
+    original document and have no leaked answers; generated ones link by their document.
     """
     cropped = method == "cropping"
     document = "original_document" if cropped else "document"
