@@ -470,14 +470,15 @@ def test_warc_round_trip(spark):
             (7, "http://a.b/7", long_ + " "), (7, "http://a.b/7", "other")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_id string")
     nested = warc.round_trip(pages)
-    got = {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])
-           for r in warc.digest_rows(nested).collect()}
-    want = set()
-    for i, _, html in rows:
+    got = count((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])
+                for r in warc.digest_rows(nested).collect())
+    want, met = collections.Counter(), set()
+    for i, url, html in rows:
         raw = (html or "").encode()
-        again = html == long_ and i != 2
-        want.add((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", 2 if again else None))
-    assert got == want and nested.count() == len(set(rows))
+        again = html == long_ and (i != 2 or (i, url) in met)  # of the repeated row one capture holds the payload
+        met.add((i, url))
+        want[i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", 2 if again else None] += 1
+    assert got == want and nested.count() == len(rows)
     assert all(r["request"] is not None and r["metadata"] is not None for r in nested.collect())
 
 
