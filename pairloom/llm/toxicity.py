@@ -1,20 +1,21 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled training rows: the ``EXAMPLES`` first by a hash of doc_id.
-Terms are words and word beginnings of four and five letters (so that inflected and compound forms meet);
-the ``TERMS`` terms of strongest positive association with the label (G squared over the sample) are the
-vocabulary. Their inverse document frequency is counted over all documents. The index holds, for every
-term, postings in blocks of examples with the block's greatest weight. The blocks of greatest upper bound of the
-cosine are visited first, posting by posting; their k-th cosine closes every block with a lower bound, and
-one sweep, term by term, takes the span of the open ones. Ties go by example id, so the ``NEIGHBOURS``
+Examples are a bounded sample of labelled training rows: the ``EXAMPLES`` first by a hash of doc_id, as far as
+their texts have ``EXAMPLE_BYTES`` together. All their words are indexed. A word's inverse document frequency is
+counted over all documents; it is multiplied by the word's weight, the root of its association with the label
+(G squared over the examples) plus ``LEAST_WEIGHT``, so that no word is left out. The index holds, for
+every word, postings in blocks of examples with the block's greatest weight. The blocks of greatest upper bound of the
+cosine are visited first; their k-th cosine closes every block with a lower bound, and
+one sweep takes the span of the open ones. Ties go by example id, so the ``NEIGHBOURS``
 nearest are those of full comparison. Votes weigh 1 / (distance + 0.05); their share of toxic ones is
 calibrated by Platt scaling on the examples themselves, each left out of its own vote.
 
-A document without any term of the vocabulary is equally far from all examples: its vote is that of the
-examples without a term (evidence empty), and a text with no word scores alike.
+A document without any word of the examples is equally far from all of them: its vote is that of the
+examples without a word (evidence empty), and a text with no word scores alike.
 
 Defined results: NULL text is empty. A NULL label teaches nothing; of several labels of one document the
-greatest counts. Without examples every score is 0. Rows are scored one by one.
+greatest counts. Rows that agree in doc_id and text are one example. Without examples every score is 0. Rows are scored
+one by one.
 """
 
 from __future__ import annotations
@@ -23,65 +24,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.columns import LETTERS, LOWER, U64, KeyTable, SpanHash, flat, row_sums, slices
+from pairloom.llm.columns import LETTERS, LOWER, KeyTable, SpanHash, flat, row_sums, slices
 from pairloom.llm.language import held_out
 
-EXAMPLES = 20_000  # bound of the labelled sample
-TERMS = 2048
-BLOCK = 128
+EXAMPLES = 4096  # bounds of the labelled sample
+EXAMPLE_BYTES = 64 << 20
+BLOCK = 64
 NEIGHBOURS = 16
 WAVE = 2  # blocks of the first wave
-DENSE = 8  # a term in one of so many examples or more also has a row of weights of all examples
-LEAST_G2 = 12.0
-LEAST_COUNT = 4
+DENSE = 8  # a word in one of so many examples or more also has a row of weights of all examples
+LEAST_WEIGHT = 0.03
 SLACK = 1e-9  # more than rounding can move a cosine; bounds this close below the last one are still visited
 RESULT = "struct<score:double,vote:double,evidence:array<long>,similarity:array<double>>"
 
 
 def terms_of(hasher: SpanHash, data: np.ndarray, offsets: np.ndarray):
-    """Hashes of words and of word beginnings, with their rows; a short word has no beginning."""
-    low = LOWER[data]
-    hashes, starts, ends, first = hasher.words(low, offsets, LETTERS)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    out, rows, sums = [hashes], [row], hasher.prefix(low)
-    for width in (4, 5):
-        long_ = np.flatnonzero(ends - starts > width)
-        out.append(hasher.of(sums, starts[long_], starts[long_] + width) ^ U64(width))
-        rows.append(row[long_])
-    return np.concatenate(out), np.concatenate(rows)
+    """Hashes of words, with their rows."""
+    hashes, _, _, first = hasher.words(LOWER[data], offsets, LETTERS)
+    return hashes, np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
-def association(docs: DataFrame, sample: DataFrame, least_g2: float, most: int) -> np.ndarray:
-    """Term hashes by G squared; documents of the sample only."""
+def association(toxic: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) -> np.ndarray:
+    """G squared of every term with the label; ``row``, ``term``: each term of each example once."""
+    n, t = len(toxic), float(toxic.sum())
+    held = np.bincount(term, minlength=size).astype(float)
+    hits = np.bincount(term, toxic[row], size)
 
-    def run(batches):
-        hasher = SpanHash()
-        for batch in batches:
-            toxic = batch.column(1).to_numpy()
-            data, offsets = flat(batch.column(0))
-            for i, j, part, at in slices(data, offsets):
-                hashes, row = terms_of(hasher, part, at)
-                pairs = np.unique(np.stack([hashes, row.astype(U64)]), axis=1)
-                kinds, place = np.unique(pairs[0], return_inverse=True)
-                hits = toxic[i + pairs[1].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds.view(np.int64)), pa.array(np.bincount(place, minlength=len(kinds))),
-                     pa.array(np.bincount(place, hits, len(kinds)).astype(np.int64))], names=["term", "n", "t"])
-
-    total = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    n, t = total[0], total[1] or 0
-    if not t or t == n:
-        return np.zeros(0, U64)
-    own = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    counts = own.mapInArrow(run, "term long, n long, t long").groupBy("term").agg(
-        F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("t") >= LEAST_COUNT)
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    g2 = 2 * (part(F.col("t"), F.col("n") * t / n) + part(F.col("n") - F.col("t"), F.col("n") * (n - t) / n)
-              + part(t - F.col("t"), (n - F.col("n")) * t / n)
-              + part((n - t) - (F.col("n") - F.col("t")), (n - F.col("n")) * (n - t) / n))
-    strong = counts.withColumn("g2", g2).filter((F.col("g2") >= least_g2) & (F.col("t") * n > F.col("n") * t))
-    rows = strong.orderBy(F.desc("g2"), "term").limit(most).select("term").collect()
-    return np.array(sorted(r[0] for r in rows), np.int64).view(U64)
+    def part(seen, expected):
+        return seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))
+
+    total = (part(hits, held * t / n) + part(held - hits, held * (n - t) / n)
+             + part(t - hits, (n - held) * t / n) + part((n - t) - (held - hits), (n - held) * (n - t) / n))
+    return np.maximum(2 * total, 0)
 
 
 def vectors(table: KeyTable, hasher: SpanHash, data, offsets):
@@ -106,32 +80,43 @@ def document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int
             for _, _, part, at in slices(data, offsets):
                 held += np.bincount(vectors(table, hasher, part, at)[1], minlength=len(terms) + 1)
         held[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms) + 1)), pa.array(held)], names=["k", "n"])
+        some = np.flatnonzero(held)
+        for i in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i:i + 100_000]), pa.array(held[some[i:i + 100_000]])],
+                                             names=["k", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n")).collect()
+    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(terms) + 1, np.int64)
-    for k, n in rows:
-        counts[k] = n
+    counts[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts[:-1], int(counts[-1])
 
 
-def examples(docs: DataFrame, sample: DataFrame, terms: np.ndarray) -> list:
-    """(doc_id, toxic, terms, counts) of every row of the sample."""
+def examples(docs: DataFrame, sample: DataFrame) -> list:
+    """(doc_id, toxic, hashes, counts of the words) of every row of the sample."""
 
     def run(batches):
-        table, hasher = KeyTable(terms), SpanHash()
+        hasher = SpanHash()
         for batch in batches:
             data, offsets = flat(batch.column(2))
             for i, j, part, at in slices(data, offsets):
-                row, term, count = vectors(table, hasher, part, at)
+                hashes, row = terms_of(hasher, part, at)
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])])
+                                     if len(row) else row)
+                count = np.diff(np.append(new, len(row)))
+                row, hashes = row[new], hashes[new]
                 cuts = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.ListArray.from_arrays(cuts, pa.array(term)),
+                    [batch.column(0)[i:j], batch.column(1)[i:j],
+                     pa.ListArray.from_arrays(cuts, pa.array(hashes.view(np.int64))),
                      pa.ListArray.from_arrays(cuts, pa.array(count))], names=["doc_id", "toxic", "terms", "counts"])
 
-    own = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    found = own.mapInArrow(run, "doc_id long, toxic int, terms array<long>, counts array<long>")
-    return sorted(map(tuple, found.collect()))
+    own = docs.join(F.broadcast(sample), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    found = own.select("doc_id", "toxic", "text").mapInArrow(
+        run, "doc_id long, toxic int, terms array<long>, counts array<long>")
+    rows = [(i, t, tuple(h), tuple(c)) for i, t, h, c in found.toArrow().to_pandas().itertuples(index=False)]
+    return sorted(rows, key=lambda r: r[:2] + (r[2],))
 
 
 class Index:
@@ -141,78 +126,83 @@ class Index:
     are close. Postings lie term by term, each in example order; ``cuts`` says where a block's begin.
     """
 
-    def __init__(self, terms, idf, rows, block: int = BLOCK) -> None:
-        self.terms, self.idf, self.block = terms, idf, block
-        bare = [r[1] for r in rows if not r[2]]
-        self.prior = float(np.mean([r[1] for r in rows])) if rows else 0.0
-        self.bare = (sum(bare) + self.prior) / (len(bare) + 1) if rows else 0.0
-        self.slope = (1.0, 0.0)
-        full = [r for r in rows if r[2]]
-        self.ids = np.array([r[0] for r in full], np.int64)
-        self.toxic = np.array([r[1] for r in full], np.float64)
+    def __init__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.state = state
+
+    @classmethod
+    def build(cls, terms, worth, rows, block: int = BLOCK) -> "Index":
+        """``rows``: (doc_id, toxic, numbers of terms, counts); ``worth``: weight of each term."""
+        bare = [r[1] for r in rows if not len(r[2])]
+        full = [r for r in rows if len(r[2])]
+        prior = float(np.mean([r[1] for r in rows])) if rows else 0.0
+        own = cls({"terms": terms, "worth": worth, "block": block, "prior": prior, "slope": (1.0, 0.0),
+                   "bare": (sum(bare) + prior) / (len(bare) + 1) if rows else 0.0})
         weighed = []
         for place, r in enumerate(full):
-            t, w = self.weigh(np.array(r[2]), np.array(r[3]))
-            weighed.append((t[np.lexsort((t, -w))].tolist(), place, t, w))
+            t, w = own.weigh(np.asarray(r[2]), np.asarray(r[3]))
+            weighed.append((t[np.lexsort((t, -w))][:8].tolist(), place, t, w))
         weighed.sort(key=lambda r: r[:2])
-        self.place = np.array([r[1] for r in weighed], np.int64)  # of the examples in the order of the blocks
-        self.blocks = -(-len(weighed) // block)
+        blocks = -(-len(weighed) // block)
         at = np.repeat(np.arange(len(weighed)), [len(r[2]) for r in weighed]).astype(np.int64)
         term = np.concatenate([*(r[2] for r in weighed), np.zeros(0, np.int64)])
         weight = np.concatenate([*(r[3] for r in weighed), np.zeros(0)])
         order = np.lexsort((at, term))
-        self.at, self.weight, term = at[order], weight[order], term[order]
-        place = term * max(1, self.blocks) + self.at // block
-        grid = (len(terms), self.blocks)
-        self.peak = np.zeros(grid)
-        np.maximum.at(self.peak.reshape(-1), place, self.weight)
-        self.cuts = np.searchsorted(place, np.arange(len(terms) * self.blocks + 1))
-        begin = self.cuts[::max(1, self.blocks)]
+        at, weight, term = at[order], weight[order], term[order]
+        cell = term * max(1, blocks) + at // block
+        heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else cell
+        ends = np.arange(len(terms) + 1)
+        begin = np.searchsorted(term, ends)
         often = np.flatnonzero(np.diff(begin) * DENSE > len(weighed))
-        self.line = np.full(len(terms), -1)
-        self.line[often] = np.arange(len(often))
-        self.lines = np.zeros((len(often), self.blocks * block))
-        for line, t in enumerate(often):
-            self.lines[line, self.at[begin[t]:begin[t + 1]]] = self.weight[begin[t]:begin[t + 1]]
+        line = np.full(len(terms), -1)
+        line[often] = np.arange(len(often))
+        lines = np.zeros((len(often), blocks * block))
+        for k, t in enumerate(often):
+            lines[k, at[begin[t]:begin[t + 1]]] = weight[begin[t]:begin[t + 1]]
+        return cls(own.state | {
+            "ids": np.array([r[0] for r in full], np.int64), "toxic": np.array([r[1] for r in full], np.float64),
+            "place": np.array([r[1] for r in weighed], np.int64),  # of the examples in the order of the blocks
+            "blocks": blocks, "at": at, "weight": weight, "begin": begin, "line": line, "lines": lines,
+            # Of each term the blocks that have it, where its postings begin there, and the greatest weight.
+            "cell_begin": np.searchsorted(term[heads], ends), "cell_block": cell[heads] % max(1, blocks),
+            "cell_post": np.append(heads, len(cell)),
+            "peak": np.maximum.reduceat(weight, heads) if len(heads) else weight})
 
     @property
     def postings(self) -> dict:
-        """Of each term that an example has: places, weights, where blocks begin, greatest weights."""
-        out = {}
-        for t in range(len(self.terms)):
-            cuts = self.cuts[t * self.blocks:(t + 1) * self.blocks + 1]
-            if cuts[0] < cuts[-1]:
-                part = slice(cuts[0], cuts[-1])
-                out[t] = self.place[self.at[part]], self.weight[part], cuts - cuts[0], self.peak[t]
-        return out
+        """Of each term that an example has: places and weights."""
+        return {t: (self.place[self.at[a:b]], self.weight[a:b])
+                for t, (a, b) in enumerate(zip(self.begin[:-1], self.begin[1:])) if a < b}
 
     def weigh(self, terms, counts):
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.worth[terms]
         return terms, w / np.sqrt((w * w).sum())
 
-    def visit(self, terms, q, some):
-        """Cosines of the examples of a few blocks, from the postings of these blocks alone."""
-        grid = (terms[:, None] * self.blocks + some).ravel()
-        begin, n = self.cuts[grid], self.cuts[grid + 1] - self.cuts[grid]
-        full = np.flatnonzero(n)
-        begin, n = begin[full], n[full]
+    def cells(self, terms):
+        """All cells (term, block) of the terms: which term, which cell."""
+        begin = self.cell_begin[terms]
+        n = self.cell_begin[terms + 1] - begin
+        return np.repeat(np.arange(len(terms)), n), np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def gather(self, which, cell, q, first: int, size: int):
+        """Cosines by place from ``first`` on, from the postings of some cells."""
+        begin = self.cell_post[cell]
+        n = self.cell_post[cell + 1] - begin
         post = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-        term, slot = np.divmod(full, len(some))
-        local = self.at[post] + np.repeat((slot - some[slot]) * self.block, n)
-        return np.bincount(local, self.weight[post] * np.repeat(q[term], n), len(some) * self.block)
+        found = np.bincount(self.at[post] - first, self.weight[post] * np.repeat(q[which], n), size)
+        return found.astype(np.float64, copy=False)  # counts of nothing are integers
 
-    def sweep(self, terms, q, low: int, high: int):
-        """Cosines of the examples of blocks ``low`` to ``high`` - 1, term by term over whole runs."""
+    def sweep(self, terms, q, which, cell, low: int, high: int):
+        """Cosines of the examples of blocks ``low`` to ``high`` - 1."""
         first, last = low * self.block, high * self.block
-        score, part = np.zeros(last), np.empty(last - first)
-        for t, weight, line in zip(terms.tolist(), q.tolist(), self.line[terms].tolist()):
-            if line >= 0:
-                np.multiply(self.lines[line, first:last], weight, out=part)
-                score[first:] += part
-            else:
-                run = slice(self.cuts[t * self.blocks + low], self.cuts[t * self.blocks + high])
-                score[self.at[run]] += weight * self.weight[run]  # a term has one posting an example
-        return score[first:]
+        line = self.line[terms]
+        inside = (line[which] < 0) & (self.cell_block[cell] >= low) & (self.cell_block[cell] < high)
+        score = self.gather(which[inside], cell[inside], q, first, last - first)
+        part = np.empty(last - first)
+        for k in np.flatnonzero(line >= 0).tolist():
+            np.multiply(self.lines[line[k], first:last], q[k], out=part)
+            score += part
+        return score
 
     def better(self, best, some, score, k: int, without: int):
         """The k best of ``best`` and of the examples of blocks ``some``, by cosine and place."""
@@ -233,20 +223,23 @@ class Index:
         The blocks of greatest bound come first; then those whose bound is not below the k-th cosine.
         """
         terms, q = self.weigh(terms, counts)
-        bound = q @ self.peak[terms]
+        which, cell = self.cells(terms)
+        bound = np.bincount(self.cell_block[cell], q[which] * self.peak[cell], self.blocks)
         best = np.zeros(0, np.int64), np.zeros(0)
         some = np.sort(np.argsort(-bound, kind="stable")[:WAVE])
         some = some[bound[some] > 0]
         if not len(some):
             return best
-        best = self.better(best, some, self.visit(terms, q, some), k, without)
+        visited = np.isin(self.cell_block[cell], some)
+        score = self.gather(which[visited], cell[visited], q, 0, self.blocks * self.block)
+        best = self.better(best, some, score.reshape(-1, self.block)[some].ravel(), k, without)
         bound[some] = 0
         open_ = np.flatnonzero(bound >= best[1][-1] - SLACK if len(best[1]) == k else bound > 0)
         open_ = open_[bound[open_] > 0]
         if not len(open_):
             return best
         low, high = int(open_[0]), int(open_[-1]) + 1
-        score = self.sweep(terms, q, low, high)
+        score = self.sweep(terms, q, which, cell, low, high)
         score.reshape(-1, self.block)[some[(some >= low) & (some < high)] - low] = 0  # visited before
         return self.better(best, np.arange(low, high), score, k, without)
 
@@ -261,7 +254,7 @@ class Index:
         """Platt scaling of votes on the examples, each without its own."""
         x, y, full = [], [], -1
         for _, label, terms, counts in rows:
-            if terms:
+            if len(terms):
                 full += 1
                 x.append(self.vote(np.array(terms), np.array(counts), without=full)[0])
             else:
@@ -281,36 +274,48 @@ class Index:
             h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
             step = np.clip(np.linalg.solve(h, g), -2, 2)
             a, b = a - step[0], b - step[1]
-        self.slope = (max(a, 0.0), b)
+        if a < 0:  # votes that say nothing leave the share of toxic examples
+            a, b = 0.0, float(np.log(target.mean() / (1 - target.mean())))
+        self.slope = self.state["slope"] = (a, b)
 
     def score(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-(self.slope[0] * vote + self.slope[1])))) if self.prior > 0 else 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = EXAMPLES,
-          terms: int = TERMS) -> Index:
+          most_bytes: int = EXAMPLE_BYTES) -> Index:
     """The index over a bounded sample; ``labels`` (doc_id, label) are training rows only."""
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("toxic"))
-    rows = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    spark = docs.sparkSession
-    sample = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    chosen = association(texts, sample, LEAST_G2, terms)
-    counts, n = document_counts(texts, chosen) if len(chosen) else (np.zeros(0, np.int64), 0)
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    narrow = texts.select("doc_id", "digest", F.octet_length("text").alias("n")).distinct().join(own, "doc_id")
+    first = narrow.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(limit).collect()
+    spent = np.cumsum([r["n"] for r in first])
+    rows = [(r["doc_id"], r["digest"], r["toxic"]) for r, n in zip(first, spent) if n <= most_bytes]
+    sample = docs.sparkSession.createDataFrame(rows, "doc_id long, digest long, toxic int")
+    found = examples(texts, sample)
+    sizes = [len(r[2]) for r in found]
+    hashes = np.concatenate([*(np.array(r[2], np.int64) for r in found), np.zeros(0, np.int64)])
+    terms, term = np.unique(hashes.view(np.uint64), return_inverse=True)
+    toxic = np.array([r[1] for r in found], float)
+    row = np.repeat(np.arange(len(found)), sizes)
+    counts, n = document_counts(texts, terms) if len(terms) else (np.zeros(0, np.int64), 0)
     idf = np.log((n + 1) / (counts + 1)) + 1
-    found = examples(texts, sample, chosen)
-    index = Index(chosen, idf, found)
+    g2 = association(toxic, row, term, len(terms)) if len(terms) else np.zeros(0)
+    cuts = np.cumsum(sizes)[:-1] if sizes else []
+    found = [(r[0], r[1], t, np.array(r[3])) for r, t in zip(found, np.split(term, cuts))]
+    index = Index.build(terms, idf * (np.sqrt(g2) + LEAST_WEIGHT), found)
     index.calibrate(found)
     return index
 
 
 def score(index: Index, text: Column, spark) -> Column:
     """Struct of score, raw vote and the nearest examples with their cosines."""
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index.state)  # plain arrays, so that executors need no package
 
     def run(column: pa.Array) -> pa.Array:
-        own = shared.value
+        own = Index(shared.value)
         table, hasher, seen = KeyTable(own.terms), SpanHash(), {}
         bare = (own.score(own.bare), own.bare, [], [])
         out = [bare] * len(column)

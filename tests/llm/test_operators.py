@@ -504,7 +504,7 @@ def test_toxicity(spark):
     assert right >= 590 and by[900]["predicted"] == by[901]["predicted"] == 0 and by[None]["predicted"] == 1
     # Block-max search equals full comparison.
     full = np.zeros((len(index.ids), len(index.terms)))
-    for t, (e, w, _, _) in index.postings.items():
+    for t, (e, w) in index.postings.items():
         full[e, t] = w
     for t in range(len(index.terms)):
         at, cosine = index.nearest(np.array([t]), np.array([1]), 5)
