@@ -156,13 +156,51 @@ def _norm_sql(x: str) -> str:
 
 
 def _nodup(spark, d):
-    return sampling.nodup_batches(_triplets(spark, d), 32, ["query", "positive", "negative"], seed=v.SEED)
-
-
-@entry("nodup_batches", v.with_(TRIPLET_SQL, select="SELECT pos, 1::BIGINT AS batches FROM triplets"))
+    return sampling.nodup_batches(_triplets(spark, d), BATCH, ["query", "positive", "negative"], seed=v.SEED)
+
+
+# The batches are dealt round by round as the operator does it: in each round a row stays in its batch if it
+# shares no text with an earlier one that stays; the last few rows go one by one to the first batch that fits.
+BATCH = 32
+NODUP_SQL = f"""{TRIPLET_SQL},
+texts AS (
+  SELECT pos, list_distinct(list_filter([{", ".join(f"md5_number({_norm_sql(c)})" for c in ("query", "positive", "negative"))}],
+    lambda x: x IS NOT NULL)) AS texts FROM triplets),
+rounds AS (
+  SELECT 0::BIGINT AS round, 0::BIGINT AS base, pos, texts, NULL::BIGINT AS batch_id, false AS kept FROM texts
+  UNION ALL (
+  WITH rest AS (SELECT * FROM rounds WHERE NOT kept),
+  size AS (
+    SELECT greatest((n + {BATCH - 1}) // {BATCH}, coalesce(most, 0)) AS batches FROM (SELECT count(*) AS n FROM rest),
+      (SELECT max(c) AS most FROM (SELECT count(*) AS c FROM (SELECT unnest(texts) AS text FROM rest) GROUP BY text))
+    WHERE n > {sampling.FEW_ROWS}),
+  placed AS (
+    SELECT *, base + place % batches AS batch FROM (
+      SELECT *, row_number() OVER (ORDER BY md5(({v.SEED} + round) || '|deal|' || pos), pos) - 1 AS place FROM rest), size),
+  stays AS (
+    SELECT batch, list_reduce(list({{'texts': texts, 'places': [place]}} ORDER BY place), lambda a, b:
+      CASE WHEN list_has_any(a.texts, b.texts) THEN a ELSE {{'texts': list_concat(a.texts, b.texts),
+        'places': list_concat(a.places, b.places)}} END).places AS places FROM placed GROUP BY batch)
+  SELECT round + 1, base + batches, pos, texts, batch, list_contains(places, place) FROM placed JOIN stays USING (batch))),
+few AS (
+  SELECT list(pos ORDER BY pos) AS pos, any_value(base) AS base,
+    list_reduce(list({{'batches': [{{'texts': texts, 'n': 1}}], 'places': [0]}} ORDER BY pos), lambda a, b:
+      CASE WHEN list_bool_or(list_transform(a.batches, lambda x: x.n < {BATCH} AND NOT list_has_any(x.texts, b.batches[1].texts)))
+      THEN {{'batches': list_transform(a.batches, lambda x, i: CASE WHEN i = list_position(list_transform(a.batches,
+          lambda y: y.n < {BATCH} AND NOT list_has_any(y.texts, b.batches[1].texts)), true)
+          THEN {{'texts': list_concat(x.texts, b.batches[1].texts), 'n': x.n + 1}} ELSE x END),
+        'places': list_append(a.places, (list_position(list_transform(a.batches,
+          lambda y: y.n < {BATCH} AND NOT list_has_any(y.texts, b.batches[1].texts)), true) - 1)::INTEGER)}}
+      ELSE {{'batches': list_concat(a.batches, b.batches), 'places': list_append(a.places, len(a.batches)::INTEGER)}} END).places AS places
+  FROM rounds WHERE NOT kept AND round = (SELECT max(round) FROM rounds))"""
+
+
+@entry("nodup_batches", v.with_(NODUP_SQL, select="""
+SELECT pos, batch_id FROM rounds WHERE kept
+UNION ALL SELECT unnest(pos), base + unnest(places) FROM few""").replace("WITH", "WITH RECURSIVE", 1))
 def nodup_batches(spark, d):
-    """Every triplet and the number of batches it is in."""
-    return _nodup(spark, d).groupBy("pos").agg(F.count("batch_id").alias("batches"))
+    """Every triplet and its batch."""
+    return _nodup(spark, d).select("pos", "batch_id")
 
 
 @entry("nodup_repeats", v.with_(TRIPLET_SQL, select="""

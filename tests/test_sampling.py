@@ -4,12 +4,18 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
+from catalog.prepare import BATCH, _triplets
+from catalog.views import SEED
+from check import compare, connect
 from pairloom.functions.draws import word_marks
 from pairloom.operators import sampling
 from pairloom.operators.joins import join_unique
 from pairloom.operators.numbering import _offsets, number_by_hash, number_rows
 from pairloom.operators.pairs import with_next
 
+SF = "/root/testdata/sf0.001"
+
 
 def positions(spark, n):
     return spark.range(n).select(F.col("id").alias("pos"))
@@ -114,6 +120,19 @@ def test_nodup_batches_fill_up_without_repeats(spark):
     assert sampling.nodup_batches(df.limit(0), 32, ["q"]).count() == 0
 
 
+def test_nodup_batches_equal_their_sql(spark):
+    """The query returns the batches themselves; with few rows dealt at the end, the SQL's rounds are used as well."""
+    assert queries()["nodup_batches"](spark, SF).columns == ["pos", "batch_id"]
+    sql = oracle_sql()["nodup_batches"]
+    assert f"n > {sampling.FEW_ROWS}" in sql
+    columns = ["query", "positive", "negative"]
+    for few_rows in (0, 30, sampling.FEW_ROWS):
+        got = sampling.nodup_batches(_triplets(spark, SF), BATCH, columns, seed=SEED, few_rows=few_rows)
+        difference, rows = compare(got.select("pos", "batch_id"), connect(SF), sql.replace(
+            f"n > {sampling.FEW_ROWS}", f"n > {few_rows}"))
+        assert difference == "" and rows == 200
+
+
 def test_next_row_wraps_round(spark):
     places = [-5, 3, 2**40, 2**62]
     df = spark.createDataFrame([(p, f"t{p}") for p in places], "pos BIGINT, text STRING")
