@@ -149,3 +149,49 @@ def test_the_corpus_is_not_copied_per_block(spark):
     run = topk_search(df, df, 5, dataset="dataset", broadcast_bytes=5000)
     assert "Generate" not in run._jdf.queryExecution().toString()
     assert found(run) == brute(rows, rows, 5)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e7, 1e16])
+@pytest.mark.parametrize("grid", [None, 2])
+def test_short_products_lose_nothing(scale, grid):
+    """Ranks and scores are those of double precision, with close scores, ties and floors."""
+    rnd = np.random.default_rng(12)
+    make = lambda n: (rnd.integers(-grid, grid + 1, (n, 6)) * 1.0 if grid else rnd.normal(size=(n, 6)))
+    asked, docs = make(40), make(3000)
+    docs[1000:1500] = docs[:500] * (1 + 1e-7)  # closer than single precision tells apart
+    asked, docs = asked * scale, docs * scale
+    block = search.Block("a", np.array([f"q{i:04d}" for i in range(40)], dtype=object), asked)
+    raw = asked @ docs.T
+    raw[3, 7] = -np.inf  # the query q0003 is the document of that id
+    for floor in (np.full(40, -np.inf), np.round(np.sort(raw, axis=1)[:, -30], SCORE_DIGITS)):
+        scorer = search._Scorer({"a": block._replace(floors=floor[:, None])}, 20, {"dot": search.dot_matrix},
+                                {"dot": np.asarray}, True)
+        for start in (0, 1000, 2000):
+            ids = [f"c{i:04d}" if (i, start) != (7, 0) else "q0003" for i in range(start, start + 1000)]
+            scorer.add(search.Block("a", np.array(ids, dtype=object), docs[start:start + 1000]))
+        hits = [r for b in scorer.best["a", "dot"].hits() for r in b.to_pylist()]
+        for i in range(40):
+            mine = sorted((r["score"] for r in hits if r["query_id"] == f"q{i:04d}"), reverse=True)
+            assert np.allclose(mine, np.sort(raw[i])[::-1][:20], rtol=1e-12, atol=2e-9)
+        assert len(hits) == 800 and ("q0003", "q0003") not in {(r["query_id"], r["corpus_id"]) for r in hits}
+
+
+def test_samples_are_bounded_and_large_collections_share_them():
+    """The sample does not grow with the collection; the hits above its floors grow far less than the collection."""
+    at = lambda n: search.Search(None, {"a": n, "b": n // 2, "small": 10}, 64, 100, search.SCORE_FNS, False, search.FLOOR_ROWS)
+    for n in (10_000, 10**6, 10**9):
+        assert at(n).share() * 1.5 * n * (8 * 64 + 64) <= search.SAMPLE_BYTES + 1
+    assert at(10**6).sample_rank() / at(10**6).share() < 10**4 / 20
+
+
+def test_floors_lie_with_the_queries(spark):
+    """One floor per score function, below the k-th best, and none for small collections; no exchange."""
+    corpus, queries = vectors(13, "v", {"big": 900, "small": 20}), vectors(14, "q", {"big": 30, "small": 4, "none": 2})
+    docs = search._prepare(spark.createDataFrame(corpus, SCHEMA), "_id", "vec", "dataset")
+    asked = search._prepare(spark.createDataFrame(queries, SCHEMA).repartition(3), "_id", "vec", "dataset")
+    found = search.Search(docs, {"big": 900, "small": 20}, 4, 60, search.SCORE_FNS, False, 100).with_floors(asked)
+    assert found._jdf.queryExecution().toString().count("Exchange") <= 4  # the test's own repartition, in four plans
+    for r in found.collect():
+        scores = sorted((np.dot(r["vec"], c[2]) for c in corpus if c[0] == r["dataset"]), reverse=True)
+        assert len(r["floors"]) == 2
+        assert r["floors"][1] <= scores[20] if r["dataset"] == "big" else r["floors"][1] == -np.inf
