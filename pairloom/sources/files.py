@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairloom import schemas
 from pairloom.session import materialize
 
+ARRAY_BYTES = 64 << 20  # of a file that holds one JSON array
+ARRAY_PIECES = 16  # text records of such a file
 ROW_BITS = 33  # rows of one task, as in monotonically_increasing_id
 
 
@@ -52,20 +54,39 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A folder of files that each hold one JSON array. Rows stream through, one by one."""
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite", file_bytes: int = ARRAY_BYTES) -> None:
+    """A folder of files that each hold one JSON array of about ``file_bytes`` at most, or sixteen rows if these are larger.
 
-    def punctuate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark = "["
+    Such a file can't be split, so its size bounds the task that reads it. A task's rows stream through in order, in
+    pieces of a sixteenth of a file; each piece is a record of the text sink, which begins a new file after sixteen.
+    """
+    piece_bytes = file_bytes // ARRAY_PIECES
+
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[str]:
+        rows, size = [], 0
         for frame in frames:
-            if len(frame):
-                marks = pd.Series([mark] + [","] * (len(frame) - 1), index=frame.index)
-                yield pd.DataFrame({"value": marks + frame["value"]})
-                mark = ","
-        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+            for row in frame["value"]:
+                more = len(row.encode()) + 2
+                if rows and size + more > piece_bytes:
+                    yield "\n,".join(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += more
+        if rows:
+            yield "\n,".join(rows)
+
+    def punctuate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = None, 0  # the last piece, which may have to close its array
+        for piece in pieces(frames):
+            if held is not None:
+                yield pd.DataFrame({"value": [held + ("]" if n % ARRAY_PIECES == 0 else "")]})
+            held = ("[" if n % ARRAY_PIECES == 0 else ",") + piece
+            n += 1
+        yield pd.DataFrame({"value": ["[]" if held is None else held + "]"]})
 
     line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
-    df.select(line).mapInPandas(punctuate, "value STRING").write.mode(mode).text(path)
+    df.select(line).mapInPandas(punctuate, "value STRING").write.mode(mode).option(
+        "maxRecordsPerFile", ARRAY_PIECES).text(path)
 
 
 def json_to_jsonl(spark: SparkSession, path: str, schema: str) -> str:

@@ -53,6 +53,23 @@ def test_json_array_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+@pytest.mark.parametrize("file_bytes", [1, 300, 2000, 1 << 20])
+def test_json_arrays_are_cut_into_files(spark, tmp_path, file_bytes):
+    """One task's rows go to files of bounded size, each an array of its own, in the order of the rows."""
+    df = spark.range(0, 300, 1, 1).select(F.col("id").cast("string").alias("_id"), F.concat(
+        F.lit('"é\n'), F.col("id").cast("string")).alias("text"))
+    path = str(tmp_path / "arrays.json")
+    files.write_json_array(df, path, file_bytes=file_bytes)
+    found = sorted((tmp_path / "arrays.json").glob("part-*"))
+    parts = [json.loads(p.read_text()) for p in found]
+    assert all(parts) and [r["_id"] for part in parts for r in part] == [str(i) for i in range(300)]
+    longest = max(len(line.encode()) for p in found for line in p.read_text().splitlines())
+    assert all(p.stat().st_size <= max(file_bytes, 16 * (longest + 2)) + 32 for p in found)
+    assert len(found) >= sum(p.stat().st_size for p in found) / (max(file_bytes, 16 * (longest + 2)) + 32)
+    back = files.read_json(spark, path, schemas.QUERIES)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_qrels_last_row_wins(spark, tmp_path):
     path = write(tmp_path / "test.tsv", "query-id\tcorpus-id\tscore\nq\td\t1\nq\te\t2\nq\td\t0\n")
     rows = collections.read_qrels(spark, path).orderBy("pos").collect()
