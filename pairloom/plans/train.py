@@ -57,7 +57,7 @@ def evaluate_development(dev: Collection, encoder: EncoderFactory, history: str,
     one = lambda df: df.withColumn("dataset", F.lit("dev"))
     asked = encode(one(dev.queries).select("dataset", "_id", "text"), encoder)
     docs = encode(one(dev.corpus).select("dataset", "_id", "text"), doc_encoder or encoder)
-    run = materialize(topk_search(asked, docs, met.max_k(cuts), dataset="dataset", dim=dim), "run")
+    run = topk_search(asked, docs, met.max_k(cuts), dataset="dataset", dim=dim, written=True)
     found = materialize(met.evaluate_binary(run, one(dev.qrels), list(SCORE_FNS), cuts), "metrics")
     keyed = found.withColumn("epoch", F.lit(epoch)).withColumn("steps", F.lit(steps))
     outputs.append_history(report.history_row(keyed, report.history_columns(list(SCORE_FNS), cuts),

@@ -195,3 +195,49 @@ def test_floors_lie_with_the_queries(spark):
         scores = sorted((np.dot(r["vec"], c[2]) for c in corpus if c[0] == r["dataset"]), reverse=True)
         assert len(r["floors"]) == 2
         assert r["floors"][1] <= scores[20] if r["dataset"] == "big" else r["floors"][1] == -np.inf
+
+
+@pytest.mark.parametrize("rank", [None, 1])
+def test_blocks_write_no_hits_and_mend_short_queries_once(spark, monkeypatch, tmp_path, rank):
+    """Only the run is written, not the tasks' hits; queries with floors that are too high are searched again, all
+    blocks' together."""
+    if rank:
+        monkeypatch.setattr(search.Search, "sample_rank", lambda self: rank)
+    written, scans, scan = [], [], search.Search.scan
+    monkeypatch.setattr(search, "scratch_dir", lambda s, label: written.append(label) or str(tmp_path / f"{label}{len(written)}"))
+    monkeypatch.setattr(search, "materialize", lambda df, label: written.append(label) or df.cache())
+    monkeypatch.setattr(search.Search, "scan", lambda self, blocks, **kw: scans.append(blocks[0].floors) or scan(self, blocks, **kw))
+    queries, corpus = vectors(21, "q", {"a": 40, "small": 6}, grid=2), vectors(22, "c", {"a": 400, "small": 12}, grid=2)
+    run = topk_search(spark.createDataFrame(queries, SCHEMA).repartition(3), spark.createDataFrame(corpus, SCHEMA).repartition(5),
+                      20, dataset="dataset", broadcast_bytes=15_000, floor_rows=0)
+    assert found(run) == brute(queries, corpus, 20)
+    assert "hits" not in written
+    first = [s is None for s in scans]
+    assert first == sorted(first)  # all blocks with their floors, then the short queries without
+    assert (True in first) == (rank == 1)
+
+
+def test_lists_are_ranked_like_hits(spark):
+    """Ties, copies, NULL ids, queries that span batches and lists of several rows."""
+    rnd = np.random.default_rng(23)
+    rows = [("a" if i % 3 else "b", "f", None if q == 4 else f"q{q}", [None if c == 7 else f"c{c}" for c in ids],
+             [float(x) for x in rnd.integers(0, 4, len(ids))])
+            for i in range(60) for q in range(6) for ids in [rnd.choice(500, rnd.integers(1, 9), replace=False).tolist()]]
+    lists = spark.createDataFrame(rows, search._LISTS).repartition(7)
+    flat = lists.select(*search._QUERY, F.explode(F.arrays_zip("ids", "scores")).alias("h")).select(
+        *search._QUERY, F.col("h.ids").alias("corpus_id"), F.col("h.scores").alias("score"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = search.rank_lists(lists, 25).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    key = lambda rs: sorted(map(str, (tuple(r) for r in rs)))
+    assert key(got) == key(search.rank_hits(flat, 25).collect())
+
+
+def test_a_written_run_is_searched_once(spark):
+    df = spark.createDataFrame(vectors(24, "v", {"a": 30}), SCHEMA)
+    for limits in ({}, {"broadcast_bytes": 5000}):
+        run = topk_search(df, df, 5, dataset="dataset", written=True, **limits)
+        assert "MapInArrow" not in run._jdf.queryExecution().toString()
