@@ -241,3 +241,30 @@ def test_a_written_run_is_searched_once(spark):
     for limits in ({}, {"broadcast_bytes": 5000}):
         run = topk_search(df, df, 5, dataset="dataset", written=True, **limits)
         assert "MapInArrow" not in run._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("fns", [search.SCORE_FNS, {"distance": lambda a, b: -((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)}])
+def test_tiles_are_bounded_on_both_sides(fns, monkeypatch):
+    """A chunk is scored in tiles of few documents, with the same hits; ids of queries in any tile are skipped."""
+    rnd = np.random.default_rng(25)
+    asked, docs = rnd.normal(size=(30, 4)), rnd.normal(size=(500, 4))
+    ids = np.array([f"q{i:04d}" if i % 50 == 7 else f"c{i:04d}" for i in range(500)], dtype=object)
+    block = search.Block("a", np.array([f"q{i:04d}" for i in range(30)], dtype=object), asked)
+    widths = []
+    for name in ("best_k", "best_products"):
+        one = getattr(search, name)
+        monkeypatch.setattr(search, name, lambda a, b, *rest, one=one: widths.append(
+            len(b.full) if isinstance(b, search._Rows) else a.shape[1]) or one(a, b, *rest))
+
+    def hits(cols):
+        monkeypatch.setattr(search, "TILE_COLS", cols)
+        prepare = {n: search.PRODUCTS[f] for n, f in fns.items() if f in search.PRODUCTS}
+        scorer = search._Scorer({"a": block}, 9, fns, prepare, True)
+        scorer.add(search.Block("a", ids, docs))
+        return {(r["score_fn"], r["query_id"], r["corpus_id"], r["score"]) for b in scorer.best.values()
+                for part in b.hits() for r in part.to_pylist()}
+
+    whole = hits(500)
+    widths.clear()
+    assert hits(64) == whole and not any(q == c for _, q, c, _ in whole)
+    assert max(widths) <= 64
