@@ -21,6 +21,7 @@ counts are 0 and the score is uniform over the ids.
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -230,66 +231,127 @@ def windows(at: np.ndarray):
 
 
 DISTANCE = CONTEXT + np.arange(TARGETS)[:, None] - np.arange(TARGETS + CONTEXT)[None, :]
+FAR = np.clip(DISTANCE, 0, None)
+LIMIT = np.float32(60)  # of what goes into exp: far above any trained weight, below overflow
+ONES = np.ones(TARGETS + CONTEXT, np.float32)
 
 
-def forward(p: dict, ids, before, rows, bigram, first, begin, end):
-    """Masked attention of a batch of windows; probabilities of the targets and what backward needs."""
+class Room:
+    """Arrays in which one batch works after the other; the system would clear new ones page by page."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def of(self, name: str, *shape: int, kind=np.float32) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, kind)
+        return self.held[name][:size].reshape(shape)
+
+
+def forward(p: dict, ids, before, rows, bigram, first, begin, end, room: Room | None = None):
+    """Masked attention of a batch of windows; probabilities of the targets and what backward needs.
+
+    The context of a window is in its text as a whole or, where the text begins with the window, not at all.
+    Places beyond the text's end come after its last target. What backward needs lasts until ``room`` is used again.
+    """
+    room, n = room or Room(), len(begin)
     place = begin[:, None] + np.arange(-CONTEXT, TARGETS)
-    inside = (place >= first[:, None]) & (place < end[:, None])
-    place = np.clip(place, 0, len(ids) - 1)
-    target = place[:, CONTEXT:]
-    live = inside[:, CONTEXT:]
-    r_key = rows[before[place]]
-    r_ask = r_key[:, CONTEXT:]
-    ask, key = p["ask"][r_ask], p["key"][r_key]
-    weight = np.matmul(ask, key.transpose(0, 2, 1))
-    weight += np.where(DISTANCE > 0, p["far"][np.clip(DISTANCE, 0, None)], np.float32(-1e9))  # causal
-    weight += np.where(inside, np.float32(0), np.float32(-1e9))[:, None, :]
-    np.minimum(weight, np.float32(60), out=weight)  # far above any trained weight, below overflow
-    np.exp(weight, out=weight)
-    total = weight.sum(axis=2)
+    target = np.minimum(place[:, CONTEXT:], len(ids) - 1)
+    live = place[:, CONTEXT:] < end[:, None]
+    r_key = rows.take(before.take(place, mode="clip"))
+    r_ask = np.ascontiguousarray(r_key[:, CONTEXT:])
+    ask = p["ask"].take(r_ask, axis=0, mode="clip", out=room.of("ask", n, TARGETS, WIDTH))
+    key = p["key"].take(r_key, axis=0, mode="clip", out=room.of("key", n, CONTEXT + TARGETS, WIDTH))
+    far = np.where(DISTANCE > 0, p["far"][FAR], np.float32(-1e9))  # causal
+    weight, same = (room.of(name, n, TARGETS, CONTEXT + TARGETS) for name in ("weight", "same"))
+    total = _attend(weight, ask, key, far, begin == first)
+    there = ids.take(place, mode="clip").astype(np.uint16)
+    np.equal(there[:, None, :], there[:, CONTEXT:, None], out=same, casting="unsafe")
     some = total > 0
-    weight /= np.where(some, total, 1)[:, :, None]
-    there = ids[place].astype(np.int32)
-    same = there[:, None, :] == there[:, CONTEXT:, None]
-    copied = np.einsum("btk,btk->bt", weight, same.astype(np.float32))
+    total[~some] = 1
+    copied = np.vecdot(weight, same) / total
     gate = np.where(some, 1 / (1 + np.exp(-p["gate"][r_ask])), 0)
     likely = bigram[target]
     return gate * copied + (1 - gate) * likely, live, target, (
-        weight, same, copied, gate, likely, ask, key, r_ask, r_key)
+        room, weight, same, total, copied, gate, likely, ask, key, r_ask, r_key, begin)
+
+
+def _attend(weight, ask, key, far, opening) -> np.ndarray:
+    """Puts the attention of targets to places into ``weight``, not yet divided by the sums that it returns."""
+    for limited in (False, True):
+        np.matmul(ask, key.transpose(0, 2, 1), out=weight)
+        weight += far
+        if limited:
+            np.minimum(weight, LIMIT, out=weight)
+        with np.errstate(over="ignore"):
+            np.exp(weight, out=weight)
+            weight[opening, :, :CONTEXT] = 0
+            total = np.matmul(weight, ONES)
+        if total.max() < 1e26:  # else some weight may be above LIMIT
+            break
+    return total
 
 
 def backward(p: dict, memory: dict, prob, live, held) -> None:
-    """One Adagrad step for the mean negative log probability of the live targets."""
-    weight, same, copied, gate, likely, ask, key, r_ask, r_key = held
+    """One Adagrad step for the mean negative log probability of the live targets.
+
+    A row that no window of the batch looks at has no gradient and stays as it is.
+    """
+    room, weight, same, total, copied, gate, likely, ask, key, r_ask, r_key, begin = held
     scale = np.where(live, 1 / np.maximum(prob, 1e-12), 0) / max(1, live.sum())
     d_gate = -(copied - likely) * scale * gate * (1 - gate)
-    d_logit = weight * (same - copied[:, :, None]) * (-(gate * scale))[:, :, None]
-    d_logit = d_logit.astype(np.float32)
-    d_ask = np.matmul(d_logit, key)
-    d_key = np.matmul(d_logit.transpose(0, 2, 1), ask)
-
-    def table(rows, grads):
-        flat_rows = rows.ravel()
-        return np.stack([np.bincount(flat_rows, g, ROWS) for g in grads.reshape(len(flat_rows), -1).T], axis=1)
-
-    far = np.bincount(np.clip(DISTANCE, 0, None).ravel(), d_logit.sum(axis=0).ravel(), TARGETS + CONTEXT)
-    for name, g in (("ask", table(r_ask, d_ask)), ("key", table(r_key, d_key)),
-                    ("gate", table(r_ask, d_gate)[:, 0]), ("far", far)):
-        memory[name] += g * g
-        p[name] -= (RATE * g / np.sqrt(memory[name] + 1e-10)).astype(np.float32)
+    # The gradient of a logit is lean * weight * (same - copied); lean is of the target alone.
+    lean = (-(gate * scale) / total).astype(np.float32)
+    d = same
+    d -= copied[:, :, None]
+    d *= weight
+    d_far = np.matmul(lean.T[:, None, :], d.transpose(1, 0, 2))[:, 0]
+    d_ask = np.matmul(d, key, out=room.of("d_ask", *ask.shape))
+    d_ask *= lean[:, :, None]
+    ask *= lean[:, :, None]
+    d_key = np.matmul(d.transpose(0, 2, 1), ask, out=room.of("d_key", *key.shape))
+    # The context of a window mostly is the block before it: then both bring their gradients by the same places.
+    alone = np.concatenate([[True], begin[1:] != begin[:-1] + TARGETS])
+    own, ahead = d_key[:, CONTEXT:], d_key[:, :CONTEXT]
+    others = ahead[alone]
+    ahead[alone] = 0
+    own[:-1] += ahead[1:]
+    seen = np.concatenate([r_ask.ravel(), r_key[alone, :CONTEXT].ravel()])
+    touched = np.flatnonzero(np.bincount(seen, minlength=ROWS))
+    at = np.empty(ROWS, np.intp)
+    at[touched] = np.arange(len(touched))
+    at = at[seen]
+
+    def table(*grads) -> np.ndarray:
+        """Sums of the gradients of the places in ``seen`` by row."""
+        flat_grads = [g.reshape(-1, g.shape[-1]) for g in grads]
+        sizes = [len(g) for g in flat_grads]
+        columns = room.of("columns", flat_grads[0].shape[1], sum(sizes), kind=np.float64)
+        for g, end in zip(flat_grads, np.cumsum(sizes)):
+            columns[:, end - len(g):end] = g.T
+        return np.stack([np.bincount(at[:sum(sizes)], g, len(touched)) for g in columns], axis=1)
+
+    d_far = np.bincount(FAR.ravel(), d_far.ravel(), TARGETS + CONTEXT)
+    for name, where, g in (("ask", touched, table(d_ask)), ("key", touched, table(own, others)),
+                           ("gate", touched, table(d_gate[:, :, None])[:, 0]), ("far", slice(None), d_far)):
+        sums = g * g
+        sums += memory[name][where]
+        memory[name][where] = sums
+        sums += 1e-10
+        p[name][where] -= RATE * g.astype(np.float32) / np.sqrt(sums.astype(np.float32))
 
 
 def learn(p: dict, memory: dict, s: dict, grams: Bigrams, batch) -> int:
     """Steps on all windows of a batch (ids, rare_keys, rare_n); how many windows there were."""
-    n = 0
+    n, room = 0, Room()
     for low, high, ids, at in _lists(batch.column(0)):
         before, row = _before(ids, at), np.repeat(np.arange(high - low), np.diff(at))
         bigram = grams.of(before, ids, row, _rare(batch.column(1), batch.column(2), low, high), own=1)
         first, begin, end = windows(at)
         for i in range(0, len(first), BATCH):
             prob, live, _, held = forward(p, ids, before, s["rows"], bigram, first[i:i + BATCH],
-                                          begin[i:i + BATCH], end[i:i + BATCH])
+                                          begin[i:i + BATCH], end[i:i + BATCH], room)
             backward(p, memory, prob, live, held)
             n += len(first[i:i + BATCH])
     return n
@@ -337,7 +399,7 @@ def scored(ids: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         s, p = shared.value
-        grams = Bigrams(s)
+        grams, room = Bigrams(s), Room()
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for low, high, own, at in _lists(batch.column(5)):
@@ -348,7 +410,7 @@ def scored(ids: DataFrame, shared) -> DataFrame:
                 first, begin, end = windows(at)
                 for i in range(0, len(first), BATCH):
                     prob, live, target, _ = forward(p, own, before, s["rows"], bigram, first[i:i + BATCH],
-                                                    begin[i:i + BATCH], end[i:i + BATCH])
+                                                    begin[i:i + BATCH], end[i:i + BATCH], room)
                     logs[target[live]] = np.log10(prob[live])
                 out[low:high] = np.add.reduceat(logs, at[:-1])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(out)],

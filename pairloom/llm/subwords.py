@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 
 import numpy as np
@@ -31,6 +32,10 @@ MARK = "\x1f"  # one byte, never part of a Latin word
 TAIL = string.punctuation.replace("'", "")  # an apostrophe may open a piece of its own
 
 
+# Of every piece: the letters and the marks after them, both empty where it is anything else.
+PLAIN = re.compile(f"([A-Za-z]++)([{re.escape(TAIL)}]*+)(?![^ ])|[^ ]+")
+
+
 class LatinWords:
     """Ids of lower-cased Latin words (and marks after them) under a file's merges with word ends."""
 
@@ -64,16 +69,16 @@ class LatinWords:
 
     @staticmethod
     def split(word: str) -> tuple[str, str] | None:
-        """The lower-cased word and the marks after it, or None where this class doesn't know."""
+        """The word and the marks after it, or None where this class doesn't know."""
         core = word.rstrip(TAIL)
         if not core.isalpha() or (not core.isascii() and (max(core) >= "\u0250" or "\u0130" in core)):
             return None
-        return core.lower(), word[len(core):]
+        return core, word[len(core):]
 
     def encode(self, words: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each word's."""
         pieces = [f"{core}{MARK} {tail}{MARK}" if tail else f"{core}{MARK}" for core, tail in words]
-        ranks = np.array(self.coder.encode_ordinary(" ".join(pieces)), np.int64)
+        ranks = np.array(self.coder.encode_ordinary(" ".join(pieces).lower()), np.int64)
         ends = np.flatnonzero(self.last[ranks])
         number = np.cumsum([2 if tail else 1 for _, tail in words])
         if len(ends) != number[-1]:
@@ -82,6 +87,16 @@ class LatinWords:
         return self.ids[ranks], np.diff(cuts, prepend=0)
 
 
+def _joined(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> str:
+    """The text of these spans with a blank between them."""
+    size = ends - begins + 1
+    stop = np.cumsum(size)
+    at = np.repeat(begins - (stop - size), size) + np.arange(stop[-1])
+    part = data.take(at, mode="clip")
+    part[stop - 1] = 0x20
+    return part[:-1].tobytes().decode("utf-8", "replace")
+
+
 class Subwords:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,24 +108,29 @@ class Subwords:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.names, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, their pieces
         self.starts, self.pool, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, words: list[str], hashes: list[int]) -> None:
-        latin = [self.latin.split(w) for w in words]
-        known = [x for x in latin if x]
+    def _learn(self, joined: str) -> np.ndarray:
+        """Remembers the ids of pieces joined by blanks; the place of each."""
+        words = joined.split(" ")
+        latin = [x if x[0] else self.latin.split(w) for w, x in zip(words, PLAIN.findall(joined))]
         other = [w for w, x in zip(words, latin) if not x]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        known = [x for x in latin if x]
         ids, sizes = self.latin.encode(known) if known else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         flat = np.concatenate([ids, np.array([i for own in found for i in own], np.uint32)])
         sizes = np.concatenate([sizes, np.array([len(own) for own in found], np.int64)])
-        hashes = ([h for h, x in zip(hashes, latin) if x] + [h for h, x in zip(hashes, latin) if not x])
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used:self.used + len(flat)] = flat
+        is_latin = np.fromiter(map(bool, latin), bool, len(latin))
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([np.flatnonzero(is_latin), np.flatnonzero(~is_latin)])] = (
+            len(self.starts) - 1 + np.arange(len(words)))
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes)])
-        self.place.update(zip(hashes, range(len(self.place), len(self.place) + len(words))))
         self.used += len(flat)
+        return place
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows and the offsets of each row's."""
@@ -118,16 +138,17 @@ class Subwords:
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         kinds, sample, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.place) > CACHED_WORDS:
+        if len(self.names) > CACHED_WORDS:
             self._clear()
-        names, place = kinds.tolist(), self.place
-        new = [k for k, name in enumerate(names) if name not in place]
-        raw = data.tobytes()
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            self._learn([raw[begins[sample[k]]:ends[sample[k]]].decode("utf-8", "replace") for k in part],
-                        [names[k] for k in part])
-        at = np.fromiter((place[name] for name in names), np.int64, len(names))[kind]
+        at = np.searchsorted(self.names, kinds)
+        new = np.flatnonzero(self.names[np.minimum(at, len(self.names) - 1)] != kinds) if len(self.names) else (
+            np.arange(len(kinds)))
+        if len(new):
+            parts = np.split(sample[new], range(20_000, len(new), 20_000))
+            place = [self._learn(_joined(data, begins[part], ends[part])) for part in parts]
+            self.names = np.insert(self.names, at[new], kinds[new])
+            self.place = np.insert(self.place, at[new], np.concatenate(place))
+        at = self.place[np.searchsorted(self.names, kinds)][kind]
         begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
         before = np.concatenate([[0], np.cumsum(size)])
         return (self.pool[np.repeat(begin - before[:-1], size) + np.arange(before[-1])], before[first])

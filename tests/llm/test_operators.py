@@ -418,6 +418,70 @@ def test_training_lowers_the_loss():
     assert loss[-1] < loss[0] - 0.5
 
 
+def plain_step(p, ids, at, before, rows, likely):
+    """Probabilities and gradients of the mean loss, target by target."""
+    prob, grads = np.zeros(len(ids)), {k: np.zeros(v.shape) for k, v in p.items()}
+    for first, end in zip(at[:-1], at[1:]):
+        for x in range(first, end):
+            places = np.arange(max(first, first + (x - first) // lm.TARGETS * lm.TARGETS - lm.CONTEXT), x)
+            a, gate = rows[before[x]], 0.0
+            copied, weight = 0.0, np.zeros(len(places))
+            r, same = rows[before[places]], ids[places] == ids[x]
+            if len(places):
+                weight = np.exp(np.minimum(p["key"][r].astype(float) @ p["ask"][a] + p["far"][x - places], 60))
+                weight /= weight.sum()
+                gate, copied = 1 / (1 + np.exp(-float(p["gate"][a]))), weight[same].sum()
+            prob[x] = gate * copied + (1 - gate) * likely[x]
+            scale = -1 / prob[x] / len(ids)
+            grads["gate"][a] += scale * (copied - likely[x]) * gate * (1 - gate)
+            logit = scale * gate * weight * (same - copied)
+            grads["ask"][a] += logit @ p["key"][r]
+            np.add.at(grads["key"], r, logit[:, None] * p["ask"][a])
+            np.add.at(grads["far"], x - places, logit)
+    return prob, grads
+
+
+def test_step_is_that_of_a_plain_loop_and_leaves_other_rows():
+    draw = np.random.default_rng(4)
+    sizes = [1, 31, 32, 33, 64, 150, 7]
+    at = np.cumsum([0, *sizes])
+    ids = draw.integers(10, 60, at[-1])
+    ids[at[1:] - 1] = lm.END
+    rows, p, before = np.arange(lm.VOCABULARY) % lm.ROWS, lm.start(), lm._before(ids, at)
+    likely = draw.uniform(1e-3, 0.3, len(ids))
+    want, grads = plain_step(p, ids, at, before, rows, likely)
+    prob, live, target, held = lm.forward(p, ids, before, rows, likely, *lm.windows(at))
+    assert sorted(target[live].tolist()) == list(range(len(ids)))
+    assert np.allclose(prob[live], want[target[live]], rtol=1e-5)
+    new, memory = {k: v.copy() for k, v in p.items()}, {k: np.zeros(v.shape) for k, v in p.items()}
+    others = np.setdiff1d(np.arange(lm.ROWS), rows[before])
+    for name in ("ask", "key", "gate"):
+        memory[name][others] = -1  # a step that reads these rows takes the root of a negative number
+    lm.backward(new, memory, prob, live, held)
+    for name, g in grads.items():
+        assert np.allclose(new[name], p[name] - lm.RATE * g / np.sqrt(g * g + 1e-10), atol=1e-4), name
+    p["far"][3] = 200  # beyond the limit
+    want, _ = plain_step(p, ids, at, before, rows, likely)
+    prob, live, target, _ = lm.forward(p, ids, before, rows, likely, *lm.windows(at))
+    assert np.allclose(prob[live], want[target[live]], rtol=1e-5)
+
+
+def test_plain_words_are_told_apart_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from pairloom.llm import subwords
+
+    words = ["Plain", "word,", "END.)", "abc1", "don't", "Éclair!", "Σας", "x-y", "...", "a" * 300, "Mixed\x1f", "日本", "word,"]
+    seen, split = [], subwords.LatinWords.split
+    monkeypatch.setattr(subwords.LatinWords, "split", staticmethod(lambda w: seen.append(w) or split(w)))
+    coder, path = subwords.Subwords(subwords.default_path()), subwords.default_path()
+    for text in (" ".join(words), "\t".join(reversed(words)), "more words, then Plain"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got, _ = coder.ids(raw, np.array([0, len(raw)]))
+        assert got.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(["abc1", "don't", "Éclair!", "Σας", "x-y", "...", "Mixed\x1f", "日本"])
+
+
 def test_lm_serves_all_bigrams_and_trains_on_all_windows(spark):
     import pyarrow as pa
 
